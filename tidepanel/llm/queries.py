@@ -17,6 +17,42 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.line_dedup import LineIndex
+
+    docs = read_table(spark, sf_dir, "documents")
+    kept = LineIndex.build(docs, min_docs=10).drop_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidepanel.llm.token_store import document_checks, write_store
+
+    path = write_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return document_checks(spark, path)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.ring_shards import sharded
+
+    rows = sharded(read_table(spark, sf_dir, "documents"), shards=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.mixing import mix_report
+
+    return mix_report(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.jaccard_join import jaccard_components
 
@@ -26,6 +62,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_token_store": op3_token_store,
+    "op4_sharding": op4_sharding,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_mixing": op6_mixing,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
@@ -45,4 +86,34 @@ it AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' O
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(it.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op2_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE hot.key IS NOT NULL) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY doc_id""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op9_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+z1 AS (SELECT doc_id, list_sort(list(g)) AS l FROM s GROUP BY doc_id),
+z2 AS (SELECT l, min(doc_id) AS class_id FROM z1 GROUP BY l)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, component_id, coalesce(class_id, d.doc_id) AS class_id
+FROM documents d JOIN k ON k.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN z1 ON z1.doc_id = d.doc_id LEFT JOIN z2 ON z1.l = z2.l""",
 }
