@@ -252,6 +252,8 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("low")).withColumn("low", F.least("low", "node"))
+        # A table of its own, so that the join can be split where a node has many neighbours.
+        least = stored(least, label)
         # Large star: every larger neighbour of a node moves to its smallest one.
         large = both.join(least, "node").filter("root > node").select(F.col("root").alias("node"), F.col("low").alias("root"))
         large = large.filter("node <> root").distinct()
