@@ -53,6 +53,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.langid import identify, learn
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.license_scan import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.llm.jaccard_join import jaccard_components
 
@@ -60,6 +73,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "class_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.llm.toxicity import learn, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -67,7 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
