@@ -84,15 +84,19 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def choose_features(n: tuple[int, int], counts: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
-    """The buckets whose presence differs most (chi-square), 3 positives at least."""
+def choose_features(n: tuple[int, int], counts: tuple[np.ndarray, np.ndarray], prior: float, most: int) -> np.ndarray:
+    """The buckets that differ most between positives and unlabelled documents
+    (chi-square), of those where the prior-corrected share of toxic documents,
+    prior * p / u, is a half or more even at the low end of p."""
     u, p = (counts[k].astype(np.float64) for k in (0, 1))
     both = (u + p + 1) / (n[0] + n[1] + 2)
     diff = p / max(n[1], 1) - u / max(n[0], 1)
     chi = diff**2 / (both * (1 - np.minimum(both, 0.999)) * (1 / max(n[0], 1) + 1 / max(n[1], 1)))
-    chi[(p < 3) & (u < 3)] = 0
+    low = np.maximum(p - np.sqrt(p), 0) / max(n[1], 1)
+    toxic_share = prior * low / np.maximum(u + 0.5, 0.5) * max(n[0], 1)
+    chi[(p < 4 + n[1] / 200) | (toxic_share < 0.5)] = 0
     best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 20])
+    return np.sort(best[chi[best] > 10])
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -136,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
     rows = both.mapInArrow(_presence, "n0 long, n1 long, c0 binary, c1 binary").collect()
     n = tuple(sum(r[k] for r in rows) for k in (0, 1))
     counts = tuple(sum((np.frombuffer(r[2 + k], np.uint16).astype(np.int64) for r in rows), np.zeros(BUCKETS, np.int64)) for k in (0, 1))
-    chosen = choose_features(n, counts, most_features)
+    chosen = choose_features(n, counts, prior, most_features)
     slot = np.full(BUCKETS, -1, np.int16)
     slot[chosen] = np.arange(len(chosen))
     if not len(chosen) or not n[1]:
