@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.shared import rounds_of, scratch_path
 
 END_ID = 2
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _WINDOW_DOUBLINGS = 4
 _MASK = np.uint64(((1 << 8) - 1) << 15)
@@ -79,56 +80,69 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.letters = _byte_letters()
-        self.words: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words. A word's number leads to its ids in the pool."""
+        self.words: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.pool = array("I", [END_ID])
+        self.ends = array("q", [1])
 
     def _new_pieces(self, pieces: list[str]) -> None:
         spelled = [x if x.isascii() else "".join(map(self.letters.__getitem__, x.encode())) for x in pieces]
         for piece, e in zip(pieces, self.model.encode_batch_fast(spelled, add_special_tokens=False)):
             self.pieces[piece] = e.ids
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces.clear()
-        fresh = [w for w in words if w not in self.words]
-        plain = [w for w in fresh if _PLAIN.fullmatch(w) and "<|" not in w]
-        cut = {w: _PIECES.findall(w.lower()) for w in plain}
+    def learn(self, words: list[str]) -> None:
+        """Put new words into the pool."""
+        cut: dict[str, list[str]] = {}
+        other: list[str] = []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                cut[w] = [w.lower()]
+            elif _PLAIN.fullmatch(w) and "<|" not in w:
+                cut[w] = _PIECES.findall(w.lower())
+            else:
+                other.append(w)
         self._new_pieces(list({p for ps in cut.values() for p in ps if p not in self.pieces}))
         for w, ps in cut.items():
-            ids: list[int] = []
             for p in ps:
-                ids += self.pieces[p]
-            self.words[w] = np.array(ids, np.uint32)
-        other = [w for w in fresh if w not in cut]
+                self.pool.extend(self.pieces[p])
+            self.words[w] = len(self.ends)
+            self.ends.append(len(self.pool))
         for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, np.uint32)
-        return [self.words[w] for w in words]
+            self.pool.extend(e.ids)
+            self.words[w] = len(self.ends)
+            self.ends.append(len(self.pool))
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's first place (one more than
         texts); every text ends with the end id."""
         texts = texts.cast(pa.large_string())
         texts = texts.fill_null("") if texts.null_count else texts
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            # Fewer distinct words, with the same ids: capitals go anyway, and marks
+            # at the end of a word are pieces of their own. (Not beside what may be
+            # a special token, which is matched before letters are made small.)
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?]+)([ \n])", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        table = self.encode(flat.dictionary.to_pylist())
-        sizes = np.array([len(t) for t in table], np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        pool = np.concatenate([*table, np.array([END_ID], np.uint32)])
-        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = flat.dictionary.to_pylist()
+        if len(self.words) > MEMO_WORDS:
+            self.clear()
+        self.learn([w for w in distinct if w not in self.words])
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        pool, stop = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
+        start = np.concatenate([[0], stop[:-1]])
         n_words = np.diff(np.asarray(lists.offsets))
-        # One more "word", the end id, after the words of each text.
-        words = np.empty(len(code) + len(texts), np.int64)
+        # One more "word", the end id (number 0), after the words of each text.
+        words = np.zeros(int(n_words.sum()) + len(texts), np.int64)
         ends = np.cumsum(n_words + 1) - 1
-        words[ends] = len(table)
         rest = np.ones(len(words), bool)
         rest[ends] = False
-        words[rest] = code
-        sizes = np.append(sizes, 1)
-        start = np.append(first[:-1], first[-1])
-        length = sizes[words]
+        words[rest] = number[flat.indices.to_numpy(zero_copy_only=False)]
+        length = (stop - start)[words]
         total = np.cumsum(length)
         ids = pool[np.repeat(start[words] - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
         return ids, np.concatenate([[0], total[ends]]).astype(np.int64)
@@ -220,7 +234,7 @@ def _tokenize(path: str):
         enc = encoder_of(path)
         sent: set[bytes] = set()
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 3_000_000):
+            for part, texts in rounds_of(batch, "text", 8_000_000):
                 ids, first = enc.encode_texts(texts)
                 rows: list[list] = [[] for _ in range(6)]
                 for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
