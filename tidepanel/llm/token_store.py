@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.shared import rounds_of, scratch_path
 
 END_ID = 2
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _WINDOW_DOUBLINGS = 4
 _MASK = np.uint64(((1 << 8) - 1) << 15)
@@ -234,7 +234,7 @@ def _tokenize(path: str):
         enc = encoder_of(path)
         sent: set[bytes] = set()
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 8_000_000):
+            for part, texts in rounds_of(batch, "text", 4_000_000):
                 ids, first = enc.encode_texts(texts)
                 rows: list[list] = [[] for _ in range(6)]
                 for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -250,7 +250,7 @@ def _tokenize(path: str):
                         widths.append(2 if narrow else 4)
                         # A chunk that this task has given already is not given again.
                         packed.append(None if name in sent else piece.astype("<u2" if narrow else "<u4").tobytes())
-                        if len(sent) < 500_000:
+                        if len(sent) < 200_000:
                             sent.add(name)
                     for column, value in zip(rows, (hi - lo, merkle_root(addresses), addresses, sizes, widths, packed)):
                         column.append(value)
