@@ -44,8 +44,8 @@ def features(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of either kind each bucket occurs: one row a task."""
-    counts, docs = np.zeros((2, BUCKETS), np.uint16), [0, 0]
+    """In how many documents of either kind each bucket occurs in this task."""
+    counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         for part, texts in rounds_of(batch, "text", 2_000_000):
             positive = np.array(part.column(1).to_pylist(), bool)
@@ -53,9 +53,11 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.unique(text * BUCKETS + bucket)
             kind = positive[pairs // BUCKETS].astype(np.int64)
             for k in (0, 1):
-                counts[k] += np.bincount(pairs[kind == k] % BUCKETS, minlength=BUCKETS).astype(np.uint16)
-                docs[k] += int((positive == bool(k)).sum())
-    yield pa.record_batch([pa.array([x]) for x in (docs[0], docs[1], counts[0].tobytes(), counts[1].tobytes())], names=["n0", "n1", "c0", "c1"])
+                counts[k] += np.bincount(pairs[kind == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    found = np.flatnonzero(counts[0] + counts[1])
+    for lo in range(0, len(found), 100_000):
+        at = found[lo : lo + 100_000]
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "u", "p"])
 
 
 def _hits(slot: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +86,18 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def choose_features(n: tuple[int, int], counts: tuple[np.ndarray, np.ndarray], prior: float, most: int) -> np.ndarray:
+def choose_features(counts: DataFrame, n_u: int, n_p: int, prior: float, most: int) -> np.ndarray:
     """The buckets that differ most between positives and unlabelled documents
     (chi-square), of those where the prior-corrected share of toxic documents,
-    prior * p / u, is a half or more even at the low end of p."""
-    u, p = (counts[k].astype(np.float64) for k in (0, 1))
-    both = (u + p + 1) / (n[0] + n[1] + 2)
-    diff = p / max(n[1], 1) - u / max(n[0], 1)
-    chi = diff**2 / (both * (1 - np.minimum(both, 0.999)) * (1 / max(n[0], 1) + 1 / max(n[1], 1)))
-    low = np.maximum(p - np.sqrt(p), 0) / max(n[1], 1)
-    toxic_share = prior * low / np.maximum(u + 0.5, 0.5) * max(n[0], 1)
-    chi[(p < 4 + n[1] / 200) | (toxic_share < 0.5)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 10])
+    prior * p / u, is a half or more even at the low end of p. ``counts``: bucket,
+    u, p; at most ``most`` rows reach the driver."""
+    p, u = F.col("p").cast("double"), F.col("u").cast("double")
+    both = (u + p + 1) / (n_u + n_p + 2)
+    diff = p / n_p - u / max(n_u, 1)
+    chi = diff * diff / (both * (1 - F.least(both, F.lit(0.999))) * (1 / n_p + 1 / max(n_u, 1)))
+    toxic_share = prior * (p - F.sqrt(p)) / n_p / (u + 0.5) * max(n_u, 1)
+    rows = counts.filter((p >= 4 + n_p / 200) & (toxic_share >= 0.5)).select("bucket", chi.alias("chi")).filter("chi > 10")
+    return np.array(sorted(r.bucket for r in rows.orderBy(F.desc("chi"), "bucket").limit(most).collect()), np.int64)
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -135,15 +136,15 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
     share_u = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     both = pool.join(F.broadcast(picked), "doc_id", "left").withColumn("in_u", share_u < min(1.0, unlabelled / max(n_pool, 1)))
     both = both.filter("positive or in_u").select("text", F.explode(F.filter(F.array(F.col("positive"), F.when(F.col("in_u"), F.lit(False))), lambda x: x.isNotNull())).alias("positive"))
-    # A fixed number of tasks: each gives one row of counts.
-    both = both.repartition(6, F.xxhash64("text")).cache()
-    rows = both.mapInArrow(_presence, "n0 long, n1 long, c0 binary, c1 binary").collect()
-    n = tuple(sum(r[k] for r in rows) for k in (0, 1))
-    counts = tuple(sum((np.frombuffer(r[2 + k], np.uint16).astype(np.int64) for r in rows), np.zeros(BUCKETS, np.int64)) for k in (0, 1))
-    chosen = choose_features(n, counts, prior, most_features)
+    # Few tasks, dealt evenly: each gives one row per bucket it has seen.
+    both = both.repartition(8).cache()
+    n_p = both.filter("positive").count()
+    n_u = both.filter("not positive").count()
+    counts = both.mapInArrow(_presence, "bucket int, u int, p int").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+    chosen = choose_features(counts, n_u, n_p, prior, most_features) if n_p else np.zeros(0, np.int64)
     slot = np.full(BUCKETS, -1, np.int16)
     slot[chosen] = np.arange(len(chosen))
-    if not len(chosen) or not n[1]:
+    if not len(chosen):
         both.unpersist()
         return ToxicModel(slot, np.zeros(0), float(np.log(prior / (1 - prior))))
     sent = spark.sparkContext.broadcast(slot)
