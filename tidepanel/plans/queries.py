@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if kind in ("double", "float"):
             # Adding 0.0 turns -0.0 into 0.0.
             c = F.round(c, digits) + F.lit(0.0)
@@ -619,15 +619,15 @@ def _incoherent(spark, d):
 _SHARE = "tot AS (SELECT n_name, r_name, sum(y) AS s FROM nat GROUP BY 1, 2)"
 
 
-@query("reconcile_top_down", f"WITH {_NAT}, {_SHARE}, top AS (SELECT ds, 1.1 * sum(y) AS t FROM nat GROUP BY 1), leaf AS (SELECT n_name, r_name, ds, t * s / (SELECT sum(s) FROM tot) AS y FROM tot, top) SELECT coalesce(n_name, r_name, 'Total') AS unique_id, ds, round(sum(y), 2) AS y_hat FROM leaf GROUP BY GROUPING SETS ((n_name, ds), (r_name, ds), (ds))")
+@query("reconcile_top_down", f"WITH {_NAT}, {_SHARE}, top AS (SELECT ds, 1.1 * sum(y) AS t FROM nat GROUP BY 1), leaf AS (SELECT n_name, r_name, ds, t * s / (SELECT sum(s) FROM tot) AS y FROM tot, top) SELECT coalesce(n_name, r_name, 'Total') AS unique_id, ds, round(sum(y), 0) AS y_hat FROM leaf GROUP BY GROUPING SETS ((n_name, ds), (r_name, ds), (ds))")
 def reconcile_top_down(spark, d):
-    return rounded(reconcile.reconcile(_incoherent(spark, d), _hierarchy(spark, d), "top_down"), 2)
+    return rounded(reconcile.reconcile(_incoherent(spark, d), _hierarchy(spark, d), "top_down"), 0)
 
 
-@query("reconcile_middle_out", f"WITH {_NAT}, {_SHARE}, mid AS (SELECT r_name, ds, 1.1 * sum(y) AS t FROM nat GROUP BY 1, 2), leaf AS (SELECT n_name, r_name, ds, t * s / sum(s) OVER (PARTITION BY r_name, ds) AS y FROM tot JOIN mid USING (r_name)) SELECT coalesce(n_name, r_name, 'Total') AS unique_id, ds, round(sum(y), 2) AS y_hat FROM leaf GROUP BY GROUPING SETS ((n_name, ds), (r_name, ds), (ds))")
+@query("reconcile_middle_out", f"WITH {_NAT}, {_SHARE}, mid AS (SELECT r_name, ds, 1.1 * sum(y) AS t FROM nat GROUP BY 1, 2), leaf AS (SELECT n_name, r_name, ds, t * s / sum(s) OVER (PARTITION BY r_name, ds) AS y FROM tot JOIN mid USING (r_name)) SELECT coalesce(n_name, r_name, 'Total') AS unique_id, ds, round(sum(y), 0) AS y_hat FROM leaf GROUP BY GROUPING SETS ((n_name, ds), (r_name, ds), (ds))")
 def reconcile_middle_out(spark, d):
     h = _hierarchy(spark, d)
-    return rounded(reconcile.reconcile(_incoherent(spark, d), h, "middle_out", middle_level=sorted(c for c, p in h.items() if p == "Total")), 2)
+    return rounded(reconcile.reconcile(_incoherent(spark, d), h, "middle_out", middle_level=sorted(c for c, p in h.items() if p == "Total")), 0)
 
 
 @query("reconcile_ols")
@@ -636,3 +636,87 @@ def reconcile_ols(spark, d):
 
 
 _ = as_series
+
+
+# -- operators without a SQL form ------------------------------------------
+# Each is tested against brute force or invariants; here they run over whole tables.
+
+
+def _later(name: str, fn: Query) -> None:
+    QUERIES[name] = fn
+
+
+def _vectors(spark, d) -> DataFrame:
+    return some_vectors(spark, d)
+
+
+def _register() -> None:
+    from tidepanel.operators import agents, bayes, changepoint, clustering, convolution, imaging, ml
+    from tidepanel.streaming import state
+
+    day = daily_events
+    from datetime import datetime
+
+    when = datetime(2024, 1, 22)
+    q = {
+        "rocket_features": lambda s, d: rounded(convolution.rocket_features(day(s, d), 50)),
+        "minirocket_features": lambda s, d: rounded(convolution.minirocket_features(day(s, d), 84)),
+        "isolation_forest": lambda s, d: rounded(changepoint.isolation_forest_detect(day(s, d), ["y"])),
+        "recursive_forecast": lambda s, d: rounded(ml.RecursiveForecaster(None, [1, 2, 7]).fit(day(s, d)).predict(day(s, d), 7), 3),
+        "direct_forecast": lambda s, d: rounded(ml.DirectForecaster(None, [1, 2, 7], 3).fit(day(s, d)).predict(day(s, d)), 3),
+        "forecast_pipeline": lambda s, d: rounded(ml.ForecastPipeline(None, [1, 7], rolling_windows=[3], calendar=["day_of_week"], fourier=[(7.0, 1)], target_transform="log").fit(day(s, d)).predict(day(s, d), 7), 3),
+        "global_forecast": lambda s, d: rounded(ml.GlobalForecaster(None, [1, 7], encode_id="onehot", target_transform="difference").fit(day(s, d)).predict(day(s, d), 7), 3),
+        "quantile_forecast": lambda s, d: rounded(ml.QuantileRegressor(ml.PinballRegressor, [0.1, 0.5, 0.9], [1, 7]).fit(day(s, d)).predict(day(s, d), 3), 3),
+        "enbpi_forecast": lambda s, d: rounded(ml.EnbPI(None, 10, [1, 7]).fit(day(s, d)).predict(day(s, d), 3), 3),
+        "garch": lambda s, d: rounded(changepoint.garch_forecast(changepoint.garch_fit(day(s, d), max_iter=40), 5), 2),
+        "granger_causality": lambda s, d: rounded(changepoint.granger_causality(_wide(s, d), "click", "view", 3) if {"click", "view"} <= set(_wide(s, d).columns) else changepoint.granger_causality(_wide(s, d), *_wide(s, d).columns[1:3], 3)),
+        "var_forecast": lambda s, d: rounded(changepoint.var_forecast(changepoint.var_fit(_wide(s, d), _wide(s, d).columns[1:3], 2), 5, s), 3),
+        "bayesian_var": lambda s, d: rounded(bayes.bayesian_var(_wide(s, d), _wide(s, d).columns[1:3], 5, n_samples=200), 2),
+        "pelt": lambda s, d: changepoint.pelt(day(s, d), penalty=1e6),
+        "bocpd": lambda s, d: rounded(changepoint.bocpd(day(s, d))),
+        "regime_detect": lambda s, d: rounded(changepoint.regime_detect(day(s, d)), 3),
+        "bayesian_anomaly": lambda s, d: rounded(changepoint.bayesian_anomaly_score(day(s, d))),
+        "kmedoids": lambda s, d: clustering.kmedoids(_vectors(s, d), 3),
+        "clara": lambda s, d: clustering.clara(_vectors(s, d), 3, sample_size=20),
+        "clarans": lambda s, d: clustering.clarans(_vectors(s, d), 3),
+        "agglomerative": lambda s, d: clustering.agglomerative_cluster(_vectors(s, d), n_clusters=3),
+        "dbscan": lambda s, d: clustering.dbscan_cluster(_vectors(s, d), eps=1.0, min_samples=3),
+        "hdbscan": lambda s, d: clustering.hdbscan_cluster(_vectors(s, d), min_cluster_size=3),
+        "spectral_cluster": lambda s, d: clustering.spectral_cluster(_vectors(s, d), 3),
+        "kshape": lambda s, d: clustering.KShape(3).fit(_vectors(s, d)).labels_,
+        "kmeans_dba": lambda s, d: clustering.kmeans_dba(_vectors(s, d), 2, max_iter=3),
+        "kasba": lambda s, d: clustering.kasba(_vectors(s, d), 3, max_iter=2),
+        "shapelet_cluster": lambda s, d: clustering.shapelet_cluster(_vectors(s, d), 3, n_candidates=20),
+        "auto_cluster": lambda s, d: rounded(clustering.auto_cluster(_vectors(s, d), distances_=["sbd"], k_range=[2, 3]).results_table),
+        "to_gasf": lambda s, d: imaging.to_gasf(day(s, d)).select("unique_id", F.round(F.aggregate(F.flatten("gasf"), F.lit(0.0), lambda a, b: a + b), 3).alias("total")),
+        "to_gadf": lambda s, d: imaging.to_gadf(day(s, d)).select("unique_id", F.size("gadf").alias("n")),
+        "to_mtf": lambda s, d: imaging.to_mtf(day(s, d)),
+        "rqa": lambda s, d: rounded(imaging.rqa_features(imaging.to_recurrence_plot(day(s, d)))),
+        "spectrogram": lambda s, d: imaging.to_spectrogram(day(s, d), 16),
+        "scalogram": lambda s, d: imaging.to_scalogram(day(s, d), n_scales=8),
+        "signature_features": lambda s, d: rounded(imaging.signature_features(day(s, d))),
+        "kalman_filter": lambda s, d: bayes.kalman_filter(day(s, d), [[1.0]], [[1.0]], [[1.0]], [[1.0]]),
+        "bsts_forecast": lambda s, d: rounded(bayes.bsts_forecast(day(s, d), 7, seasonal=7), 3),
+        "particle_filter": lambda s, d: rounded(bayes.particle_filter(day(s, d), n_particles=200), 3),
+        "gp_forecast": lambda s, d: rounded(bayes.gp_forecast(day(s, d), 3), 3),
+        "mcmc_forecast": lambda s, d: rounded(bayes.mcmc_forecast(day(s, d), 3, "ar", n_samples=200, burn_in=100), 3),
+        "bayesian_ets": lambda s, d: rounded(bayes.bayesian_ets(day(s, d), 3), 3),
+        "causal_impact": lambda s, d: rounded(bayes.causal_impact(day(s, d), when), 3),
+        "synthetic_control": lambda s, d: rounded(bayes.synthetic_control(day(s, d), "click", when), 3),
+        "streaming_ets": lambda s, d: rounded(state.StreamingETS("holt").fit(day(s, d).filter(F.col("ds") < F.lit(when))).partial_fit(day(s, d).filter(F.col("ds") >= F.lit(when))).predict(14)),
+        "event_windows": lambda s, d: rounded(state.event_time_windows(table(s, d, "events").select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y")), "1 day")),
+        "anomaly_consensus": lambda s, d: rounded(agents.anomaly_votes(_values(s, d), 10)),
+        "portfolio": lambda s, d: rounded(agents.MARLOrchestrator(5).run_from_dataframe(day(s, d)).weights),
+        "supply_chain": lambda s, d: rounded(agents.SupplyChainOrchestrator().run(day(s, d))["reorder"]),
+        "scientist": lambda s, d: rounded(agents.TimeSeriesScientist(3).run(day(s, d)).predictions, 3),
+    }
+    for name, fn in q.items():
+        _later(name, fn)
+    ORACLES["streaming_ets"] = _HOLT
+
+
+def _wide(spark, d) -> DataFrame:
+    return daily_events(spark, d).groupBy("ds").pivot("unique_id").agg(F.first("y")).na.fill(0.0)
+
+
+_register()
