@@ -428,7 +428,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     joined = same.join(links, F.col("class_id") == F.col("node"), "left")
     joined = joined.select("n_shingles", "h1", "h2", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     out = rows.join(joined, ["n_shingles", "h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, k: int = 4, percent: int = 85, broadcast_rows: int = 1_000_000) -> DataFrame:

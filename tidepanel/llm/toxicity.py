@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
     if not toxic:
-        return ToxicModel(np.full(BUCKETS, -1, np.int16), np.zeros(0), -500.0)
+        return ToxicModel(np.full(BUCKETS, -1, np.int16), np.zeros(0), -np.inf)
     prior = min(max(toxic / total, 1e-3), 0.999)
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     # About that many ids whatever the number of labels: safe to send to every task.
