@@ -8,10 +8,14 @@ shingles lie in one of them only. The join has three steps.
    pigeonhole principle a linked pair has an identical segment, so every segment
    of every document gives one 64-bit signature, and documents that share a
    signature are put into one block. m depends on a class of set sizes; a
-   document also takes part in the next class when a partner may be there. A
-   segment holds several shingles that must all agree, so a passage that many
-   documents share does not put them into one block. Signatures travel packed,
-   and each task passes on one document for each signature it has seen.
+   document also takes part in the next class when a partner may be there.
+   Shingles that are frequent in a hash sample of documents are left out of the
+   signatures, so a passage that many documents share does not put them into one
+   block; that takes no difference between two sets that was not there, so the
+   principle holds for any choice of them. A document that has too many empty
+   segments then gives the signatures of its whole set as well, which meet those
+   of other such documents. Signatures travel packed, and each task passes on one
+   document for each signature it has seen.
 2. Search. Within a block every shingle has an inverted list. A query sorts its
    lists by length, heap-merges the short ones and probes the T - 1 long ones by
    binary search for each candidate (DivideSkip); candidates that reach the
@@ -131,32 +135,70 @@ def _bounds(m: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=128)
-def _salts(c: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+def _salts(c: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments without frequent shingles, of whole sets, and of empty ones."""
     base = np.arange(m, dtype=np.uint64) + np.uint64((c * 2 + 1) << 40)
-    return mix64(base), mix64(base ^ np.uint64(1 << 63))
+    return mix64(base), mix64(base ^ np.uint64(1 << 62)), mix64(base ^ np.uint64(1 << 63))
 
 
-def signatures(s: np.ndarray, seg: Segments) -> np.ndarray:
-    """The signatures of one sorted set, over its size classes."""
-    out = []
+def signatures(s: np.ndarray, seg: Segments, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of one sorted set, over its size classes. ``frequent``:
+    sorted shingles that are left out where enough others are there."""
     classes = seg.classes(len(s))
     if not classes:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mix64(s), out=total[1:])
-    for c, m, apart in classes:
+    rare = s
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rare = s[frequent[at] != s]
+    out = []
+
+    def give(part: np.ndarray, c: int, m: int, kind: int) -> np.ndarray:
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(mix64(part), out=total[1:])
         cut = np.empty(m + 1, np.int64)
-        cut[0], cut[m] = 0, len(s)
-        cut[1:m] = np.searchsorted(s, _bounds(m))
+        cut[0], cut[m] = 0, len(part)
+        cut[1:m] = np.searchsorted(part, _bounds(m))
         filled = cut[1:] > cut[:-1]
-        salt, blank = _salts(c, m)
+        salt = _salts(c, m)[kind]
         out.append(mix64((total[cut[1:]] - total[cut[:-1]] + salt)[filled]))
-        # Only where so many segments are empty that the agreeing one may be one of them.
+        return filled
+
+    for c, m, apart in classes:
+        filled = give(rare, c, m, 0)
+        # Where so many segments are empty that the agreeing one may be one of them,
+        # the whole set speaks too; what is empty even then has a signature of its own.
         if m - int(filled.sum()) > m - 1 - apart:
-            out.append(blank[~filled])
+            filled = give(s, c, m, 1)
+            if m - int(filled.sum()) > m - 1 - apart:
+                out.append(_salts(c, m)[2][~filled])
     return np.concatenate(out)
 
 
+def _in_sample(k: int):
+    """Every shingle of the sampled documents with its count in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in rounds_of(batch, "text"):
+                found = list(shingle_sets(Words(texts, BLANK_TABLE), k))
+                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, k: int, sample_docs: int = 20_000, least: int = 4, most: int = 500_000) -> np.ndarray:
+    """Shingles in ``least`` or more documents of a hash sample of about
+    ``sample_docs``, at most ``most`` of them. They only make blocks smaller: any
+    choice gives the same links."""
+    n = docs.count()
+    keep = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1)))
+    counts = docs.filter(keep).select("text").mapInArrow(_in_sample(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
+    return np.sort(rows["h"].to_numpy().view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
+
+
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.large_binary()), ("y", pa.large_binary())])
 _PACKED_DDL = "bucket int, kind int, x binary, y binary"
 
@@ -184,7 +226,7 @@ def _pack(sig: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[i] for r in part], _PACKED.field(i).type) for i in range(4)], schema=_PACKED)
 
 
-def _describe(k: int, percent: int):
+def _describe(k: int, percent: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments_of(percent)
         sigs, owners, waiting = [], [], 0
@@ -196,7 +238,7 @@ def _describe(k: int, percent: int):
                     both = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
                     docs.append((doc is None, doc or 0, len(s), both & (_U64 - 1), both >> 64))
                     if doc is not None and len(s):
-                        got = signatures(s, seg)
+                        got = signatures(s, seg, sent.value)
                         if len(got):
                             sigs.append(got)
                             owners.append(np.full(len(got), doc, np.int64))
@@ -401,7 +443,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = docs.mapInArrow(_describe(k, percent), _PACKED_DDL)
+    sent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
+    packed = docs.mapInArrow(_describe(k, percent, sent), _PACKED_DDL)
     found = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL)
     found = stored(found, "jaccard-sets")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"))
