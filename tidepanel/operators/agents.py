@@ -208,8 +208,8 @@ def anomaly_votes(df: DataFrame, window_size: int = 20, z_threshold: float = 3.0
     y = F.col(target_col).cast("double")
     rows = df.withColumn("__c", F.collect_list(y).over(w)).filter(F.size("__c") == window_size - 1)
     n = F.size("__c")
-    rows = rows.withColumn("__m", F.aggregate("__c", F.lit(0.0), lambda a, b: a + b) / n).withColumn("__med", _median(F.col("__c")))
-    rows = rows.withColumn("__s", F.sqrt(F.aggregate(F.transform("__c", lambda x: (x - F.col("__m")) * (x - F.col("__m"))), F.lit(0.0), lambda a, b: a + b) / n) + 1e-10)
+    rows = rows.withColumn("__m", F.try_divide(F.aggregate("__c", F.lit(0.0), lambda a, b: a + b), n)).withColumn("__med", _median(F.col("__c")))
+    rows = rows.withColumn("__s", F.sqrt(F.try_divide(F.aggregate(F.transform("__c", lambda x: (x - F.col("__m")) * (x - F.col("__m"))), F.lit(0.0), lambda a, b: a + b), n)) + 1e-10)
     rows = rows.withColumn("__mad", _median(F.transform("__c", lambda x: F.abs(x - F.col("__med")))) + 1e-10)
     scores = [F.abs(y - F.col("__m")) / F.col("__s"), F.abs(y - F.col("__med")) / F.col("__s"), 0.6745 * F.abs(y - F.col("__med")) / F.col("__mad")]
     limits = [z_threshold, std_threshold, mad_threshold]

@@ -26,7 +26,7 @@ from tidepanel.panel import ID, TIME, Y, by_time, ensure, future_times, type_of
 class SparkRidge:
     """Ridge regression whose normal equations Spark sums up."""
 
-    def __init__(self, alpha: float = 1e-6):
+    def __init__(self, alpha: float = 1e-10):
         self.alpha = alpha
 
     def fit_rows(self, rows: DataFrame, x: list[str], y: str) -> SparkRidge:

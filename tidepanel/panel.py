@@ -75,10 +75,10 @@ def map_series(df: DataFrame, fn: Callable[[object, np.ndarray, np.ndarray], pd.
             args.append({c: pdf[c].to_numpy() for c in extra})
         got = fn(*args)
         out = pd.DataFrame(got if got is not None else {n: [] for n in names}, columns=names)
-        if not len(out):
-            out = out.astype(object)  # else empty columns of times would be floats
         if keep_id:
             out.insert(0, id_col, [key[0]] * len(out))
+        if not len(out):
+            out = out.astype(object)  # else empty columns would be floats
         return out
 
     ddl = f"`{id_col}` {type_of(df, id_col)}, {schema}" if keep_id else schema
