@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.stats import chi2_sf
-from tidepanel.panel import ID, TIME, Y, as_series, by_time, ensure, map_series, ratio, type_of, whole
+from tidepanel.panel import ID, TIME, Y, as_series, by_time, ensure, map_series, ratio, whole
 
 
 def _grouped(df: DataFrame, id_col: str | None):
@@ -265,5 +265,3 @@ def permutation_importance(df: DataFrame, model, feature_cols: list[str], target
         rows.append((c, float(np.mean(scores)), float(np.std(scores))))
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda x: -x[1]), "feature string, importance_mean double, importance_std double")
 
-
-_ = type_of

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators import cleaning, features, forecasting, metrics, reconcile, similarity, transforms, validation
-from tidepanel.panel import as_series
 from tidepanel.sources.tables import daily_events, labelled_vectors, monthly_orders, nation_orders, table, user_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -635,8 +634,6 @@ def reconcile_ols(spark, d):
     return rounded(reconcile.reconcile(_incoherent(spark, d), _hierarchy(spark, d), "ols"), 2)
 
 
-_ = as_series
-
 
 # -- operators without a SQL form ------------------------------------------
 # Each is tested against brute force or invariants; here they run over whole tables.

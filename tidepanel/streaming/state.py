@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.statespace import KalmanFilter
-from tidepanel.panel import ID, TIME, Y, ensure, future_times, type_of
+from tidepanel.panel import ID, TIME, Y, ensure, type_of
 
 
 class StreamingETS:
@@ -284,5 +284,3 @@ def event_time_windows(rows: DataFrame, size: str, slide: str | None = None, lat
     out = rows.groupBy(id_col, w.alias("w")).agg(F.sum(target_col).alias("sum"), F.count(target_col).alias("n"))
     return out.select(id_col, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "sum", "n")
 
-
-_ = future_times
