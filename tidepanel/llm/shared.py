@@ -3,7 +3,6 @@ scanning in numpy, and connected components over an edge table."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
