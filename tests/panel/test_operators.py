@@ -380,3 +380,24 @@ def test_public_names():
         assert getattr(tidepanel, name)
     with pytest.raises(AttributeError):
         tidepanel.nothing
+
+
+def test_views_and_helpers(spark, ab):
+    from tidepanel.functions import views as v
+    from tidepanel.operators.metrics import mann_kendall, ordered
+    from tidepanel.sources import adapters as s
+
+    x = np.arange(12.0).reshape(2, 6)
+    assert v.jitter(x).shape == v.scaling(x).shape == v.window_crop(x).shape == x.shape
+    e = np.eye(4)
+    assert v.nt_xent_loss(e, e) < v.nt_xent_loss(e, e[::-1])
+    q = v.target_distribution([[0.6, 0.4], [0.3, 0.7]])
+    assert q.sum(axis=1) == pytest.approx([1, 1]) and q[0, 0] > 0.6
+    assert {r.m for r in ab.groupBy("unique_id").agg(mann_kendall(ordered("y", "ds")).alias("m")).collect()} == {1.0}
+    f = spark.createDataFrame([("A", [7.0, 8.0])], "unique_id string, forecast array<double>")
+    assert [(r.ds, r.y_hat) for r in s.build_forecast_df(f, ab, 2).orderBy("ds").collect()] == [(date(2024, 1, 7), 7.0), (date(2024, 1, 8), 8.0)]
+    assert s.build_windows(ab, 3, 2).count() == 4
+    rows = s.extract_classification_data(ab.withColumn("label", F.lit("x")), "label").collect()
+    assert {r.label_code for r in rows} == {0}
+    with pytest.raises(ImportError):
+        s.dec_cluster(ab, 2)

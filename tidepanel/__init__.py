@@ -9,7 +9,7 @@ import importlib
 
 _MODULES = (
     "operators.features", "operators.transforms", "operators.cleaning", "operators.metrics", "operators.forecasting", "operators.validation", "operators.ml", "operators.similarity", "operators.clustering",
-    "operators.convolution", "operators.changepoint", "operators.imaging", "operators.bayes", "operators.reconcile", "operators.agents", "functions.statespace", "sources.adapters", "sources.registry", "streaming.state",
+    "operators.convolution", "operators.changepoint", "operators.imaging", "operators.bayes", "operators.reconcile", "operators.agents", "functions.statespace", "functions.views", "sources.adapters", "sources.registry", "streaming.state",
 )
 
 

@@ -176,6 +176,13 @@ def sens_slope(values: Column | str) -> Column:
     return F.when(n < 2, F.lit(0.0)).otherwise(middle)
 
 
+def ordered(value: Column | str, order: Column | str) -> Column:
+    """An aggregate: the group's values as an array in the order of a column, to
+    use as ``groupBy(g).agg(mann_kendall(ordered("y", "ds")))``."""
+    value, order = (F.col(c) if isinstance(c, str) else c for c in (value, order))
+    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("t"), value.cast("double").alias("v")))), lambda r: r["v"])
+
+
 def trend_statistics(df: DataFrame, target_col: str = Y, id_col: str = ID, time_col: str = TIME) -> DataFrame:
     s = as_series(df, target_col, id_col, time_col)
     return s.select(id_col, mann_kendall("series").alias("mann_kendall"), sens_slope("series").alias("sens_slope"))

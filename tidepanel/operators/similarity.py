@@ -86,6 +86,10 @@ PAIRWISE = {f"compute_pairwise_{m}": _named(f"compute_pairwise_{m}", m) for m in
 globals().update(PAIRWISE)
 
 
+def compute_distances(df1: DataFrame, df2: DataFrame, method: str = "dtw", **options) -> DataFrame:
+    return compute_pairwise_distance(df1, df2, method, **options)
+
+
 def symmetric(pairs: DataFrame) -> DataFrame:
     """Both directions of a pair table (id_1, id_2, d)."""
     a, b, d = pairs.columns
@@ -93,7 +97,10 @@ def symmetric(pairs: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "d"))
 
 
-pairwise_to_table = symmetric
+def pairwise_to_dict(pairs: DataFrame, most: int = 1_000_000) -> dict:
+    """Both directions of a pair table as a dict, for up to ``most`` pairs."""
+    ensure(pairs.count() <= most, "too many pairs for a dict; use symmetric()")
+    return {(r[0], r[1]): r[2] for r in symmetric(pairs).collect()}
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -635,6 +635,64 @@ def reconcile_ols(spark, d):
 
 
 
+# -- scores, neighbours and rules ------------------------------------------
+
+_SBD = f"{_V}, pr AS (SELECT a.id AS id_1, b.id AS id_2, a.s AS a, b.s AS b FROM v a JOIN v b ON a.id <> b.id), cc AS (SELECT id_1, id_2, a, b, max(list_sum(list_transform(range(1, 13), lambda i: CASE WHEN i + k BETWEEN 1 AND 12 THEN a[i + k] * b[i] ELSE 0 END))) AS m FROM pr, (SELECT unnest(range(-11, 12)) AS k) GROUP BY ALL), d AS (SELECT id_1, id_2, id_1 % 3 AS c1, id_2 % 3 AS c2, 1 - m / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS d FROM cc)"
+
+
+def _score_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the vectors of a label, and a fixed grouping of them."""
+    v = some_vectors(spark, d)
+    return similarity.pair_distances(v, v, "sbd", "sbd", {}), v.select("unique_id", (F.col("unique_id") % 3).alias("cluster"))
+
+
+@query("silhouette", f"WITH {_SBD}, m AS (SELECT id_1, c1, c2, avg(d) AS m FROM d GROUP BY ALL), s AS (SELECT id_1, c1, coalesce(max(m) FILTER (WHERE c1 = c2), 0) AS a, min(m) FILTER (WHERE c1 <> c2) AS b FROM m GROUP BY ALL) SELECT id_1 AS unique_id, c1 AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) + 0.0 AS silhouette FROM s")
+def silhouette(spark, d):
+    return rounded(similarity.silhouette_from_pairs(*_score_inputs(spark, d)))
+
+
+@query("cluster_medoids", f"WITH {_SBD}, s AS (SELECT id_1, c1, sum(d) FILTER (WHERE c1 = c2) AS s, sum(d * d) FILTER (WHERE c1 = c2) AS s2 FROM d GROUP BY ALL) SELECT c1 AS c, arg_min(id_1, struct_pack(s := s, i := id_1)) AS medoid, count(*) AS n, round(min(s) / count(*), 6) AS scatter, round(arg_min(s2, struct_pack(s := s, i := id_1)), 6) AS within FROM s GROUP BY 1")
+def cluster_medoids(spark, d):
+    return rounded(similarity.medoids_from_pairs(*_score_inputs(spark, d)))
+
+
+@query("nearest_neighbours", f"WITH {_SBD} SELECT id_1, id_2, round(d, 6) + 0.0 AS d, row_number() OVER (PARTITION BY id_1 ORDER BY d, id_2) AS rank FROM d QUALIFY rank <= 3")
+def nearest_neighbours(spark, d):
+    pairs, _ = _score_inputs(spark, d)
+    return rounded(similarity.nearest(similarity.symmetric(pairs), 3))
+
+
+@query("promotion_lift", "SELECT l_returnflag AS unique_id, round(avg(l_quantity) FILTER (WHERE l_discount > 0.05) / avg(l_quantity) FILTER (WHERE l_discount <= 0.05) - 1, 6) + 0.0 AS lift FROM lineitem GROUP BY 1")
+def promotion(spark, d):
+    from tidepanel.operators.agents import promotion_lift
+
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("unique_id"), F.col("l_quantity").alias("y"), (F.col("l_discount") > 0.05).alias("promo"))
+    return rounded(promotion_lift(rows))
+
+
+@query("inventory_reorder", "WITH s AS (SELECT l_partkey AS unique_id, avg(l_quantity) AS mean, coalesce(stddev_samp(l_quantity), 0) AS std, CAST(max(p_size) AS DOUBLE) AS stock FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT unique_id, round(mean, 6) AS mean, round(std, 6) AS std, stock, round(mean * 2, 6) AS lead_demand, round(std * 1.65 * sqrt(2), 6) AS safety_stock, round(greatest(mean * 2 + std * 1.65 * sqrt(2) - stock, 0), 6) AS order_quantity, stock < mean * 2 AS stock_out FROM s")
+def inventory_reorder(spark, d):
+    from tidepanel.operators.agents import reorder
+
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = l.join(p, l.l_partkey == p.p_partkey).groupBy(F.col("l_partkey").alias("unique_id")).agg(F.avg("l_quantity").alias("mean"), F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("std"), F.max("p_size").cast("double").alias("stock"))
+    return rounded(reorder(rows, "mean", "std", "stock", 2))
+
+
+@query("health_index", f"WITH {DAILY}, n AS (SELECT *, row_number() OVER ({W}) AS i FROM daily), b AS (SELECT unique_id, avg(y) AS b FROM n WHERE i <= 5 GROUP BY 1) SELECT unique_id, ds, round(y, 6) AS y, round(greatest(0, least(1, 1 - (y / b - 1) / 2)), 6) AS health FROM n JOIN b USING (unique_id)")
+def health(spark, d):
+    from tidepanel.operators.agents import health_index
+
+    return rounded(health_index(daily_events(spark, d), "y"))
+
+
+@query("log_returns", f"WITH {DAILY} SELECT unique_id, ds, round(y, 6) AS y, round(ln(y) - ln(lag(y) OVER ({W})), 6) + 0.0 AS ret FROM daily")
+def returns(spark, d):
+    from tidepanel.operators.agents import log_returns
+
+    return rounded(log_returns(daily_events(spark, d)))
+
+
 # -- operators without a SQL form ------------------------------------------
 # Each is tested against brute force or invariants; here they run over whole tables.
 
@@ -701,8 +759,8 @@ def _register() -> None:
         "causal_impact": lambda s, d: rounded(bayes.causal_impact(day(s, d), when), 3),
         "synthetic_control": lambda s, d: rounded(bayes.synthetic_control(day(s, d), "click", when), 3),
         "streaming_ets": lambda s, d: rounded(state.StreamingETS("holt").fit(day(s, d).filter(F.col("ds") < F.lit(when))).partial_fit(day(s, d).filter(F.col("ds") >= F.lit(when))).predict(14)),
-        "event_windows": lambda s, d: rounded(state.event_time_windows(table(s, d, "events").select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y")), "1 day")),
-        "anomaly_consensus": lambda s, d: rounded(agents.anomaly_votes(_values(s, d), 10)),
+        "event_windows": lambda s, d: rounded(state.event_time_windows(table(s, d, "events").select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y")), "1 day")).select("unique_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "sum", "n"),
+        "anomaly_consensus": lambda s, d: _votes(s, d),
         "portfolio": lambda s, d: rounded(agents.MARLOrchestrator(5).run_from_dataframe(day(s, d)).weights),
         "supply_chain": lambda s, d: rounded(agents.SupplyChainOrchestrator().run(day(s, d))["reorder"]),
         "scientist": lambda s, d: rounded(agents.TimeSeriesScientist(3).run(day(s, d)).predictions, 3),
@@ -710,6 +768,18 @@ def _register() -> None:
     for name, fn in q.items():
         _later(name, fn)
     ORACLES["streaming_ets"] = _HOLT
+    ORACLES["anomaly_consensus"] = f"""WITH {USERS}, {_U}, c AS (SELECT *, list(y) OVER f AS c, count(*) OVER f AS n, avg(y) OVER f AS m, median(y) OVER f AS q, stddev_pop(y) OVER f AS s FROM u WINDOW f AS ({W} ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT unique_id, ds, y, abs(y - m) / (s + 1e-10) AS z, abs(y - q) / (s + 1e-10) AS r, 0.6745 * abs(y - q) / (list_median(list_transform(c, lambda x: abs(x - q))) + 1e-10) AS k FROM c WHERE n = 9)
+SELECT unique_id, ds, round(y, 6) AS y, round(z, 4) AS zscore_score, z > 3 AS zscore_vote, round(r, 4) AS rolling_std_score, r > 3 AS rolling_std_vote, round(k, 4) AS mad_score, k > 3.5 AS mad_vote, (z > 3)::INT + (r > 3)::INT + (k > 3.5)::INT >= 2 AS is_anomaly FROM z"""
+    ORACLES["event_windows"] = "SELECT event_type AS unique_id, date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS stop, round(sum(value), 6) AS sum, count(value) AS n FROM events GROUP BY 1, 2, 3"
+
+
+def _votes(spark, d) -> DataFrame:
+    from tidepanel.operators.agents import anomaly_votes
+
+    rows = anomaly_votes(_values(spark, d), 10)
+    scores = [c for c in rows.columns if c.endswith("_score")]
+    return rows.select("unique_id", "ds", F.round("y", 6).alias("y"), *[F.round(c, 4).alias(c) for c in scores], *[c for c in rows.columns if c.endswith("_vote")], "is_anomaly")
 
 
 def _wide(spark, d) -> DataFrame:

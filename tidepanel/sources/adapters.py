@@ -179,6 +179,39 @@ def series_embeddings(df: DataFrame, encoder=None, package: str = "torch", id_co
     return s.select(id_col, run("series").alias("embedding"))
 
 
+def _cluster_function(name: str):
+    def run(df: DataFrame, k: int, runner=None, **options) -> DataFrame:
+        return OPTIONAL_MODELS[name](runner, n_clusters=k, **options).fit(df).predict()
+
+    run.__doc__ = f"Function form of {name}."
+    return run
+
+
+contrastive_cluster, dec_cluster, idec_cluster = (_cluster_function(n) for n in ("ContrastiveClusterer", "DECClusterer", "IDECClusterer"))
+
+
+def build_forecast_df(forecasts: DataFrame, history: DataFrame, h: int, id_col: str = ID, time_col: str = TIME) -> DataFrame:
+    """Future times, by the step of each series, for rows (id, forecast array)."""
+    from tidepanel.panel import explode_horizon, median_step
+
+    rows = explode_horizon(forecasts.join(median_step(history, id_col, time_col), id_col), h, id_col, time_col, history.schema[time_col].dataType)
+    return rows.select(id_col, time_col, F.get("forecast", F.col("k") - 1).alias("y_hat"))
+
+
+def extract_classification_data(df: DataFrame, label_col: str | None = None, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> DataFrame:
+    """id, series padded with zeros to the longest, and the label's code."""
+    s = as_series(df, target_col, id_col, time_col)
+    widest = s.agg(F.max(F.size("series")).alias("__w"))
+    s = s.crossJoin(F.broadcast(widest)).select(id_col, F.concat("series", F.array_repeat(F.lit(0.0), F.col("__w") - F.size("series"))).alias("series"))
+    if label_col is None:
+        return s
+    from pyspark.sql import Window
+
+    labels = df.groupBy(id_col).agg(F.min(label_col).alias("label"))
+    codes = labels.select("label").distinct().withColumn("label_code", F.row_number().over(Window.orderBy("label")) - 1)
+    return s.join(labels, id_col).join(F.broadcast(codes), "label", "left").select(id_col, "series", "label", "label_code")
+
+
 def build_windows(df: DataFrame, input_size: int, h: int, target_col: str = Y, id_col: str = ID, time_col: str = TIME) -> DataFrame:
     """Sliding (input, target) arrays of every series."""
     w = by_time(id_col, time_col)
