@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, mix64, rounds_of, stored
+from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, mix64, modest_batches, rounds_of, stored
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _U64 = 1 << 64
@@ -441,6 +441,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     """Per document row: doc_id, n_shingles, class_id (the smallest id with the
     same set) and component_id (the smallest id that links lead to)."""
     spark = docs.sparkSession
+    modest_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = spark.sparkContext.broadcast(frequent_shingles(docs, k))

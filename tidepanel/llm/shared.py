@@ -49,6 +49,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session still has Spark's defaults, send Arrow
+    batches of at most 8 MB and 2,000 rows to Python instead of 64 MB and 10,000."""
+    for key, default, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -170,7 +178,7 @@ def hash_of_words(words: list[str]) -> np.ndarray:
     return Words(pa.array(words, pa.string()), ALNUM_TABLE).hashes() if words else np.zeros(0, np.uint64)
 
 
-def text_slices(column: pa.Array, limit: int = 6_000_000) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(column: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Cut a column into runs of some ``limit`` bytes, so that the arrays over
     single bytes stay small; a longer text is a run of its own."""
     column = column.cast(pa.large_string())
@@ -182,7 +190,7 @@ def text_slices(column: pa.Array, limit: int = 6_000_000) -> Iterator[tuple[int,
         at = stop
 
 
-def rounds_of(batch: pa.RecordBatch, name: str, limit: int = 6_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def rounds_of(batch: pa.RecordBatch, name: str, limit: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """``text_slices`` together with the other columns of a batch."""
     for at, texts in text_slices(batch.column(batch.schema.get_field_index(name)), limit):
         yield batch.slice(at, len(texts)), texts

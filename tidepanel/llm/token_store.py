@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import rounds_of, scratch_path
+from tidepanel.llm.shared import modest_batches, rounds_of, scratch_path
 
 END_ID = 2
 MEMO_WORDS = 250_000
@@ -279,6 +279,7 @@ def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> str:
     """Write a store and return its path. ``tokenizer``: a tokenizers file."""
     spark = docs.sparkSession
+    modest_batches(spark)
     path = path or scratch_path(spark, "token-store")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

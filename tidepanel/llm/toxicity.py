@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.grams import Scan, gram_buckets, text_of, word_buckets
-from tidepanel.llm.shared import fold_of, rounds_of
+from tidepanel.llm.shared import fold_of, modest_batches, rounds_of
 
 BITS = 20
 BUCKETS = 2 << BITS  # words, then 5-grams
@@ -47,7 +47,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of either kind each bucket occurs in this task."""
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
-        for part, texts in rounds_of(batch, "text", 2_000_000):
+        for part, texts in rounds_of(batch, "text", 1_500_000):
             positive = np.array(part.column(1).to_pylist(), bool)
             text, bucket = features(Scan(texts))
             pairs = np.unique(text * BUCKETS + bucket)
@@ -122,6 +122,7 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, ra
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, unlabelled: int = 8000, sample_chars: int = 50_000, most_features: int = 1500, seed: int = 17) -> ToxicModel:
     spark = docs.sparkSession
+    modest_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 2_000_000):
+            for part, texts in rounds_of(batch, "text", 1_500_000):
                 text, feature = _hits(sent.value, Scan(texts))
                 cuts = np.searchsorted(text, np.arange(len(texts) + 1))
                 yield pa.record_batch([part.column(1), pa.array([feature[a:b].astype(np.int16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["positive", "x"])
@@ -174,7 +175,7 @@ def score(docs: DataFrame, model: ToxicModel, folds: int = 5, held: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 3_000_000):
+            for part, texts in rounds_of(batch, "text", 1_500_000):
                 yield pa.record_batch([part.column(0), pa.array(sent.value.scores(texts))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -189,7 +190,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 3_000_000):
+            for part, texts in rounds_of(batch, "text", 1_500_000):
                 yield part.filter(pa.array(sent.value.scores(texts) < 0.5))
 
     assert at >= 0
