@@ -71,6 +71,23 @@ ODD = [
 ]
 
 
+def test_encoding_of_slices():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tidepanel.llm.shared import text_slices
+    from tidepanel.llm.token_store import encoder_of
+
+    rows = corpus() + [(7000 + i, t, "en", "a", 1) for i, t in enumerate(ODD)]
+    want = tokens_of(rows)
+    enc = encoder_of(public_tokenizers.path("word_bpe_49k.json"))
+    for limit in (50, 3000, 10**9):
+        for start, texts in text_slices(pa.array([r[1] for r in rows], pa.string()).slice(2), limit):
+            ids, first = enc.encode_texts(texts)
+            for r, a, b in zip(rows[2 + start :], first, first[1:]):
+                assert ids[a:b].tolist() == want[r[0]]
+
+
 def test_store_round_trip(spark):
     import public_tokenizers
 

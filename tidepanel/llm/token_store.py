@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import modest_batches, rounds_of, scratch_path
+from tidepanel.llm.shared import byte_table, modest_batches, rounds_of, scratch_path
 
 END_ID = 2
 MEMO_WORDS = 250_000
@@ -121,11 +121,18 @@ class WordEncoder:
         texts); every text ends with the end id."""
         texts = texts.cast(pa.large_string())
         texts = texts.fill_null("") if texts.null_count else texts
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        # A copy from its own first byte on: some kernels misread slices.
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        low, high = int(offsets[0]), int(offsets[-1])
+        raw = memoryview(texts.buffers()[2])[low:high].tobytes() if high > low else b""
+        plain = b"<|" not in raw
+        raw = raw.translate(byte_table(b"")) if plain else raw
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - low).tobytes()), pa.py_buffer(raw))
+        if plain:
             # Fewer distinct words, with the same ids: capitals go anyway, and marks
             # at the end of a word are pieces of their own. (Not beside what may be
             # a special token, which is matched before letters are made small.)
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?]+)([ \n])", r"\1 \2\3")
+            texts = pc.replace_substring_regex(texts, r"([a-z])([.,;:!?]+)([ \n])", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()
