@@ -34,6 +34,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ LEAST_IDS, MOST_IDS = 64, 2048
 #: The pieces into which this tokenizer cuts plain Latin words.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _GAPS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -80,6 +82,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.letters = _byte_letters()
+        self.spelling = {c: "".join(map(self.letters.__getitem__, chr(c).encode())) for c in range(0x80, 0x100)}
         self.clear()
 
     def clear(self) -> None:
@@ -90,21 +93,27 @@ class WordEncoder:
         self.ends = array("q", [1])
 
     def _new_pieces(self, pieces: list[str]) -> None:
-        spelled = [x if x.isascii() else "".join(map(self.letters.__getitem__, x.encode())) for x in pieces]
-        for piece, e in zip(pieces, self.model.encode_batch_fast(spelled, add_special_tokens=False)):
+        for piece, e in zip(pieces, self.model.encode_batch_fast([x.translate(self.spelling) for x in pieces], add_special_tokens=False)):
             self.pieces[piece] = e.ids
 
     def learn(self, words: list[str]) -> None:
         """Put new words into the pool."""
         cut: dict[str, list[str]] = {}
+        letters: list[str] = []
         other: list[str] = []
         for w in words:
-            if w.isascii() and w.isalpha():
-                cut[w] = [w.lower()]
+            if _LETTERS.fullmatch(w):
+                letters.append(w)
             elif _PLAIN.fullmatch(w) and "<|" not in w:
                 cut[w] = _PIECES.findall(w.lower())
             else:
                 other.append(w)
+        if letters:
+            found = [e.ids for e in self.model.encode_batch_fast([w.lower().translate(self.spelling) for w in letters], add_special_tokens=False)]
+            at = len(self.ends)
+            self.ends.extend((len(self.pool) + np.cumsum([len(ids) for ids in found])).tolist())
+            self.pool.extend(chain.from_iterable(found))
+            self.words.update(zip(letters, range(at, at + len(letters))))
         self._new_pieces(list({p for ps in cut.values() for p in ps if p not in self.pieces}))
         for w, ps in cut.items():
             for p in ps:
