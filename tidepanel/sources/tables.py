@@ -29,10 +29,10 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("unique_id"), rank.cast("long").alias("ds"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("y"), "value")
 
 
-def labelled_vectors(spark: SparkSession, sf_dir: str, length: int = 12, modulus: int = 1) -> DataFrame:
-    """Embeddings as series: unique_id, series (first ``length`` values), label."""
+def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as series: unique_id, series (all components), label."""
     v = table(spark, sf_dir, "embeddings")
-    return v.select(F.col("vec_id").alias("unique_id"), F.slice(F.col("embedding").cast("array<double>"), 1, length).alias("series"), F.col("label").cast("long").alias("label"))
+    return v.select(F.col("vec_id").alias("unique_id"), F.col("embedding").cast("array<double>").alias("series"), F.col("label").cast("long").alias("label"))
 
 
 def nation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
