@@ -216,6 +216,35 @@ def test_toxicity(spark):
     assert w[0] + b > 0 > b
 
 
+def test_toxicity_of_long_texts(spark):
+    import pyarrow as pa
+
+    from tidepanel.llm.grams import Scan, word_buckets
+    from tidepanel.llm.toxicity import BITS, BUCKETS, ToxicModel, learn, score
+
+    # Twenty weak features, one in each stretch of text: length alone adds up to nothing.
+    weak = [f"chance{c}" for c in "abcdefghijklmnopqrst"]
+    slot = np.full(BUCKETS, -1, np.int16)
+    slot[word_buckets(Scan(pa.array([" ".join(weak)])).words, BITS)] = np.arange(20)
+    model = ToxicModel(slot, np.full(20, 0.4), -2.0)
+    dull = "calm words " * 300
+    long, dense, short = " ".join(f"{dull} {w}" for w in weak * 5), f"{dull * 30} {' '.join(weak)} {dull}", " ".join(weak)
+    got = model.scores(pa.array([long, dense, short, weak[0], None, dull]))
+    assert got[0] < got[3] < 0.5 < got[1] < got[2] and got[4] == got[5] == pytest.approx(1 / (1 + np.exp(2)))
+    # Long documents are sampled: all positives are over 50,000 characters here.
+    rng, rows, labels = np.random.default_rng(4), [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        words = talk(rng, "en", 12_000 if toxic or i % 20 == 1 else 60).split()
+        words[30:30] = ["scumbag", "idiotic"] if toxic else []
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    assert min(len(r[1]) for r in rows[::4]) > 50_000
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.predicted for r in score(docs, learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    assert np.mean([got[i] == int(i % 4 == 0) for i in got]) > 0.97
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -6,11 +6,15 @@ samples (``positives``, ``unlabelled``) the features that differ most between th
 two are chosen, and a linear model on their presence minimises the risk
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) (Kiryo et
 al. 2017) with the logistic loss in numpy. The prior is the share of label 1
-among the labels that may be used. The score is the sigmoid of the model over the
-whole text, every n-gram of it.
-
-Samples are hash samples of whole documents of at most ``sample_chars``
-characters. Labels of the held-out fold are never read for learning, and a
+among the labels that may be used. The score is the sigmoid of bias + log(mean(exp(sum of
+weights))) over the text's windows of ``WINDOW`` bytes, which start every half window
+and together hold every n-gram: the odds that some one window is toxic. A sum over
+the whole text, or its highest window, would rise with length alone. The model is fitted on
+each sampled document's highest window, chosen again as the weights change, and
+features count in the unlabelled once a window, so what a long text meets by chance
+is not taken for toxic.
+
+Samples are hash samples of whole documents of every length. Labels of the held-out fold are never read for learning, and a
 document's labels, lang, source and id are no inputs of its score.
 
 Defined cases: null and empty texts get the score of a text without features;
@@ -34,40 +38,70 @@ from tidepanel.llm.shared import fold_of, modest_batches, rounds_of
 
 BITS = 20
 BUCKETS = 2 << BITS  # words, then 5-grams
+HALF = 1_000
+WINDOW = 2 * HALF
 
 
-def features(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every word and 5-gram, with repetitions."""
+def features(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, byte in the text) of every word and 5-gram, with repetitions."""
     words = scan.words
     at, gram = gram_buckets(scan.data, scan.edge, 5, BITS)
-    return np.concatenate([words.text_of_words(), text_of(at, scan.edge)]), np.concatenate([word_buckets(words, BITS), gram + (1 << BITS)])
+    text = np.concatenate([words.text_of_words(), text_of(at, scan.edge)])
+    return text, np.concatenate([word_buckets(words, BITS), gram + (1 << BITS)]), np.concatenate([words.begin, at]) - scan.edge[text]
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of either kind each bucket occurs in this task."""
+    """In how many positives, and in how many windows (side by side) of unlabelled
+    documents, each bucket occurs in this task."""
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         for part, texts in rounds_of(batch, "text", 1_500_000):
             positive = np.array(part.column(1).to_pylist(), bool)
-            text, bucket = features(Scan(texts))
-            pairs = np.unique(text * BUCKETS + bucket)
-            kind = positive[pairs // BUCKETS].astype(np.int64)
-            for k in (0, 1):
-                counts[k] += np.bincount(pairs[kind == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+            text, bucket, byte = features(Scan(texts))
+            known = positive[text]
+            for k, own in enumerate((~known, known)):
+                cell = text[own] if k else text[own] + len(texts) * (byte[own] // WINDOW)
+                pairs = np.unique(cell * BUCKETS + bucket[own])
+                counts[k] += np.bincount(pairs % BUCKETS, minlength=BUCKETS).astype(np.int32)
     found = np.flatnonzero(counts[0] + counts[1])
     for lo in range(0, len(found), 100_000):
         at = found[lo : lo + 100_000]
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "u", "p"])
 
 
-def _hits(slot: np.ndarray, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs for the chosen features."""
-    width = int(slot.max()) + 2
-    text, bucket = features(scan)
-    found = slot[bucket]
-    at = np.flatnonzero(found >= 0)
-    pairs = np.unique(text[at] * width + found[at])
-    return pairs // width, pairs % width
+@dataclass
+class Windows:
+    """The windows of a batch of texts that hold chosen features: ``feature`` by
+    window, ``of``: the window of each, ``text`` of each window, ``bare``: how many
+    windows of each text hold none."""
+
+    feature: np.ndarray
+    of: np.ndarray
+    text: np.ndarray
+    bare: np.ndarray
+
+    def level(self, weights: np.ndarray) -> np.ndarray:
+        """Per text, the logarithm of the mean of exp(sum of weights) of its windows."""
+        total = np.bincount(self.of, weights[self.feature], minlength=len(self.text))
+        top = np.where(self.bare > 0, 0.0, -np.inf)
+        np.maximum.at(top, self.text, total)
+        mass = self.bare * np.exp(-top) + np.bincount(self.text, np.exp(total - top[self.text]), minlength=len(top))
+        return top + np.log(mass / (self.bare + np.bincount(self.text, minlength=len(top))))
+
+
+def _windows(slot: np.ndarray, scan: Scan) -> Windows:
+    width, sizes = int(slot.max()) + 2, np.diff(scan.edge)
+    number = np.maximum(-(-(sizes - WINDOW) // HALF), 0) + 1
+    first = np.concatenate([[0], np.cumsum(number)])
+    text, bucket, byte = features(scan)
+    at = np.flatnonzero(slot[bucket] >= 0)
+    text, feature, k = text[at], slot[bucket[at]].astype(np.int64), byte[at] // HALF
+    # Every place lies in the windows that start in its half and in the one before.
+    keys = [(first[text[ok]] + w[ok]) * width + feature[ok] for w in (k, k - 1) for ok in [(w >= 0) & (w < number[text])]]
+    pairs = np.unique(np.concatenate(keys))
+    window, of = np.unique(pairs // width, return_inverse=True)
+    owner = np.searchsorted(first, window, "right") - 1
+    return Windows(pairs % width, of, owner, number - np.bincount(owner, minlength=len(sizes)))
 
 
 @dataclass
@@ -81,13 +115,12 @@ class ToxicModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
-        text, feature = _hits(self.slot, Scan(texts))
-        z = np.bincount(text, self.weights[feature], minlength=len(texts)) + self.bias
+        z = _windows(self.slot, Scan(texts)).level(self.weights) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def choose_features(counts: DataFrame, n_u: int, n_p: int, prior: float, most: int) -> np.ndarray:
-    """The buckets that differ most between positives and unlabelled documents
+    """The buckets that differ most between positives and windows of the unlabelled
     (chi-square), of those where the prior-corrected share of toxic documents,
     prior * p / u, is a half or more even at the low end of p. ``counts``: bucket,
     u, p; at most ``most`` rows reach the driver."""
@@ -120,7 +153,7 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, ra
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, unlabelled: int = 8000, sample_chars: int = 50_000, most_features: int = 1500, seed: int = 17) -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, positives: int = 4000, unlabelled: int = 8000, most_features: int = 1500, seed: int = 17) -> ToxicModel:
     spark = docs.sparkSession
     modest_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
@@ -132,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     # About that many ids whatever the number of labels: safe to send to every task.
     picked = known.filter(F.col("toxic") & (share < min(1.0, positives / toxic))).select("doc_id", F.lit(True).alias("positive"))
-    pool = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held) & (F.length("text") <= sample_chars))
+    pool = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
     n_pool = docs.filter(F.col("doc_id").isNotNull()).count() * (folds - 1) / folds
     share_u = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     both = pool.join(F.broadcast(picked), "doc_id", "left").withColumn("in_u", share_u < min(1.0, unlabelled / max(n_pool, 1)))
@@ -153,20 +186,25 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in rounds_of(batch, "text", 1_500_000):
-                text, feature = _hits(sent.value, Scan(texts))
-                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                yield pa.record_batch([part.column(1), pa.array([feature[a:b].astype(np.int16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["positive", "x"])
-
-    coded = both.mapInArrow(encode, "positive boolean, x binary").collect()
+                w = _windows(sent.value, Scan(texts))
+                cuts = np.searchsorted(w.of, np.arange(len(w.text) + 1))
+                rows = [[] if not bare else [b""] for bare in w.bare]
+                for text, lo, hi in zip(w.text.tolist(), cuts, cuts[1:]):
+                    rows[text].append(w.feature[lo:hi].astype(np.int16).tobytes())
+                yield pa.record_batch([part.column(1), pa.array([sorted(set(r)) for r in rows], pa.list_(pa.binary()))], names=["positive", "x"])
+
+    coded = both.mapInArrow(encode, "positive boolean, x array<binary>").collect()
     both.unpersist()
-    x = np.zeros((len(coded), len(chosen)), np.float32)
+    coded.sort(key=lambda r: (r.positive, r.x))  # the same sum order in every run
     y = np.array([r.positive for r in coded], bool)
-    for i, r in enumerate(coded):
-        x[i, np.frombuffer(r.x, np.int16)] = 1
-    order = np.lexsort((x @ np.arange(1, x.shape[1] + 1, dtype=np.float32), y))  # the same sum order in every run
-    x, y = x[order], y[order]
-    w, b = fit_nnpu(x[y], x[~y], prior)
-    return ToxicModel(slot, w, b)
+    sets = [[np.frombuffer(w, np.int16).astype(np.int64) for w in r.x] for r in coded]
+    weights = np.ones(len(chosen))
+    for _ in range(5):
+        x = np.zeros((len(sets), len(chosen)), np.float32)
+        for i, windows in enumerate(sets):
+            x[i, windows[0] if len(windows) == 1 else max(windows, key=lambda w: weights[w].sum())] = 1
+        weights, bias = fit_nnpu(x[y], x[~y], prior)
+    return ToxicModel(slot, weights, bias)
 
 
 def score(docs: DataFrame, model: ToxicModel, folds: int = 5, held: int = 0) -> DataFrame:
