@@ -38,3 +38,15 @@ def test_vector_queries_read_the_whole_table(spark, tmp_path):
     for name in ("silhouette", "kmedoids", "clara", "clarans", "agglomerative", "dbscan", "hdbscan", "spectral_cluster", "kshape", "kmeans_dba", "kasba", "shapelet_cluster"):
         assert sorted(r.unique_id for r in run(name)) == sorted(ids), name
     assert len(run("auto_cluster")) == 6
+
+
+def test_dbscan_of_a_long_chain(spark):
+    from tidepanel.operators.clustering import dbscan_cluster
+
+    # 200 cores one step apart, ids in a scattered order; two more far away, and noise.
+    order = np.random.default_rng(1).permutation(200)
+    rows = [(int(order[i]), [float(i)]) for i in range(200)] + [(300 + i, [500.0 + i]) for i in range(2)] + [(400, [900.0])]
+    got = {r[0]: r.cluster for r in dbscan_cluster(spark.createDataFrame(rows, "unique_id long, series array<double>"), eps=1.0, min_samples=2).collect()}
+    assert got == {**{i: 0 for i in range(200)}, 300: 1, 301: 1, 400: -1}
+    with pytest.raises(RuntimeError):
+        dbscan_cluster(spark.createDataFrame(rows, "unique_id long, series array<double>"), eps=1.0, min_samples=2, rounds=1)

@@ -82,21 +82,14 @@ def agglomerative_cluster(df: DataFrame, method: str = "dtw", n_clusters: int =
 
 def dbscan_cluster(df: DataFrame, method: str = "dtw", eps: float = 0.5, min_samples: int = 5, id_col: str = ID, target_col: str = Y, time_col: str = TIME, rounds: int = 50, **options) -> DataFrame:
     """Noise is -1; clusters are numbered by their smallest core id. Edges of at
-    most eps, core counts and label spreading are joins."""
+    most eps, core counts and components are joins. A component is done in a number of
+    rounds that grows with the logarithm of its length; more than ``rounds`` raises."""
     s = gathered(df, target_col, id_col, time_col)
     kernel, options = S._kernel(method, options)
     near = S.symmetric(S.pair_distances(s, s, "d", kernel, options)).filter(F.col("d") <= eps).select("id_1", "id_2").cache()
     core = s.select(F.col(id_col).alias("id_1")).join(near, "id_1", "left").groupBy("id_1").agg((F.count("id_2") + 1).alias("n")).filter(F.col("n") >= min_samples).select(F.col("id_1").alias("c")).cache()
     edges = near.join(core, F.col("id_1") == F.col("c"), "left_semi").join(core, F.col("id_2") == F.col("c"), "left_semi").cache()
-    label = core.select("c", F.col("c").alias("root"))
-    before = None
-    for _ in range(rounds):
-        spread = edges.join(label, F.col("id_1") == F.col("c")).select(F.col("id_2").alias("c"), "root").unionByName(label)
-        label = spread.groupBy("c").agg(F.min("root").alias("root")).cache()
-        now = label.agg(F.sum(F.xxhash64("c", "root") % 1_000_003)).first()[0]
-        if now == before:
-            break
-        before = now
+    label = _components(core, edges, rounds)
     from pyspark.sql import Window
 
     number = label.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")).cast("long") - 1)
@@ -106,6 +99,31 @@ def dbscan_cluster(df: DataFrame, method: str = "dtw", eps: float = 0.5, min_sam
     return out.select(id_col, F.coalesce("cluster", "near", F.lit(-1).cast("long")).alias("cluster"))
 
 
+def _components(core: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """(c, root): the smallest id of each node's component, by large and small stars
+    (Kiveris et al. 2014). ``core``: c; ``edges``: id_1, id_2 in both directions."""
+
+    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = both.join(low, "u").filter("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = out if large else out.unionByName(low.select("u", F.col("m").alias("v")))
+        return out.filter("u <> v").distinct()
+
+    pairs = edges.filter("id_1 > id_2").select(F.col("id_1").alias("u"), F.col("id_2").alias("v")).localCheckpoint()
+    sums = lambda p: tuple(p.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    before = sums(pairs)
+    for _ in range(rounds):
+        pairs = stars(stars(pairs, True), False).localCheckpoint()
+        now = sums(pairs)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return core.join(pairs, F.col("c") == F.col("u"), "left").select("c", F.coalesce("v", "c").alias("root"))
+
+
 def hdbscan_cluster(df: DataFrame, method: str = "dtw", min_cluster_size: int = 5, min_samples: int | None = None, id_col: str = ID, target_col: str = Y, time_col: str = TIME, **options) -> DataFrame:
     ids, d = distance_matrix(df, method, target_col, id_col, time_col, **options)
     return _labels(df, ids, C.hdbscan(d, min_cluster_size, min_samples), id_col)
