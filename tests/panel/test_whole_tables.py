@@ -50,3 +50,14 @@ def test_dbscan_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(200)}, 300: 1, 301: 1, 400: -1}
     with pytest.raises(RuntimeError):
         dbscan_cluster(spark.createDataFrame(rows, "unique_id long, series array<double>"), eps=1.0, min_samples=2, rounds=1)
+
+
+def test_shapelets_label_every_series(spark):
+    from tidepanel.operators.clustering import UShapeletClusterer
+
+    rng, t = np.random.default_rng(2), np.linspace(0, 6.28, 24)
+    rows = [(i, ((np.sin(3 * t) if i % 2 else t) + rng.normal(0, 0.01, 24)).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "unique_id long, series array<double>")
+    got = {r[0]: r.cluster for r in UShapeletClusterer(2, n_candidates=20, most=12).fit(df).labels_.collect()}
+    assert len(got) == 40 and {got[i] for i in range(0, 40, 2)} == {got[0]} and {got[i] for i in range(1, 40, 2)} == {1 - got[0]}
+    assert sorted(r[0] for r in UShapeletClusterer(2, n_candidates=20, most=40).fit(df).labels_.collect()) == list(range(40))

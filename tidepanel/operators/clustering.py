@@ -227,9 +227,12 @@ class TimeSeriesKMedoids:
 
 
 class UShapeletClusterer:
-    """Distances to the subsequences that split the series best, then k-means."""
+    """Distances to the subsequences that split the series best, then k-means. Beyond
+    ``most`` series, shapelets and centres come from a hash sample of them; every other
+    series gets the nearest centre."""
 
-    def __init__(self, n_clusters: int = 3, n_shapelets: int = 10, shapelet_lengths: list[int] | None = None, n_candidates: int = 100, target_col: str = Y, id_col: str = ID, time_col: str = TIME, seed: int = 42):
+    def __init__(self, n_clusters: int = 3, n_shapelets: int = 10, shapelet_lengths: list[int] | None = None, n_candidates: int = 100, target_col: str = Y, id_col: str = ID, time_col: str = TIME, seed: int = 42, most: int = MATRIX_SERIES):
+        self.most = most
         self.k, self.n_shapelets, self.lengths, self.n_candidates, self.seed = n_clusters, n_shapelets, shapelet_lengths, n_candidates, seed
         self.columns = (target_col, id_col, time_col)
 
@@ -241,7 +244,7 @@ class UShapeletClusterer:
         return float(np.sqrt(((C.znorm(w) - C.znorm(shapelet)) ** 2).mean(1)).min())
 
     def fit(self, df: DataFrame) -> UShapeletClusterer:
-        ids, series = _sample(df, *self.columns)
+        ids, series = _sample(df, *self.columns, self.most)
         _check_k(self.k, len(ids))
         rng = np.random.default_rng(self.seed)
         short = min(map(len, series))
@@ -256,7 +259,19 @@ class UShapeletClusterer:
         scored.sort(key=lambda p: -p[0])
         self.shapelets_ = [s for _, s in scored[: self.n_shapelets]]
         x = np.array([[self.distance(s, p) for p in self.shapelets_] for s in series])
-        self.labels_ = _labels(df, ids, kmeans(x, self.k, self.seed), self.columns[1])
+        found = np.asarray(kmeans(x, self.k, self.seed))
+        self.labels_ = _labels(df, ids, found, self.columns[1])
+        if len(ids) == self.most:
+            names, distance, shapelets = np.unique(found), self.distance, self.shapelets_
+            centres, id_col = np.array([x[found == c].mean(0) for c in names]), self.columns[1]
+
+            @F.pandas_udf("long")
+            def near(v: pd.Series) -> pd.Series:
+                own = np.array([[distance(np.asarray(s, float), p) for p in shapelets] for s in v]).reshape(-1, 1, len(shapelets))
+                return pd.Series(names[((own - centres) ** 2).sum(2).argmin(1)], dtype="int64")
+
+            rest = gathered(df, *self.columns).join(self.labels_.select(id_col), id_col, "left_anti")
+            self.labels_ = self.labels_.unionByName(rest.select(id_col, near("series").alias("cluster")))
         return self
 
 
