@@ -61,3 +61,23 @@ def test_shapelets_label_every_series(spark):
     got = {r[0]: r.cluster for r in UShapeletClusterer(2, n_candidates=20, most=12).fit(df).labels_.collect()}
     assert len(got) == 40 and {got[i] for i in range(0, 40, 2)} == {got[0]} and {got[i] for i in range(1, 40, 2)} == {1 - got[0]}
     assert sorted(r[0] for r in UShapeletClusterer(2, n_candidates=20, most=40).fit(df).labels_.collect()) == list(range(40))
+
+
+def test_enbpi_and_streaming_use_all_rows(spark):
+    from tidepanel.operators.ml import EnbPI
+    from tidepanel.streaming.state import StreamingGlobalForecaster
+
+    rng = np.random.default_rng(5)
+    rows = [(k, i, float(rng.normal(0, s))) for k, s in (("a", 1.0), ("b", 30.0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "unique_id string, ds long, y double").coalesce(1)
+    part, whole = EnbPI(None, 5, [1], max_rows=80).fit(df), EnbPI(None, 5, [1]).fit(df)
+    assert len(part.residuals_) > 270 and np.quantile(part.residuals_, 0.9) == pytest.approx(np.quantile(whole.residuals_, 0.9), rel=0.2)
+    assert len(part.residuals_) + 298 == len(part.update(df).residuals_)
+
+    class Seen:
+        n = 0
+
+        def partial_fit(self, x, y):
+            self.n += len(y)
+
+    assert StreamingGlobalForecaster(Seen(), [1], window_size=200, max_rows=80).partial_fit(df).estimator.n == 298

@@ -308,22 +308,44 @@ class PinballRegressor:
 
 
 class EnbPI:
-    """Ensemble batch prediction intervals: bootstrap models, out-of-bag residuals."""
+    """Ensemble batch prediction intervals: bootstrap models, out-of-bag residuals.
+
+    Beyond ``max_rows`` rows the models are fitted on a seeded hash sample of about that
+    many; the rows outside it are out of every bag, and their residuals count too (one
+    double a row on the driver)."""
 
     def __init__(self, estimator_factory: Callable[[], object] | None = None, n_bootstraps: int = 25, lags: list[int] | None = None, coverage: float = 0.9, target_col: str = Y, id_col: str = ID, time_col: str = TIME, seed: int = 42, max_rows: int = 200_000):
         ensure(0 < coverage < 1, "coverage must be in (0, 1)")
         self.factory, self.n, self.coverage, self.seed, self.max_rows = estimator_factory or Ridge, n_bootstraps, coverage, seed, max_rows
         self.base = RecursiveForecaster(None, lags or [1], target_col=target_col, id_col=id_col, time_col=time_col)
 
-    def _matrix(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, df: DataFrame) -> tuple[DataFrame, list[str], str]:
         self.base._codes(df)
         rows, names = self.base.features(df)
-        rows = rows.select(*names, self.base.target_col).na.drop()
-        pdf = rows.limit(self.max_rows).toPandas()
-        return pdf[names].to_numpy(float), pdf[self.base.target_col].to_numpy(float)
+        y = self.base.target_col
+        return rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [*names, y]]).na.drop(), names, y
+
+    def _errors(self, rows: DataFrame, names: list[str], y: str) -> np.ndarray:
+        """Absolute residuals of all rows against the mean of the models."""
+        models = self.models_
+
+        def run(batches):
+            for pdf in batches:
+                mean = np.mean([np.asarray(m.predict(pdf[names].to_numpy(float))) for m in models], axis=0) if len(pdf) else np.zeros(0)
+                yield pd.DataFrame({"e": np.abs(pdf[y].to_numpy(float) - mean)})
+
+        return rows.mapInPandas(run, "e double").toPandas()["e"].to_numpy(float)
 
     def fit(self, df: DataFrame) -> EnbPI:
-        x, y = self._matrix(df)
+        rows, names, target = self._rows(df)
+        n, rest = rows.count(), None
+        ensure(n > 0, "no complete training rows")
+        if n > self.max_rows:
+            part = F.pmod(F.xxhash64(F.lit(self.seed), *[F.col(f"`{c}`") for c in [*names, target]]), F.lit(1 << 30))
+            bound = int((1 << 30) * self.max_rows / n)
+            rows, rest = rows.filter(part < bound), rows.filter(part >= bound)
+        pdf = rows.toPandas()
+        x, y = pdf[names].to_numpy(float), pdf[target].to_numpy(float)
         rng = np.random.default_rng(self.seed)
         self.models_, total, count = [], np.zeros(len(y)), np.zeros(len(y))
         for _ in range(self.n):
@@ -336,6 +358,8 @@ class EnbPI:
             count[out] += 1
         seen = count > 0
         self.residuals_ = np.abs(y[seen] - total[seen] / count[seen])
+        if rest is not None:
+            self.residuals_ = np.concatenate([self.residuals_, self._errors(rest, names, target)])
         return self
 
     def predict(self, df: DataFrame, h: int) -> DataFrame:
@@ -351,7 +375,5 @@ class EnbPI:
 
     def update(self, df: DataFrame) -> EnbPI:
         """Add the residuals of new rows (with their history for the lags)."""
-        x, y = self._matrix(df)
-        mean = np.mean([np.asarray(m.predict(x)) for m in self.models_], axis=0)
-        self.residuals_ = np.concatenate([self.residuals_, np.abs(y - mean)])
+        self.residuals_ = np.concatenate([self.residuals_, self._errors(*self._rows(df))])
         return self

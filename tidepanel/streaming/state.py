@@ -250,7 +250,8 @@ class SgdRegressor:
 
 
 class StreamingGlobalForecaster:
-    """A partial_fit estimator on lags, re-trained on the window of each batch."""
+    """A partial_fit estimator on lags, re-trained on the window of each batch; more
+    than ``max_rows`` rows come in several seeded hash parts, one after the other."""
 
     def __init__(self, estimator=None, lags: list[int] | None = None, window_size: int = 100, id_col: str = ID, time_col: str = TIME, target_col: str = Y, max_rows: int = 500_000):
         from tidepanel.operators.ml import RecursiveForecaster
@@ -264,9 +265,13 @@ class StreamingGlobalForecaster:
         self.window.append(df.select(b.id_col, b.time_col, b.target_col))
         b._codes(self.window.frame_)
         rows, names = b.features(self.window.frame_)
-        pdf = rows.select(*names, b.target_col).na.drop().limit(self.max_rows).toPandas()
-        if len(pdf):
-            self.estimator.partial_fit(pdf[names].to_numpy(float), pdf[b.target_col].to_numpy(float))
+        rows = rows.select(*names, b.target_col).na.drop()
+        parts = max(1, -(-rows.count() // self.max_rows))
+        own = F.pmod(F.xxhash64(F.lit(42), *[F.col(f"`{c}`") for c in rows.columns]), F.lit(parts))
+        for k in range(parts):
+            pdf = (rows.filter(own == k) if parts > 1 else rows).toPandas()
+            if len(pdf):
+                self.estimator.partial_fit(pdf[names].to_numpy(float), pdf[b.target_col].to_numpy(float))
         return self
 
     fit = partial_fit
