@@ -189,6 +189,16 @@ def test_license_scan(spark):
         assert size == best
 
 
+def test_license_scan_finds_every_notice(spark):
+    from tidepanel.llm.license_scan import TEMPLATES, scan_licenses
+
+    bsd, size = TEMPLATES[8][1], len(TEMPLATES[8][1].split())
+    rows = [(1, f"{bsd} " * 1000, "en", "a", 1), (2, f"{bsd} {'other ' * 500}{bsd}", "en", "a", 1), (3, bsd, "en", "a", 1)]
+    got = {r.doc_id: [(s.label, s.first, s.last, s.share) for s in r.spans] for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got[1] == [("bsd", i * size, (i + 1) * size - 1, 1.0) for i in range(1000)]
+    assert got[2] == [("bsd", 0, size - 1, 1.0), ("bsd", size + 500, 2 * size + 499, 1.0)] and got[3] == [("bsd", 0, size - 1, 1.0)]
+
+
 def test_toxicity(spark):
     from tidepanel.llm.toxicity import fit_nnpu, keep_clean, learn, score
 

@@ -5,7 +5,8 @@ plain phrases (``PHRASES``). A text is streamed through it; after each word it
 gives the longest run of words ending there that stands in some template (the
 matching statistic), and where that is. Long matches of one template are chained
 in rising order on both sides, with gaps; the share of the template's words that
-a chain covers decides on its label and gives the span in the text. Places of the
+a chain covers decides on its label and gives the span in the text; every place where
+a template stands is a span. Places of the
 plain phrases are read off the same states.
 
 Only words of the automaton's vocabulary can be part of a match, and a match of
@@ -19,8 +20,10 @@ score 0; repeated rows are scanned each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -186,22 +189,52 @@ class Scanner:
         spans = []
         for number, found in by.items():
             found = sorted(set(found))
-            best: list[tuple[int, int]] = []
-            for j, (d, t, n) in enumerate(found):
-                score, prev = n, -1
-                for i in range(j - 1, max(-1, j - 40), -1):
-                    d0, t0, n0 = found[i]
-                    if 0 <= d - (d0 + n0) <= self.most_gap and 0 <= t - (t0 + n0) <= self.most_gap and best[i][0] + n > score:
-                        score, prev = best[i][0] + n, i
-                best.append((score, prev))
-            top = max(range(len(found)), key=lambda j: best[j][0])
-            share = best[top][0] / self.sizes[number]
-            if share >= self.least_share or best[top][0] >= self.least_cover:
-                first = top
-                while best[first][1] >= 0:
-                    first = best[first][1]
-                spans.append((self.names[number], found[first][0], found[top][0] + found[top][2] - 1, min(1.0, share)))
-        return spans
+            while taken := self._take(found, self.sizes[number]):
+                spans += [(self.names[number], first, last, share) for first, last, share in taken]
+                edges = sorted((first, last) for first, last, _ in taken)
+                found = [m for m in found if not _meets(edges, m)]
+        return sorted(spans, key=lambda s: s[1:3])
+
+    def _take(self, found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+        """The best chains of one template, (first, last, share), that pass a limit and
+        do not overlap, best first."""
+        best: list[tuple[int, int]] = []
+        reach = self.most_gap + max((n for _, _, n in found), default=0)
+        for j, (d, t, n) in enumerate(found):
+            score, prev = n, -1
+            for i in range(j - 1, -1, -1):
+                d0, t0, n0 = found[i]
+                if d - d0 > reach:
+                    break
+                if 0 <= d - (d0 + n0) <= self.most_gap and 0 <= t - (t0 + n0) <= self.most_gap and best[i][0] + n > score:
+                    score, prev = best[i][0] + n, i
+            best.append((score, prev))
+        passes = lambda score: score / size >= self.least_share or score >= self.least_cover
+        queue = [(-score, j) for j, (score, _) in enumerate(best) if passes(score)]
+        heapify(queue)
+        edges: list[tuple[int, int]] = []
+        out = []
+        while queue:
+            score, top = heappop(queue)
+            if _meets(edges, found[top]):
+                continue
+            first, whole = top, found[top][2]
+            while (i := best[first][1]) >= 0 and not _meets(edges, found[i]):
+                first, whole = i, whole + found[i][2]
+            if whole < -score:  # its beginning went to a better chain
+                if passes(whole):
+                    heappush(queue, (-whole, top))
+                continue
+            span = (found[first][0], found[top][0] + found[top][2] - 1)
+            insort(edges, span)
+            out.append((*span, min(1.0, whole / size)))
+        return out
+
+
+def _meets(edges: list[tuple[int, int]], match: tuple[int, int, int]) -> bool:
+    """Whether a match overlaps one of the ranges, which are apart and in order."""
+    i = bisect_right(edges, (match[0] + match[2] - 1, float("inf"))) - 1
+    return i >= 0 and edges[i][1] >= match[0]
 
 
 _OUT_DDL = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,share:double>>"
