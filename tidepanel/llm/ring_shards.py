@@ -17,7 +17,8 @@ groups at once and offset by the groups before, so no task holds a whole shard.
 
 Defined cases: a null text has no bytes and the crc32 of none; a null doc_id is a
 value like others; repeated rows each get a slot; an empty table gives no rows.
-Columns other than ``doc_id`` and ``text`` are passed through by ``assign``.
+Columns other than ``doc_id`` and ``text`` are passed through by ``assign``; a
+column with the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import stored
+from tidepanel.llm.shared import columns_of, forget, stored, whole_row
 
 CELL_BITS = 16
 
@@ -109,12 +110,12 @@ class RingPlan:
 
 def assign(docs: DataFrame, shards: int = 24, name: str = "shard", nodes: int = 128, slack: float = 0.002) -> DataFrame:
     """``docs`` with a column for the shard; texts are not shuffled."""
-    rows = docs.select("doc_id", _size().alias("size"), F.xxhash64(_text()).alias("text_hash"))
-    plan = RingPlan.over(stored(rows, "shard-rows"), shards, nodes, slack)
-    cols = list(docs.columns)
-    held = docs.select(F.struct(*[docs[c] for c in cols]).alias("doc"), "doc_id", F.xxhash64(_text()).alias("text_hash"))
+    rows = stored(docs.select("doc_id", _size().alias("size"), F.xxhash64(_text()).alias("text_hash")), "shard-rows")
+    plan = RingPlan.over(rows, shards, nodes, slack)
+    forget(rows)
+    held = docs.select(whole_row(docs).alias("doc"), "doc_id", F.xxhash64(_text()).alias("text_hash"))
     held = held.withColumn("cell", plan.cell()).join(F.broadcast(plan.table(docs.sparkSession)), "cell", "left")
-    return held.select("doc.*", F.col("shard").alias(name))
+    return held.select(*columns_of("doc", [c for c in docs.columns if c != name]), F.col("shard").alias(name))
 
 
 def sharded(docs: DataFrame, shards: int = 24, nodes: int = 128, slack: float = 0.002, group_rows: int = 20_000) -> DataFrame:

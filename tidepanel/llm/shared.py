@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +27,32 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` when
-    the cluster names one, else (tests, one machine) a temporary folder that is
-    then set as the checkpoint directory of this session."""
+    the cluster names one, else the session's checkpoint directory. With a local
+    master (tests, one machine) a temporary folder becomes that directory; on a
+    cluster a missing shared folder is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidepanel-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.add(path)
+    return path
+
+
+#: Paths made inside each open ``scratch_scope``.
+_scopes: list[set[str]] = []
+#: Where the tables that ``stored`` returned lie.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -46,7 +60,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     starts from files that every executor can open, whoever is lost."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            remove_path(table.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Remove the scratch tables made inside, but for those put into ``keep``. What
+    is kept must be stored inside, as lazy results still read other tables."""
+    made: set[str] = set()
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made - {_places.get(t) for t in keep}:
+            remove_path(spark, path)
 
 
 def modest_batches(spark: SparkSession) -> None:
@@ -67,6 +104,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame):
+    """All columns in one struct, so that no name can clash with those of a plan."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list:
+    """The columns of ``whole_row`` again."""
+    return [F.col(row).getField(c).alias(c) for c in names]
+
+
 def ascii_lower(col):
     """Lower-case A-Z only (``lower`` would also change other alphabets)."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
@@ -269,6 +316,7 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
         small = large.join(down, "node")
         small = small.select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("low").alias("root")), F.struct(F.col("node"), F.col("low").alias("root")))).alias("e")).select("e.*")
         nxt = stored(small.filter("node <> root").distinct(), label)
+        forget(least, pairs)
         now = signature(nxt)
         if now == was:
             return nxt
