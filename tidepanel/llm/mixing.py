@@ -4,35 +4,42 @@ Every source gets a target in words (``targets``): the sizes of all documents
 are shared by weight, no source gets more than ``most`` times its own size, and
 what is above is shared again. A target is met by whole passes over the source
 and, for the rest, by a prefix of its documents in a permuted order (by the hash
-of the id): the hash range is cut into blocks, block sums locate the cut, and only
-the block with the cut is looked at row by row. So a source with a third of all
-rows costs one aggregation, and whether a document is taken once more depends on
-its own hash and one number of its source.
-
-Blocks of all passes are then dealt to output shards by a splitting tree: every
-node holds a set of blocks, and a random half of them (exactly so many, drawn
-without replacement, hence multivariate hypergeometric over the sources) goes to
-the left child, until each leaf is a shard. Within a shard copies are ordered by
-a hash. The draws are hashes of fixed seeds, so reruns agree.
+of the id): the hash range is cut into blocks, block sums locate the cut, those
+of finer blocks locate it again, and only the finest block with the cut is looked
+at row by row. So a source with a third of all rows costs some aggregations.
+
+A source's stock is its blocks, once for each pass that takes them; their number
+is its quota. A splitting tree shares the quotas among output shards: every node
+holds a quota of each source, its left child gets a fixed number of blocks, and
+how many of each source is one multivariate hypergeometric draw, source after
+source by inversion of the hypergeometric distribution at a hashed uniform
+number. At the leaves each source's stock, in a permuted order, is dealt out by
+these quotas, so the draws of the shards are disjoint and use the stock up.
+Which copies of a document are taken is read from the dealt blocks (``deal``).
+Rows of a shard are shuffled by a hash. Fixed seeds make reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; documents of size 0 are taken as often as their neighbours and count 0
 words; a source without words has the target 0; repeated rows share a hash and
 are taken alike; an empty table gives no rows. Other columns are passed through
-by ``mix``.
+by ``mix``; a column with the name of a plan column is replaced by it where plan
+columns are asked for. Sources are taken to be few beside documents: a node of the tree
+holds one number for each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import stored
+from tidepanel.llm.shared import columns_of, forget, stored, whole_row
 
 BLOCK_BITS = 10
+FINE_BITS = 20
 BROADCAST_ROWS = 500_000
+LAST_U = (1 << 63) - 1
 
 
 def _size():
@@ -49,8 +56,8 @@ def _order(seed: int):
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def _block():
-    return F.shiftright("u", 63 - BLOCK_BITS).cast("int")
+def _block(bits: int = BLOCK_BITS):
+    return F.shiftright("u", 63 - bits).cast("int")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -72,59 +79,149 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3
     return per.select("key", "source_size", F.least("full", F.when(rate == float("inf"), F.col("full")).otherwise(rate * F.col("w"))).alias("target"))
 
 
+# -- the splitting tree ----------------------------------------------------
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hypergeometric(good: Column, bad: Column, n: Column, u: Column) -> Column:
+    """How many of ``n`` blocks drawn without replacement are among the ``good``
+    ones: the least x whose cumulative probability reaches ``u``. Weights follow
+    from their ratios, in logarithms, and are summed up before the search."""
+    low, high = F.greatest(F.lit(0).cast("long"), n - bad), F.least(n, good)
+    range_ = F.sequence(low, high)
+
+    def onward(weight: Column, x: Column) -> Column:
+        ratio = (good - x) * (n - x) / ((x + 1) * (bad - n + x + 1))
+        return F.when(x < high, weight + F.log(ratio)).otherwise(weight)
+
+    def add(acc: Column, x: Column) -> Column:
+        top = F.greatest(acc["top"], acc["w"])
+        return F.struct(onward(acc["w"], x).alias("w"), top.alias("top"), (acc["total"] * F.exp(acc["top"] - top) + F.exp(acc["w"] - top)).alias("total"))
+
+    begin = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("top"), F.lit(0.0).alias("total"))
+    ready = lambda acc: F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("upto"), F.lit(None).cast("long").alias("x"), acc["top"].alias("top"), acc["total"].alias("total"))
+
+    def seek(acc: Column, x: Column) -> Column:
+        upto = acc["upto"] + F.exp(acc["w"] - acc["top"]) / acc["total"]
+        return F.struct(onward(acc["w"], x).alias("w"), upto.alias("upto"), F.coalesce(acc["x"], F.when(upto >= u, x)).alias("x"), acc["top"].alias("top"), acc["total"].alias("total"))
+
+    return F.aggregate(range_, F.aggregate(range_, begin, add, ready), seek, lambda acc: F.coalesce(acc["x"], high))
+
+
+_QUOTA = "array<struct<key:string,left:bigint,right:bigint>>"
+
+
+def _split_node(quotas: Column, n: Column, seed: Column) -> Column:
+    """The quotas of both children; ``n`` blocks go to the left one."""
+    whole = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    begin = F.struct(whole.alias("blocks"), n.alias("n"), F.array().cast(_QUOTA).alias("out"))
+
+    def draw(acc: Column, s: Column) -> Column:
+        uniform = F.pmod(F.xxhash64(seed, s["key"]), F.lit(1 << 52)) / float(1 << 52)
+        x = hypergeometric(s["n"], acc["blocks"] - s["n"], acc["n"], uniform)
+        return _let(x, lambda x: F.struct((acc["blocks"] - s["n"]).alias("blocks"), (acc["n"] - x).alias("n"), F.concat(acc["out"], F.array(F.struct(s["key"].alias("key"), x.alias("left"), (s["n"] - x).alias("right")))).alias("out")))
+
+    return F.aggregate(quotas, begin, draw, lambda acc: acc["out"])
+
+
+def tree_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The blocks of every source for every shard. ``quotas``: key, n. Returns
+    key, mix_shard, n, with the sums of ``quotas`` over the shards."""
+    whole = F.array_sort(F.collect_list(F.struct("key", F.col("n").cast("long").alias("n"))))
+    nodes = quotas.agg(whole.alias("quotas")).select("quotas", F.lit(0).alias("low"), F.lit(shards).alias("high"))
+    size = shards
+    while size > 1:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        blocks = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+        n = F.round(blocks * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("long")
+        drawn = nodes.withColumn("drawn", _split_node(F.col("quotas"), n, F.xxhash64(F.lit(seed), "low", "high")))
+        own = lambda side: F.transform("drawn", lambda s: F.struct(s["key"].alias("key"), s[side].alias("n")))
+        children = F.array(F.struct(own("left").alias("quotas"), F.col("low"), middle.alias("high")), F.struct(own("right").alias("quotas"), middle.alias("low"), F.col("high")))
+        leaf = F.array(F.struct("quotas", "low", "high"))
+        nodes = drawn.select(F.explode(F.when(F.col("high") - F.col("low") < 2, leaf).otherwise(children)).alias("node")).select("node.*")
+        size = -(-size // 2)
+    return nodes.select(F.col("low").alias("mix_shard"), F.explode("quotas").alias("q")).select("q.key", "mix_shard", "q.n")
+
+
+# -- the plan --------------------------------------------------------------
+
+
 @dataclass
 class MixPlan:
-    """``sources``: key, source_size, target, passes, last_u (documents up to this
-    hash are taken once more); ``deal``: the shard of every block and pass."""
+    """``sources``: key, source_size, target; ``deal``: for every block of a source
+    its dealt copies, an array of (pass, mix_shard, last_u): documents of the block
+    up to this hash are taken in that pass."""
 
     sources: DataFrame
     deal: DataFrame
+    shards: int
     seed: int
 
     def with_copies(self, rows: DataFrame) -> DataFrame:
-        """Rows with key and u get the columns of ``sources`` and ``copies``."""
-        rows = rows.join(_sent(self.sources), "key", "left")
-        return rows.withColumn("copies", F.col("passes") + (F.col("u") <= F.col("last_u")).cast("int"))
+        """Rows with key and u get ``dealt``: the (pass, mix_shard) that take them."""
+        rows = rows.withColumn("block", _block()).join(_sent(self.deal), ["key", "block"], "left")
+        taken = F.filter(F.coalesce("dealt", F.array().cast(_DEALT)), lambda c: F.col("u") <= c["last_u"])
+        return rows.withColumn("dealt", taken)
+
+
+_DEALT = "array<struct<pass:int,mix_shard:int,last_u:bigint>>"
 
 
 def _sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _cut(sums: DataFrame, rest: DataFrame) -> DataFrame:
+    """The place where each source's running sum passes ``rest``, and what is still
+    missing before it. ``sums``: key, place, b; ``rest``: key, rest."""
+    ahead = Window.partitionBy("key").orderBy("place")
+    sums = sums.withColumn("upto", F.sum("b").over(ahead)).join(_sent(rest), "key")
+    past = sums.filter((F.col("upto") > F.col("rest")) & (F.col("rest") > 0))
+    return past.groupBy("key").agg(F.min("place").alias("cut"), F.min_by(F.col("rest") - F.col("upto") + F.col("b"), "place").alias("rest"))
+
+
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 11, rows: DataFrame | None = None) -> MixPlan:
     rows = rows if rows is not None else mix_rows(docs, seed)
     goal = targets(rows, weights, most)
     ratio = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
     goal = goal.withColumn("passes", F.coalesce(F.least(F.floor(ratio + 1e-12), F.lit(most)), F.lit(0)).cast("int"))
     goal = stored(goal.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))), "mix-targets")
-    blocks = stored(rows.groupBy("key", _block().alias("block")).agg(F.sum("size").alias("b")), "mix-blocks")
-    ahead = Window.partitionBy("key").orderBy("block")
-    blocks = blocks.withColumn("upto", F.sum("b").over(ahead)).join(_sent(goal), "key")
-    cut = blocks.filter((F.col("upto") > F.col("rest")) & (F.col("rest") > 0)).groupBy("key").agg(F.min("block").alias("cut"), F.min_by(F.col("rest") - F.col("upto") + F.col("b"), "block").alias("still"))
-    cut = stored(cut, "mix-cuts")
-    # In the block with the cut: the prefix that comes nearest to what is still missing.
-    near = rows.withColumn("block", _block()).join(_sent(cut), "key").filter("block = cut")
+    blocks = stored(rows.groupBy("key", _block().alias("place")).agg(F.sum("size").alias("b")), "mix-blocks")
+    cut = stored(_cut(blocks, goal.select("key", "rest")), "mix-cuts")
+    inside = rows.withColumn("place", _block(FINE_BITS)).join(_sent(cut), "key").filter(_block() == F.col("cut")).select("key", "place", "size")
+    fine = stored(_cut(inside.groupBy("key", "place").agg(F.sum("size").alias("b")), cut.select("key", "rest")), "mix-cuts")
+    # In the finest block with the cut: the prefix that comes nearest to what is still missing.
+    near = rows.withColumn("place", _block(FINE_BITS)).join(_sent(fine), "key").filter("place = cut")
     run = Window.partitionBy("key").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("mid", F.sum("size").over(run) - F.col("size") / 2).filter(F.col("mid") <= F.col("still"))
+    near = near.withColumn("mid", F.sum("size").over(run) - F.col("size") / 2).filter(F.col("mid") <= F.col("rest"))
     last = near.groupBy("key").agg(F.max("u").alias("inner_u"))
-    sources = goal.join(cut, "key", "left").join(last, "key", "left")
-    below = F.shiftleft(F.col("cut").cast("long"), 63 - BLOCK_BITS) - 1
-    last_u = F.when(F.col("rest") <= 0, F.lit(-1).cast("long")).when(F.col("cut").isNull(), F.lit((1 << 63) - 1)).otherwise(F.greatest("inner_u", below))
+    found = cut.select("key", F.col("cut").alias("block_cut")).join(fine.select("key", F.col("cut").alias("fine_cut")), "key", "left").join(last, "key", "left")
+    sources = goal.join(found, "key", "left")
+    start = lambda place, bits: F.shiftleft(F.col(place).cast("long"), 63 - bits)
+    inner = F.coalesce(F.greatest("inner_u", start("fine_cut", FINE_BITS) - 1), start("block_cut", BLOCK_BITS) - 1)
+    last_u = F.when(F.col("rest") <= 0, F.lit(-1).cast("long")).when(F.col("block_cut").isNull(), F.lit(LAST_U)).otherwise(inner)
     sources = stored(sources.select("key", "source_size", "target", "passes", last_u.alias("last_u")), "mix-sources")
-    # One row per block and pass that is taken, dealt down the tree.
-    own = blocks.select("key", "block").join(_sent(sources), "key")
-    more = (F.shiftleft(F.col("block").cast("long"), 63 - BLOCK_BITS) <= F.col("last_u")).cast("int")
-    own = own.withColumn("n", F.col("passes") + more).filter("n > 0")
-    deal = own.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass")).withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
-    while shards > 1:
-        node = Window.partitionBy("low", "high")
-        drawn = Window.partitionBy("low", "high").orderBy(F.xxhash64(F.lit(seed), F.lit(shards), "key", "block", "pass"), "key", "block", "pass")
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        share = F.round(F.count("*").over(node) * (middle - F.col("low")) / (F.col("high") - F.col("low")))
-        deal = deal.withColumn("left", F.row_number().over(drawn) <= share).withColumn("mid", middle)
-        deal = deal.select("key", "block", "pass", F.when(F.col("high") - F.col("low") < 2, F.col("low")).when(F.col("left"), F.col("low")).otherwise(F.col("mid")).alias("low"), F.when(F.col("high") - F.col("low") < 2, F.col("high")).when(F.col("left"), F.col("mid")).otherwise(F.col("high")).alias("high"))
-        shards = -(-shards // 2)
-    return MixPlan(sources, stored(deal.select("key", "block", "pass", F.col("low").alias("mix_shard")), "mix-deal"), seed)
+    # The stock: one row per block and pass that takes it, the last pass up to the cut.
+    stock = blocks.select("key", F.col("place").alias("block")).join(_sent(sources), "key")
+    more = (start("block", BLOCK_BITS) <= F.col("last_u")).cast("int")
+    stock = stock.withColumn("n", F.col("passes") + more).filter("n > 0").select("key", "block", "passes", "last_u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass"))
+    upto = F.when(F.col("pass") < F.col("passes"), F.lit(LAST_U)).otherwise(F.col("last_u"))
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "block", "pass"), "block", "pass")
+    stock = stored(stock.select("key", "block", "pass", upto.alias("last_u"), (F.row_number().over(drawn) - 1).alias("place")), "mix-stock")
+    quotas = tree_quotas(stock.groupBy("key").agg(F.count("*").alias("n")), shards, seed)
+    ahead = Window.partitionBy("key").orderBy("mix_shard").rowsBetween(Window.unboundedPreceding, -1)
+    quotas = stored(quotas.select("key", "mix_shard", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")), "mix-quotas")
+    # One row per source with its shards in order: a block's shard is found by its place.
+    leaves = quotas.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ahead", "n", "mix_shard"))).alias("leaves"))
+    own = F.filter("leaves", lambda q: (q["ahead"] <= F.col("place")) & (F.col("place") < q["ahead"] + q["n"]))
+    deal = stock.join(_sent(leaves), "key").select("key", "block", F.struct("pass", F.element_at(own, 1)["mix_shard"].alias("mix_shard"), "last_u").alias("copy"))
+    deal = stored(deal.groupBy("key", "block").agg(F.array_sort(F.collect_list("copy")).cast(_DEALT).alias("dealt")), "mix-deal")
+    forget(goal, blocks, cut, fine, stock, quotas)
+    return MixPlan(sources.select("key", "source_size", "target"), deal, shards, seed)
 
 
 def mix_rows(docs: DataFrame, seed: int = 11) -> DataFrame:
@@ -132,23 +229,27 @@ def mix_rows(docs: DataFrame, seed: int = 11) -> DataFrame:
     return stored(docs.select("doc_id", "source", _key().alias("key"), _size().alias("size"), _order(seed).alias("u")), "mix-rows")
 
 
-def mix_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 11) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and the words taken."""
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 11) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, the words taken, and how
+    many copies the shards hold."""
     rows = mix_rows(docs, seed)
-    plan = plan_mix(docs, weights, most, seed=seed, rows=rows)
-    out = plan.with_copies(rows)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    plan = plan_mix(docs, weights, most, shards, seed, rows)
+    out = plan.with_copies(rows).join(_sent(plan.sources), "key", "left")
+    return out.select("doc_id", "size", "source_size", "target", (F.size("dealt") * F.col("size")).cast("long").alias("taken"), F.size("dealt").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 11, keep_plan_columns: bool = True) -> DataFrame:
-    """Every copy that the mix takes: the columns of ``docs``, and ``mix_shard``
-    and ``mix_order`` (its place is the rank of this number in the shard)."""
-    plan = plan_mix(docs, weights, most, shards, seed)
-    cols = docs.columns
-    held = docs.select(F.struct(*[docs[c] for c in cols]).alias("doc"), _key().alias("key"), _order(seed).alias("u"))
-    held = plan.with_copies(held).filter("copies > 0").withColumn("block", _block())
-    held = held.select("doc", "key", "u", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass"))
-    if not keep_plan_columns:
-        return held.select("doc.*")
-    held = held.join(_sent(plan.deal), ["key", "block", "pass"], "left")
-    return held.select("doc.*", "mix_shard", F.xxhash64(F.lit(seed), "u", "pass").alias("mix_order"))
+    """Every copy that the mix takes: the columns of ``docs``, and ``mix_shard`` and
+    ``mix_order``. Rows are dealt to tasks by shard and stretch of its order, and
+    shuffled (sorted by ``mix_order``) there; a shard is never in one task."""
+    rows = mix_rows(docs, seed)
+    plan = plan_mix(docs, weights, most, shards, seed, rows)
+    forget(rows)
+    held = docs.select(whole_row(docs).alias("doc"), _key().alias("key"), _order(seed).alias("u"))
+    held = plan.with_copies(held).select("doc", "u", F.explode("dealt").alias("copy"))
+    held = held.select("doc", F.col("copy.mix_shard").alias("mix_shard"), F.xxhash64(F.lit(seed), "u", "copy.pass").alias("mix_order"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stretch = F.shiftright("mix_order", 44) * F.lit(max(1, -(-4 * parts // shards))) / F.lit(1 << 20)
+    held = held.withColumn("stretch", F.floor(stretch)).repartition("mix_shard", "stretch").sortWithinPartitions("mix_shard", "mix_order")
+    own = ["mix_shard", "mix_order"] if keep_plan_columns else []
+    return held.select(*columns_of("doc", [c for c in docs.columns if c not in own]), *own)
