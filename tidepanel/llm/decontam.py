@@ -4,10 +4,12 @@ Every document becomes an array of normalised words; each run of ``n``
 consecutive words is hashed to a long and looked up in the hashed windows of the
 benchmark, which are broadcast after their number was checked. A lookup that
 hits is verified word by word. One scan of the documents, no shuffle of texts:
-only hits and one marker row per document reach the aggregation.
+only hits and one marker row per document reach the aggregation. With more
+windows than may be broadcast, the words are stored once, hashes with their row
+and place are joined by a shuffle, and the hits of a document meet its words again.
 
 Defined cases: a null or empty text has no words and is never contaminated; a
-null benchmark text has no windows; an item with fewer than ``n`` words, but not
+null benchmark text has no windows; a null item_id is an item named ``null``; an item with fewer than ``n`` words, but not
 none, is one window of all its words; repeated document rows are judged each on
 its own; with an empty benchmark nothing is hit. Further columns, whatever their
 names, are left alone.
@@ -18,10 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import WORD_GAP, ascii_lower, stored
+from tidepanel.llm.shared import WORD_GAP, ascii_lower, columns_of, scratch_scope, stored, whole_row
 
-#: Windows of the benchmark that may be broadcast (some 200 bytes each); beyond
-#: it the same plan joins by a shuffle of the window hashes.
+#: Windows of the benchmark that may be broadcast (some 200 bytes each).
 BROADCAST_WINDOWS = 400_000
 #: The same characters as WORD_GAP, for texts that still have capitals.
 RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -41,21 +42,22 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return rows.select(F.xxhash64("win_words").alias("h"), F.col("len").alias("win_len"), "win_words", "win_items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: its id as ``doc_id``, n_words, the hit ``spans`` as
-    (start, len) in words, n_hit and the sorted ``items`` found in it."""
-    windows = stored(benchmark_windows(benchmark, n), "windows")
-    count, lengths = windows.agg(F.count("*"), F.collect_set("win_len")).first()
-    lengths = sorted(lengths, reverse=True) or [n]
-    words = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), word_array(F.col(text_col)).alias("w"))
+def _hashes(lengths: list[int]) -> list:
+    """Per window length, the hashes of all windows of ``w``."""
     size = F.size("w")
 
-    def hashes(k: int):
+    def own(k: int):
         inner = F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, k)))
         return F.when(size >= k, inner).otherwise(F.array().cast("array<bigint>"))
 
+    return [own(k) for k in lengths]
+
+
+def _hits_by_broadcast(words: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Per row of ``words``: doc_id, row, n_words, spans, found."""
+    size = F.size("w")
     # Position 0 is a marker that keeps documents without a hit.
-    words = words.withColumn("all_h", F.concat(F.array(F.lit(0).cast("long")), *[hashes(k) for k in lengths]))
+    words = words.withColumn("all_h", F.concat(F.array(F.lit(0).cast("long")), *_hashes(lengths)))
     seen = words.select("doc_id", "row", "w", F.posexplode("all_h").alias("p", "dh"))
     start, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for k in lengths:
@@ -63,14 +65,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         inside = (F.col("p") > before) & (F.col("p") <= before + own)
         start, length = F.when(inside, F.col("p") - 1 - before).otherwise(start), F.when(inside, F.lit(k)).otherwise(length)
         before = before + own
-    small = count <= BROADCAST_WINDOWS
-    seen = seen.join(F.broadcast(windows) if small else windows, F.col("dh") == F.col("h"), "left")
+    seen = seen.join(F.broadcast(windows), F.col("dh") == F.col("h"), "left")
     seen = seen.filter("p = 0 or h is not null")
     seen = seen.select("doc_id", "row", size.alias("n_words"), "p", start.alias("s"), length.alias("k"), "win_len", "win_words", "win_items", "w")
     hit = (F.col("p") > 0) & (F.col("k") == F.col("win_len")) & (F.expr("slice(w, s + 1, k)") == F.col("win_words"))
     seen = seen.select("doc_id", "row", "p", F.col("n_words").cast("long").alias("n_words"), F.when(hit, F.struct(F.col("s").alias("start"), F.col("k").alias("len"))).alias("span"), F.when(hit, F.col("win_items")).alias("found"))
     seen = seen.filter("p = 0 or span is not null")
-    per = seen.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("found").alias("found"))
+    return seen.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("found").alias("found"))
+
+
+def _hits_by_shuffle(words: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for any number of windows. Only hashes with row and place are
+    dealt by hash (two plain shuffles, so a frequent window can be split); words
+    meet their hits once for each row."""
+    words = stored(words, "document-words")
+
+    def place(hashes, k: int):
+        return F.transform(hashes, lambda x, i: F.struct(x.alias("dh"), i.alias("start"), F.lit(k).alias("len")))
+
+    placed = [place(h, k) for k, h in zip(lengths, _hashes(lengths))]
+    looks = words.select("row", F.explode(F.concat(*placed)).alias("at")).select("row", "at.dh", "at.start", "at.len")
+    hits = looks.join(windows, (F.col("dh") == F.col("h")) & (F.col("len") == F.col("win_len")))
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("start", "len", "win_words", "win_items")).alias("hits"))
+    both = words.join(hits, "row", "left")
+    sure = F.filter(F.coalesce("hits", F.array()), lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["win_words"])
+    both = both.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), sure.alias("hits"))
+    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len")))))
+    return both.select("doc_id", "row", "n_words", spans.alias("spans"), F.transform("hits", lambda x: x["win_items"]).alias("found"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per document row: its id as ``doc_id``, n_words, the hit ``spans`` as
+    (start, len) in words, n_hit and the sorted ``items`` found in it."""
+    windows = stored(benchmark_windows(benchmark, n), "windows")
+    count, lengths = windows.agg(F.count("*"), F.collect_set("win_len")).first()
+    lengths = sorted(lengths, reverse=True) or [n]
+    words = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), word_array(F.col(text_col)).alias("w"))
+    per = (_hits_by_broadcast if count <= broadcast_windows else _hits_by_shuffle)(words, windows, lengths)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("c")),
@@ -92,21 +123,25 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    hits = contamination(docs, benchmark, n).filter("n_hit > 0")
-    hit_words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), hit_words.alias("hit_words"))
-    if mode == "documents":
-        hits = hits.select("hit_id").distinct()
-    else:
-        hits = hits.groupBy("hit_id").agg(F.flatten(F.collect_set("hit_words")).alias("hit_words"))
-    hits = stored(hits, "hits")
+    kept: list[DataFrame] = []
+    with scratch_scope(docs.sparkSession, kept):
+        hits = contamination(docs, benchmark, n).filter("n_hit > 0")
+        hit_words = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
+        hits = hits.select(F.col("doc_id").alias("hit_id"), hit_words.alias("hit_words"))
+        if mode == "documents":
+            hits = hits.select("hit_id").distinct()
+        else:
+            hits = hits.groupBy("hit_id").agg(F.flatten(F.collect_set("hit_words")).alias("hit_words"))
+        hits = stored(hits, "hits")
+        kept.append(hits)
     # Ids of 8 bytes may be broadcast by their number; spans are joined by a shuffle or by Spark's own choice.
     other = F.broadcast(hits) if mode == "documents" and hits.count() <= 1_000_000 else hits
-    same = docs["doc_id"].eqNullSafe(other["hit_id"])
     if mode == "documents":
-        return docs.join(other, same, "left_anti")
+        return docs.join(other, docs["doc_id"].eqNullSafe(other["hit_id"]), "left_anti")
+    held = docs.select(whole_row(docs).alias("doc"), "doc_id", "text")
     pieces = F.regexp_extract_all("text", F.lit(f"[^{RAW_GAP}]+[{RAW_GAP}]*"), 0)
     lead = F.regexp_extract("text", f"^[{RAW_GAP}]*", 0)
-    kept = F.filter(pieces, lambda x, i: ~F.array_contains(F.col("hit_words"), i))
-    cut = F.when(F.col("hit_id").isNull() & F.col("hit_words").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return docs.join(other, same, "left").withColumn("text", cut).select(*[docs[c] if c != "text" else F.col("text") for c in docs.columns])
+    left = F.filter(pieces, lambda x, i: ~F.array_contains(F.col("hit_words"), i))
+    cut = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
+    held = held.join(other, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").withColumn("cut", cut)
+    return held.select(*[F.col("cut").alias("text") if c == "text" else own for c, own in zip(docs.columns, columns_of("doc", docs.columns))])
