@@ -10,14 +10,16 @@ into or out of their shard's filter; deleting what was inserted restores the
 former state. A lookup asks the filters first and confirms by the exact keys.
 
 Counts are pre-aggregated in each task, so a line that a third of all documents
-hold is a few rows in the shuffle. Dropping lines needs no shuffle while the
-frequent keys are few enough to send to every task (``broadcast_keys``); beyond
-that the line keys are joined with the counts.
+hold is a few rows in the shuffle. There is a shard for each 250,000 frequent keys
+(64 at least). Dropping lines needs no shuffle while the frequent keys are few
+enough to send to every task (``broadcast_keys``, 16 bytes each); beyond that the
+filters alone are sent (``filter_keys``, some 2 bytes each) and the lines that
+pass them are joined with the exact counts; beyond that all line keys are.
 
 Defined cases: null and empty texts are one empty line; an empty key is never
-dropped; a line that a document repeats counts once for it; repeated document
-rows count each; an empty table gives an empty index. Only ``doc_id`` and
-``text`` are read.
+dropped; a line that a document repeats counts once for it; every row is a
+document, whether its id is null or repeated or not; an empty table gives an
+empty index. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.shared import BLANKS, byte_table, mix64, rounds_of, stored
 
 SLOTS = 4
+#: Frequent keys for each shard, beyond 64 shards.
+SHARD_KEYS = 250_000
 _LOWER = byte_table(b"")
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
@@ -62,27 +66,40 @@ class CuckooFilter:
         mark, one, two = self.places(h)
         return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(axis=1)
 
+    def _fill(self, at: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Put marks into free slots of their buckets; which ones found one."""
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+        free = np.cumsum(self.table[own] == 0, axis=1)
+        fits = free[:, -1] > rank
+        slot = (free == rank[:, None] + 1).argmax(axis=1)
+        self.table[own[fits], slot[fits]] = mark[order[fits]]
+        placed = np.zeros(len(at), bool)
+        placed[order[fits]] = True
+        return placed
+
     def insert(self, h: np.ndarray) -> bool:
         """False if a place could not be found (the filter must then grow)."""
         rng = np.random.default_rng(len(h))
-        for mark, one, two in zip(*self.places(h)):
-            for at in (one, two):
+        mark, one, two = self.places(h)
+        for second in (False, True):
+            if len(mark):
+                rest = ~self._fill(two if second else one, mark)
+                mark, one, two = mark[rest], one[rest], two[rest]
+        # The others push marks out of full buckets into their second ones.
+        for out, at in zip(mark, two.tolist()):
+            for _ in range(500):
+                slot = rng.integers(SLOTS)
+                out, self.table[at, slot] = self.table[at, slot], out
+                at = int(np.uint64(at) ^ (mix64(np.array([out]))[0] & np.uint64(self.buckets - 1)))
                 free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
-                    self.table[at, free[0]] = mark
+                    self.table[at, free[0]] = out
                     break
             else:
-                at = two
-                for _ in range(500):
-                    slot = rng.integers(SLOTS)
-                    mark, self.table[at, slot] = self.table[at, slot], mark
-                    at = int(np.uint64(at) ^ (mix64(np.array([mark]))[0] & np.uint64(self.buckets - 1)))
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = mark
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, h: np.ndarray) -> None:
@@ -173,26 +190,26 @@ def _change_filter(filters: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Lookup:
-    """All shards' filters side by side, and the exact keys, in one task."""
+    """All shards' filters side by side in one task, with the exact keys unless
+    only (shard, buckets, marks) are given."""
 
     def __init__(self, rows: list[tuple], shards: int):
         self.offset, self.mask = np.zeros(shards, np.int64), np.zeros(shards, np.uint64)
         tables, at = [np.zeros((1, SLOTS), np.uint16)], 1
-        for shard, buckets, marks, _, _ in rows:
+        for shard, buckets, marks, *_ in rows:
             self.offset[shard], self.mask[shard] = at, buckets - 1
             tables.append(np.frombuffer(marks, np.uint16).reshape(-1, SLOTS))
             at += buckets
         self.table = np.concatenate(tables)
-        k1 = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r[3], np.int64) for r in rows])
-        k2 = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r[4], np.int64) for r in rows])
+        self.shards = shards
+        k1 = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r[3], np.int64) for r in rows if len(r) > 3])
+        k2 = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(r[4], np.int64) for r in rows if len(r) > 3])
         order = np.lexsort((k2, k1))
         self.k1, self.k2 = k1[order], k2[order]
         self.most = int(np.unique(self.k1, return_counts=True)[1].max()) if len(k1) else 0
-        self.shards = shards
 
-    def frequent(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        if not self.most:
-            return np.zeros(len(k1), bool)
+    def maybe(self, k1: np.ndarray) -> np.ndarray:
+        """What the filters say: all frequent keys, and a few others."""
         h = k1.view(np.uint64)
         shard = (h % np.uint64(self.shards)).astype(np.int64)
         mark = (h >> np.uint64(48)).astype(np.uint16)
@@ -201,8 +218,12 @@ class _Lookup:
         one = h & mask
         two = one ^ (mix64(mark) & mask)
         base = self.offset[shard]
-        maybe = ((self.table[base + one.astype(np.int64)] == mark[:, None]) | (self.table[base + two.astype(np.int64)] == mark[:, None])).any(axis=1)
-        maybe = np.flatnonzero(maybe)
+        return ((self.table[base + one.astype(np.int64)] == mark[:, None]) | (self.table[base + two.astype(np.int64)] == mark[:, None])).any(axis=1)
+
+    def frequent(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        if not self.most:
+            return np.zeros(len(k1), bool)
+        maybe = np.flatnonzero(self.maybe(k1))
         place = np.searchsorted(self.k1, k1[maybe])
         sure = np.zeros(len(maybe), bool)
         for j in range(self.most):
@@ -236,18 +257,27 @@ def _dropper(sent, shards: int):
     return run
 
 
-def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in rounds_of(batch, "text"):
-            rows = part.column(part.schema.get_field_index("row")).to_pylist()
-            at, number, keys = [], [], []
-            for row, (_, ks) in zip(rows, line_keys(texts)):
-                for i, k in enumerate(ks):
-                    if k is not None:
-                        at.append(row)
-                        number.append(i)
-                        keys.append(k)
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(number, pa.int32()), *(pa.array(x) for x in _halves(keys))], names=["row", "line", "k1", "k2"])
+def _lines_of(sent, shards: int):
+    """The lines that the filters let pass (all of them without filters)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Lookup(sent.value, shards) if sent is not None else None
+        for batch in batches:
+            for part, texts in rounds_of(batch, "text"):
+                rows = part.column(part.schema.get_field_index("row")).to_pylist()
+                at, number, keys = [], [], []
+                for row, (_, ks) in zip(rows, line_keys(texts)):
+                    for i, k in enumerate(ks):
+                        if k is not None:
+                            at.append(row)
+                            number.append(i)
+                            keys.append(k)
+                k1, k2 = (x.copy() for x in _halves(keys))
+                passed = look.maybe(k1) if look is not None and len(k1) else np.ones(len(k1), bool)
+                columns = [np.array(at, np.int64), np.array(number, np.int32), k1, k2]
+                yield pa.record_batch([pa.array(c[passed]) for c in columns], names=["row", "line", "k1", "k2"])
+
+    return run
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,29 +304,32 @@ class LineIndex:
     shards: int
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int = 64) -> LineIndex:
-        refs = cls._counted(docs, shards)
-        refs = stored(refs, "line-refs")
-        filters = refs.filter(F.col("docs") >= min_docs).groupBy("shard").applyInPandas(_build_filter, _FILTER_DDL)
+    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int | None = None) -> LineIndex:
+        refs = stored(cls._counted(docs), "line-refs")
+        frequent = refs.filter(F.col("docs") >= min_docs)
+        shards = shards or max(64, 1 << (frequent.count() // SHARD_KEYS).bit_length())
+        filters = frequent.withColumn("shard", cls._shard(shards)).groupBy("shard").applyInPandas(_build_filter, _FILTER_DDL)
         return cls(docs.sparkSession, refs, stored(filters, "line-filters"), min_docs, shards)
 
     @staticmethod
-    def _counted(docs: DataFrame, shards: int) -> DataFrame:
+    def _shard(shards: int):
+        """The unsigned remainder of k1, as the filters compute it."""
+        return F.pmod(F.pmod(F.shiftrightunsigned("k1", 1), F.lit(shards)) * 2 + F.col("k1").bitwiseAND(1), F.lit(shards)).cast("int")
+
+    @staticmethod
+    def _counted(docs: DataFrame) -> DataFrame:
         keys = docs.select("text").mapInArrow(_keys_of, "k1 long, k2 long")
-        keys = keys.groupBy("k1", "k2").agg(F.count("*").alias("docs"))
-        # The unsigned remainder, as the filters compute it.
-        shard = F.pmod(F.pmod(F.shiftrightunsigned("k1", 1), F.lit(shards)) * 2 + F.col("k1").bitwiseAND(1), F.lit(shards))
-        return keys.select(shard.cast("int").alias("shard"), "k1", "k2", "docs")
+        return keys.groupBy("k1", "k2").agg(F.count("*").alias("docs"))
 
     def _moved(self, docs: DataFrame, sign: int) -> LineIndex:
-        change = self._counted(docs, self.shards).select("shard", "k1", "k2", (F.col("docs") * sign).alias("change"))
-        both = self.refs.select("shard", "k1", "k2", "docs", F.lit(0).cast("long").alias("change")).unionByName(change.withColumn("docs", F.lit(0).cast("long")))
-        both = both.groupBy("shard", "k1", "k2").agg(F.sum("docs").alias("old"), F.sum("change").alias("change"))
+        change = self._counted(docs).select("k1", "k2", (F.col("docs") * sign).alias("change"))
+        both = self.refs.select("k1", "k2", "docs", F.lit(0).cast("long").alias("change")).unionByName(change.withColumn("docs", F.lit(0).cast("long")))
+        both = both.groupBy("k1", "k2").agg(F.sum("docs").alias("old"), F.sum("change").alias("change"))
         both = stored(both.withColumn("docs", F.col("old") + F.col("change")), "line-change")
         moves = both.filter((F.col("old") >= self.min_docs) != (F.col("docs") >= self.min_docs))
-        moves = moves.select("shard", "k1", "k2", (F.col("docs") >= self.min_docs).alias("enter"))
+        moves = moves.select(self._shard(self.shards).alias("shard"), "k1", "k2", (F.col("docs") >= self.min_docs).alias("enter"))
         filters = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(_change_filter, _FILTER_DDL)
-        refs = both.filter("docs > 0").select("shard", "k1", "k2", "docs")
+        refs = both.filter("docs > 0").select("k1", "k2", "docs")
         return LineIndex(self.spark, refs, stored(filters, "line-filters"), self.min_docs, self.shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -305,15 +338,18 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         return self._moved(docs, -1)
 
-    def drop_lines(self, docs: DataFrame, broadcast_keys: int = 2_000_000) -> DataFrame:
+    def drop_lines(self, docs: DataFrame, broadcast_keys: int = 2_000_000, filter_keys: int = 30_000_000) -> DataFrame:
         """doc_id, the text without its frequent lines, n_lines and n_dropped."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         keys = self.filters.agg(F.coalesce(F.sum(F.length("k1") / 8), F.lit(0))).first()[0]
+        context = self.spark.sparkContext
         if keys <= broadcast_keys:
-            sent = self.spark.sparkContext.broadcast([tuple(r) for r in self.filters.collect()])
+            sent = context.broadcast([tuple(r) for r in self.filters.collect()])
             return docs.mapInArrow(_dropper(sent, self.shards), _KEPT_DDL)
-        docs = docs.withColumn("row", F.monotonically_increasing_id())
-        lines = docs.mapInArrow(_lines_of, "row long, line int, k1 long, k2 long")
+        sent = context.broadcast([tuple(r) for r in self.filters.select("shard", "buckets", "marks").collect()]) if keys <= filter_keys else None
+        # Rows are numbered once: both sides below read the same table.
+        docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "line-docs")
+        lines = docs.mapInArrow(_lines_of(sent, self.shards), "row long, line int, k1 long, k2 long")
         hot = self.refs.filter(F.col("docs") >= self.min_docs).select("k1", "k2")
         gone = lines.join(hot, ["k1", "k2"]).groupBy("row").agg(F.collect_list("line").alias("gone"))
         return docs.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_cutter, _KEPT_DDL)
