@@ -11,8 +11,10 @@ decoding); the score is the softmax share of the language, and a text is
 
 Few languages get all distinct bits (an exhaustive code); more than seven get
 random codewords with many bits, the best of several drawings by least distance.
-The sample is a hash sample of ``sample_docs`` documents, as many of each
-language, of ``sample_chars`` characters at most.
+The sample is a hash sample of about ``sample_docs`` whole documents of every
+length, as many of each language, of which every language has some. Its n-grams
+are counted and its classifiers tried out by tasks: the driver holds a count for
+each language and bucket, and the outputs of each sampled document.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 without any language in the sample everything is ``und``; a single learned
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.grams import LETTER_TABLE, Scan, gram_buckets, text_of
-from tidepanel.llm.shared import fold_of, rounds_of
+from tidepanel.llm.shared import fold_of, forget, rounds_of, stored
 
 BITS = 17
 BUCKETS = 2 << BITS
@@ -97,28 +99,23 @@ class LanguageModel:
         return loss.argmin(axis=1), order[:, -1], lead
 
 
-def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
-    """A model of the languages of a sample."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    code = codewords(len(names))
-    label = np.array([names.index(x) for x in langs])
-    counts = np.zeros((len(names), BUCKETS))
-    for lo in range(0, len(texts), 1000):
-        for text, bucket in gram_counts(Scan(pa.array(texts[lo : lo + 1000], pa.large_string()), LETTER_TABLE)):
-            counts += np.bincount(label[lo + text] * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-    share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    one, zero = code > 0, code < 0
-    mean = lambda rows: rows.T.astype(float) @ share / np.maximum(rows.sum(axis=0), 1)[:, None]
-    weights = np.log(mean(one)) - np.log(mean(zero)) if len(names) > 1 else np.zeros((1, BUCKETS))
-    model = LanguageModel(names, code, np.ascontiguousarray(weights.T.astype(np.float32)), np.ones(code.shape[1]), 1.0)
-    out = np.concatenate([model.outputs(Scan(pa.array(texts[lo : lo + 1000], pa.large_string()), LETTER_TABLE)) for lo in range(0, len(texts), 1000)])
+def weights_of(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The classifiers, bucket by bit, from n-gram counts of language by bucket."""
+    share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
+    if len(counts) < 2:
+        return np.zeros((counts.shape[1], code.shape[1]), np.float32)
+    side = lambda rows: rows.T.astype(float) @ share / rows.sum(axis=0)[:, None]
+    return np.ascontiguousarray((np.log(side(code > 0)) - np.log(side(code < 0))).T.astype(np.float32))
+
+
+def calibrate(model: LanguageModel, out: np.ndarray, label: np.ndarray) -> None:
+    """Set the trust of each bit and the scale from outputs of the sample."""
+    code = model.code
     right = ((out > 0) == (code[label] > 0)).mean(axis=0)
-    model.trust = np.maximum(right - 0.5, 0.05) / max(np.maximum(right - 0.5, 0.05).sum(), 1e-9)
+    model.trust = np.maximum(right - 0.5, 0.05) / np.maximum(right - 0.5, 0.05).sum()
     best = np.inf
     for scale in (1, 2, 4, 8, 16, 32, 64):
-        model.scale, keep = float(scale), model.scale
+        keep, model.scale = model.scale, float(scale)
         loss = model.losses(out) * code.shape[1]
         log = -loss - np.log(np.exp(-loss + loss.min(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + loss.min(axis=1, keepdims=True)
         now = -log[np.arange(len(label)), label].mean()
@@ -127,20 +124,60 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
             break
         best = now
     model.trust = model.trust * code.shape[1]
-    return model
 
 
-def learn(docs: DataFrame, folds: int = 4, held: int = 2, sample_docs: int = 12_000, sample_chars: int = 20_000, seed: int = 29) -> LanguageModel | None:
+def _count(languages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((languages, BUCKETS), np.int64)
+        for batch in batches:
+            for part, texts in rounds_of(batch, "text"):
+                label = part.column(1).to_numpy(zero_copy_only=False)
+                for text, bucket in gram_counts(Scan(texts, LETTER_TABLE)):
+                    np.add.at(counts.reshape(-1), label[text].astype(np.int64) * BUCKETS + bucket, 1)
+        for k in range(languages):
+            found = np.flatnonzero(counts[k])
+            if len(found):
+                yield pa.record_batch([pa.array(np.full(len(found), k, np.int32)), pa.array(found.astype(np.int32)), pa.array(counts[k][found])], names=["label", "bucket", "n"])
+
+    return run
+
+
+def _try_out(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in rounds_of(batch, "text"):
+                out = sent.value.outputs(Scan(texts, LETTER_TABLE))
+                yield pa.record_batch([part.column(1), pa.array([x.tobytes() for x in out], pa.binary())], names=["label", "out"])
+
+    return run
+
+
+def learn(docs: DataFrame, folds: int = 4, held: int = 2, sample_docs: int = 12_000, seed: int = 29) -> LanguageModel | None:
+    """A model from documents with lang of the other folds; None without any."""
+    spark = docs.sparkSession
     train = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count")).limit(sample_docs // 4).collect()}
+    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    each = max(4, sample_docs // len(sizes))
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])[F.col("lang")]
+    names = sorted(sizes)
+    each = max(4, sample_docs // len(names))
+    # At least some four documents of a rare language: all of it where it has fewer.
+    known = spark.createDataFrame([(x, k, min(1.0, each / sizes[x])) for k, x in enumerate(names)], "lang string, label int, rate double")
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = train.filter((share < rate) & (F.length("text") <= sample_chars)).select("text", "lang").toArrow()
-    pairs = sorted(zip(sample["lang"].to_pylist(), sample["text"].to_pylist()))
-    return fit([t for _, t in pairs], [x for x, _ in pairs])
+    sample = train.select("text", F.col("lang").cast("string").alias("lang"), share.alias("share")).join(F.broadcast(known), "lang").filter("share < rate").select("text", "label")
+    # Few tasks, dealt evenly: each gives one row per language and bucket it has seen.
+    sample = stored(sample.repartition(8), "language-sample")
+    counts = np.zeros((len(names), BUCKETS))
+    table = sample.mapInArrow(_count(len(names)), "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[table["label"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
+    code = codewords(len(names))
+    model = LanguageModel(names, code, weights_of(counts, code), np.ones(code.shape[1]), 1.0)
+    sent = spark.sparkContext.broadcast(model)
+    tried = sorted((r.label, bytes(r.out)) for r in sample.mapInArrow(_try_out(sent), "label int, out binary").collect())
+    forget(sample)
+    if tried:
+        calibrate(model, np.stack([np.frombuffer(x) for _, x in tried]), np.array([k for k, _ in tried]))
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 4, held: int = 2) -> DataFrame:
