@@ -15,7 +15,10 @@ shingles lie in one of them only. The join has three steps.
    principle holds for any choice of them. A document that has too many empty
    segments then gives the signatures of its whole set as well, which meet those
    of other such documents. Signatures travel packed, and each task passes on one
-   document for each signature it has seen.
+   document for each signature it has seen, together with the signature before it
+   in that document's list. Documents that share a signature and the one before it
+   met at that one, so of each group one document for each distinct predecessor is
+   linked; copies give one edge and not one for each signature or task.
 2. Search. Within a block every shingle has an inverted list. A query sorts its
    lists by length, heap-merges the short ones and probes the T - 1 long ones by
    binary search for each candidate (DivideSkip); candidates that reach the
@@ -24,13 +27,17 @@ shingles lie in one of them only. The join has three steps.
 3. Equal sets were collapsed to their smallest id before; they get its component.
 
 No pair is lost: the blocks contain all linked pairs whatever the data, and the
-search in a block is exact. A block with more than ``block_docs`` sets is cut
-into chunks, and each pair of chunks is searched in a task of its own.
+search in a block is exact. A block with more than ``block_docs`` sets, or more
+than ``block_shingles`` in them, is cut into chunks. Each chunk is searched together with the block's hubs, a hash sample
+of an eighth of a chunk, so the parts of one group of near copies come together
+through them; pairs inside the block's largest component then need no look, and
+only the sets outside it are searched against all others, chunk by chunk.
 
 Defined cases: fewer words than the shingle length give the whole sequence as
 the only shingle; null, empty and blank texts have the empty set, which links
-with nothing; rows that repeat an id with the same text count as one document; a
-null id is returned with a null component. Only ``doc_id`` and ``text`` are read.
+with nothing; rows that repeat an id are one document, linked by any of their
+texts, each row with the size of its own set (one without words keeps its id as
+component); a null id is returned with a null component. Only ``doc_id`` and ``text`` are read.
 Shingles are compared by a 64-bit hash, equal sets by 128 bits.
 """
 
@@ -46,14 +53,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, mix64, modest_batches, rounds_of, stored
+from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, forget, mix64, modest_batches, rounds_of, scratch_scope, stored
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _U64 = 1 << 64
-#: Buckets that signatures are dealt into.
-BUCKETS = 1024
+#: Buckets that signatures are dealt into: at least, and documents for each beyond that.
+LEAST_BUCKETS, BUCKET_DOCS = 1024, 50_000
 #: Signatures that a task holds before it passes them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -188,12 +195,11 @@ def _in_sample(k: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int, sample_docs: int = 20_000, least: int = 4, most: int = 500_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, k: int, n_docs: int, sample_docs: int = 20_000, least: int = 4, most: int = 500_000) -> np.ndarray:
     """Shingles in ``least`` or more documents of a hash sample of about
     ``sample_docs``, at most ``most`` of them. They only make blocks smaller: any
     choice gives the same links."""
-    n = docs.count()
-    keep = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1)))
+    keep = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n_docs, 1)))
     counts = docs.filter(keep).select("text").mapInArrow(_in_sample(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
     return np.sort(rows["h"].to_numpy().view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
@@ -203,58 +209,62 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.larg
 _PACKED_DDL = "bucket int, kind int, x binary, y binary"
 
 
-def _pack(sig: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket; equal signatures leave one id and local edges."""
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value starts in columns that are sorted together."""
+    first = np.ones(len(keys[0]), bool)
+    first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return first
+
+
+def _pack(sig: np.ndarray, before: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket; equal signatures leave one id and local edges.
+    ``before``: the signature before each one in its document's list, 0 if none."""
     order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
+    sig, before, ids = sig[order], before[order], ids[order]
+    first = _runs(sig)
     run = np.cumsum(first) - 1
     heads = ids[first]
     other = ids != heads[run]
     a, b = contract_edges(ids[other], heads[run][other])
-    rows = [(int(mix64(a[:1].astype(np.uint64))[0] % BUCKETS), 2, a.tobytes(), b.tobytes())] if len(a) else []
-    sig, ids = sig[first], heads
-    bucket = (sig >> np.uint64(54)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-    for i in range(BUCKETS):
-        lo, hi = cuts[i], cuts[i + 1]
-        if hi > lo:
-            rows.append((i, 1, sig[lo:hi].tobytes(), ids[lo:hi].tobytes()))
+    rows = [(int(mix64(a[:1].astype(np.uint64))[0] >> np.uint64(64 - bits)), 2, a.tobytes(), b.tobytes())] if len(a) else []
+    sig, before, ids = sig[first], before[first], heads
+    bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.concatenate([np.flatnonzero(_runs(bucket)), [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        rows.append((int(bucket[lo]), 1, sig[lo:hi].tobytes(), np.concatenate([ids[lo:hi].view(np.uint64), before[lo:hi]]).tobytes()))
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
         yield pa.record_batch([pa.array([r[i] for r in part], _PACKED.field(i).type) for i in range(4)], schema=_PACKED)
 
 
-def _describe(k: int, percent: int, sent):
+def _describe(k: int, percent: int, bits: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segments_of(percent)
-        sigs, owners, waiting = [], [], 0
+        sigs, befores, owners, waiting = [], [], [], 0
         for batch in batches:
             for part, texts in rounds_of(batch, "text"):
-                ids = part.column(0)
-                docs, number = [], 0
-                for doc, s in zip(ids.to_pylist(), shingle_sets(Words(texts, BLANK_TABLE), k)):
+                docs = []
+                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(Words(texts, BLANK_TABLE), k)):
                     both = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
                     docs.append((doc is None, doc or 0, len(s), both & (_U64 - 1), both >> 64))
                     if doc is not None and len(s):
                         got = signatures(s, seg, sent.value)
                         if len(got):
                             sigs.append(got)
+                            befores.append(np.concatenate([np.zeros(1, np.uint64), got[:-1]]))
                             owners.append(np.full(len(got), doc, np.int64))
                             waiting += len(got)
-                    number += 1
                 table = np.array([(d, n) for _, d, n, _, _ in docs], np.int64).reshape(-1, 2)
                 hashes = np.array([(x, y) for *_, x, y in docs], np.uint64).reshape(-1, 2)
                 none = np.array([d[0] for d in docs], np.int64).reshape(-1, 1)
                 blob = np.concatenate([table, hashes.view(np.int64), none], axis=1)
-                where = int(xxhash.xxh64_intdigest(blob.tobytes()) % BUCKETS)
+                where = int(xxhash.xxh64_intdigest(blob.tobytes()) >> (64 - bits))
                 yield pa.record_batch([pa.array([where], pa.int32()), pa.array([0], pa.int32()), pa.array([blob.tobytes()], pa.large_binary()), pa.array([b""], pa.large_binary())], schema=_PACKED)
                 if waiting >= FLUSH:
-                    yield from _pack(np.concatenate(sigs), np.concatenate(owners))
-                    sigs, owners, waiting = [], [], 0
+                    yield from _pack(np.concatenate(sigs), np.concatenate(befores), np.concatenate(owners), bits)
+                    sigs, befores, owners, waiting = [], [], [], 0
         if waiting:
-            yield from _pack(np.concatenate(sigs), np.concatenate(owners))
+            yield from _pack(np.concatenate(sigs), np.concatenate(befores), np.concatenate(owners), bits)
 
     return run
 
@@ -268,35 +278,38 @@ def _edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), nothing, nothing], schema=_FOUND)
 
 
+def meeting_edges(sig: np.ndarray, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ids that share a signature and have not met at the one before:
+    in every group, one id for each distinct predecessor (all ids without one)
+    with the group's first id."""
+    order = np.lexsort((ids, before, sig))
+    sig, before, ids = sig[order], before[order], ids[order]
+    group, speaks = _runs(sig), _runs(sig, before) | (before == 0)
+    heads = ids[group][np.cumsum(group) - 1]
+    speaks &= ids != heads
+    return ids[speaks], heads[speaks]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of their buckets: documents are unpacked, and ids with the
     same signature become edges."""
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    now, sigs, owners, waiting = -1, [], [], 0
-
-    def close():
-        sig, ids = np.concatenate(sigs), np.concatenate(owners)
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        heads = ids[first][np.cumsum(first) - 1]
-        other = ids != heads
-        return contract_edges(ids[other], heads[other])
-
+    now, sigs, befores, owners, waiting = -1, [], [], [], 0
     for batch in batches:
         for bucket, kind, x, y in zip(*(c.to_pylist() for c in batch.columns)):
             if sigs and bucket != now:
-                edges.append(close())
+                edges.append(meeting_edges(np.concatenate(sigs), np.concatenate(befores), np.concatenate(owners)))
                 waiting += len(edges[-1][0])
-                sigs, owners = [], []
+                sigs, befores, owners = [], [], []
             now = bucket
             if kind == 0:
                 t = np.frombuffer(x, np.int64).reshape(-1, 5)
                 yield pa.record_batch([pa.array(np.zeros(len(t), np.int32)), pa.array(t[:, 0], mask=t[:, 4] == 1), *(pa.array(t[:, i]) for i in (1, 2, 3))], schema=_FOUND)
             elif kind == 1:
                 sigs.append(np.frombuffer(x, np.uint64))
-                owners.append(np.frombuffer(y, np.int64))
+                owner, before = np.split(np.frombuffer(y, np.uint64), 2)
+                owners.append(owner.view(np.int64))
+                befores.append(before)
             else:
                 edges.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)))
                 waiting += len(edges[-1][0])
@@ -306,7 +319,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(edges[0][0]) > 200_000:
                     yield _edge_batch(*edges.pop())
     if sigs:
-        edges.append(close())
+        edges.append(meeting_edges(np.concatenate(sigs), np.concatenate(befores), np.concatenate(owners)))
     if edges:
         a, b = contract_edges(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
         if len(a):
@@ -405,14 +418,18 @@ def _search_blocks(k: int, percent: int):
     out = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
     def solve(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        ids_sorted = np.array(ids, np.int64)[order]
-        root = Block([sets[i] for i in order], segments_of(percent)).solve()
-        other = np.flatnonzero(root != np.arange(len(root)))
-        return ids_sorted[other], ids_sorted[root[other]]
+        """Ids ascend; sets of one id are one node from the start."""
+        own = np.array(ids, np.int64)
+        block = Block(sets, segments_of(percent))
+        for i in np.flatnonzero(own[1:] == own[:-1]).tolist():
+            block.link(i, i + 1)
+        root = block.solve()
+        other = np.flatnonzero(own[root] != own)
+        node, first = np.unique(own[other], return_index=True)
+        return node, own[root[other[first]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, sets, known = None, [], [], set()
         done: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part, texts in rounds_of(batch, "text"):
@@ -423,7 +440,11 @@ def _search_blocks(k: int, percent: int):
                         if len(ids) > 1:
                             done.append(solve(ids, sets))
                         now, ids, sets = t, [], []
-                    if not ids or ids[-1] != d:  # a repeated row
+                    if not ids or ids[-1] != d:
+                        known = set()
+                    name = s.tobytes()
+                    if len(s) and name not in known:  # not the same text again
+                        known.add(name)
                         ids.append(d)
                         sets.append(s)
             if sum(len(a) for a, _ in done) > 50_000:
@@ -437,41 +458,97 @@ def _search_blocks(k: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _searched(docs: DataFrame, places: DataFrame, k: int, percent: int, parts: int, broadcast_rows: int) -> DataFrame:
+    """The links found in each task; ``places``: class_id, task."""
+    places = places.select("class_id", "task")
+    texts = docs.join(_sent(places, broadcast_rows), F.col("doc_id") == F.col("class_id")).select("task", "doc_id", "text")
+    return stored(texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_search_blocks(k, percent), "node long, root long"), "jaccard-links")
+
+
+def _sent(table: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _piece(salt: int, count: str):
+    return F.pmod(F.xxhash64(F.lit(salt), "class_id"), F.col(count)).cast("int")
+
+
+def _chunks(sets, shingles, block_docs: int, block_shingles: int):
+    return F.greatest(F.ceil(sets / block_docs), F.ceil(shingles / block_shingles), F.lit(1)).cast("long")
+
+
+def _outside_largest(placed: DataFrame, links: DataFrame, block_docs: int, block_shingles: int, broadcast_rows: int) -> DataFrame | None:
+    """Tasks that hold every set outside the largest component of its block with
+    every other set of the block; None if there is no such set. ``placed``:
+    class_id, shingles and block of the blocks that were cut."""
+    whole = placed.join(links, F.col("class_id") == F.col("node"), "left").select("class_id", "shingles", "block", F.coalesce("root", "class_id").alias("comp"))
+    whole = stored(whole, "jaccard-cut")
+    most = whole.groupBy("block", "comp").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    most = most.groupBy("block").agg(F.max_by(F.struct("comp", "n", "s"), F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > top.n")
+    half = max(1, block_docs // 2), max(1, block_shingles // 2)
+    outer = _chunks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"), *half)
+    most = stored(most.select("block", F.col("top.comp").alias("largest"), outer.alias("outer"), _chunks(F.col("top.n"), F.col("top.s"), *half).alias("inner")), "jaccard-largest")
+    if most.isEmpty():
+        return None
+    rows = whole.join(_sent(most, broadcast_rows), "block")
+    out = rows.filter("comp <> largest").withColumn("i", _piece(1, "outer"))
+    met = out.select("class_id", "block", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1)).alias("j"), F.lit(0).alias("side"))
+    own = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda j: F.struct(F.least(F.col("i").cast("long"), j).alias("i"), F.greatest(F.col("i").cast("long"), j).alias("j")))).alias("p")
+    among = out.select("class_id", "block", own).select("class_id", "block", "p.i", "p.j", F.lit(1).alias("side"))
+    rest = rows.filter("comp = largest").withColumn("j", _piece(2, "inner").cast("long"))
+    rest = rest.select("class_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), "j", F.lit(0).alias("side"))
+    tasks = met.withColumn("i", F.col("i").cast("long")).unionByName(among).unionByName(rest)
+    return stored(tasks.select("class_id", F.xxhash64("block", "side", "i", "j").alias("task")), "jaccard-tasks")
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, class_id (the smallest id with the
     same set) and component_id (the smallest id that links lead to)."""
     spark = docs.sparkSession
     modest_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    packed = docs.mapInArrow(_describe(k, percent, sent), _PACKED_DDL)
+    n_docs = docs.count()
+    bits = max(LEAST_BUCKETS, n_docs // BUCKET_DOCS).bit_length() - 1
+    sent = spark.sparkContext.broadcast(frequent_shingles(docs, k, n_docs))
+    packed = docs.mapInArrow(_describe(k, percent, bits, sent), _PACKED_DDL)
     found = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL)
     found = stored(found, "jaccard-sets")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"))
-    same = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
+    key = ["n_shingles", "h1", "h2"]
+    same = stored(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
     blocks = components(found.filter("kind = 1").select("a", "b"), "jaccard-blocks")
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
-    placed = same.join(blocks, F.col("class_id") == F.col("node")).select(F.col("class_id"), F.col("root").alias("block"))
-    placed = stored(placed, "jaccard-placed")
-    sizes = placed.groupBy("block").agg(F.count("*").alias("sets")).filter("sets > 1")
-    placed = placed.join(sizes, "block")
-    chunks = F.greatest(F.ceil(F.col("sets") / block_docs), F.lit(1)).cast("int")
-    placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("chunk"), j).alias("i"), F.greatest(F.col("chunk"), j).alias("j")))
-    placed = placed.select("class_id", "block", "chunks", F.explode(pair).alias("p"))
-    placed = stored(placed.select("class_id", F.xxhash64("block", "p.i", "p.j").alias("task"), "chunks"), "jaccard-tasks")
-    n_rows, most_chunks = placed.agg(F.count("*"), F.coalesce(F.max("chunks"), F.lit(1))).first()
-    places = placed.select("class_id", "task")
-    texts = docs.join(F.broadcast(places) if n_rows <= broadcast_rows else places, F.col("doc_id") == F.col("class_id"))
-    texts = texts.select("task", "doc_id", "text")
-    links = texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_search_blocks(k, percent), "node long, root long")
-    links = stored(links, "jaccard-links")
-    if most_chunks > 1:
+    placed = same.groupBy("class_id").agg(F.sum("n_shingles").alias("shingles")).join(blocks, F.col("class_id") == F.col("node"))
+    whole = stored(placed.select("class_id", "shingles", F.col("root").alias("block")), "jaccard-placed")
+    sizes = whole.groupBy("block").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).filter("sets > 1")
+    placed = whole.join(sizes, "block").withColumn("chunks", _chunks(F.col("sets"), F.col("all_shingles"), block_docs, block_shingles))
+    # A hub goes to all chunks of its block, so hubs are an eighth of the rows more.
+    hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "class_id"), 8 * F.col("chunks")) == 0)
+    chunk = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(_piece(0, "chunks").cast("long")))
+    placed = placed.select("class_id", "shingles", "block", "chunks", F.explode(chunk).alias("chunk"))
+    placed = stored(placed.select("class_id", "shingles", "block", F.xxhash64("block", "chunk").alias("task"), "chunks"), "jaccard-tasks")
+    links = _searched(docs, placed, k, percent, parts, broadcast_rows)
+    cut = placed.filter("chunks > 1").select("class_id", "shingles", "block").distinct()
+    # Rows that share an id are one document, whatever their sets.
+    twice = rows.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+    twice = stored(twice.filter("lo <> hi").select("doc_id"), "jaccard-twice")
+    more = []
+    if not cut.isEmpty():
+        links = components(links, "jaccard-links")
+        tasks = _outside_largest(cut, links, block_docs, block_shingles, broadcast_rows)
+        more = [_searched(docs, tasks, k, percent, parts, broadcast_rows)] if tasks is not None else []
+    if not twice.isEmpty():
+        more.append(rows.join(twice, "doc_id").join(same, key).select(F.col("doc_id").alias("node"), F.col("class_id").alias("root")))
+    for table in more:
+        links = links.unionByName(table)
+    if more:
         links = components(links, "jaccard-links")
     joined = same.join(links, F.col("class_id") == F.col("node"), "left")
-    joined = joined.select("n_shingles", "h1", "h2", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    out = rows.join(joined, ["n_shingles", "h1", "h2"], "left")
+    # A table of its own, so that the join can be split where many copies share a set.
+    joined = stored(joined.select(*key, "class_id", F.coalesce("root", "class_id").alias("component_id")), "jaccard-joined")
+    forget(whole, placed, twice)
+    out = rows.join(joined, key, "left")
     named = F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -479,7 +556,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
 def keep_one_per_component(docs: DataFrame, k: int = 4, percent: int = 85, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents whose id is the smallest of their component, with the columns
     of ``docs``. Rows with a null id stay, as do rows that repeat a kept id."""
-    found = jaccard_components(docs, k, percent)
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept: list[DataFrame] = []
+    with scratch_scope(docs.sparkSession, kept):
+        found = jaccard_components(docs, k, percent)
+        gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
+        kept.append(gone)
+    return docs.join(_sent(gone, broadcast_rows), "doc_id", "left_anti").select(docs.columns)
