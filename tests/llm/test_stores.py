@@ -1,8 +1,11 @@
+import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common import LOWER, SCHEMA, corpus, frame
 
@@ -21,16 +24,32 @@ def dropped(rows, least):
     return out
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_lines_against_brute_force(spark, limit):
+@pytest.mark.parametrize("limits", [(2_000_000, 0), (0, 2_000_000), (0, 0)])
+def test_lines_against_brute_force(spark, limits):
     from tidepanel.llm.line_dedup import LineIndex
 
     rows = corpus() + [(9000 + i, f" Common LINE\t\nown {i}\n\n\x0bcommon line", "en", "a", 1) for i in range(12)]
     docs = frame(spark, rows)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in LineIndex.build(docs, min_docs=3).drop_lines(docs, broadcast_keys=limit).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in LineIndex.build(docs, min_docs=3).drop_lines(docs, *limits).collect()}
     assert got == dropped(rows, 3)
 
 
+def test_rows_with_one_id_are_documents_each(spark):
+    import duckdb
+
+    from tidepanel.llm.line_dedup import LineIndex
+    from tidepanel.llm.queries import ORACLES
+
+    rows = [(1, "same line", "en", "a", 1)] * 12 + [(None, "same line\nown", "en", "a", 1), (2, "other\n\nSAME line ", "en", "a", 1)]
+    docs = frame(spark, rows).withColumn("row", F.lit(1)).withColumn("k1", F.lit(2)).withColumn("docs", F.lit(3))
+    kept = LineIndex.build(docs).drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    got = sorted(map(str, (tuple(r) for r in kept.collect())))
+    documents = docs.toPandas()  # noqa: F841
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = duckdb.sql(ORACLES["op2_line_dedup"]).fetchall()
+    assert got == sorted(map(str, want)) and got.count(str((1, 1, 1, hashlib.sha256(b"").hexdigest()))) == 12
+
+
 def test_line_index_is_reversible(spark):
     from tidepanel.llm.line_dedup import LineIndex
 
@@ -155,6 +174,30 @@ def test_sharding(spark):
     placed = {r.doc_id: r.shard for r in assign(docs, 6).collect()}
     assert placed == {r.doc_id: r.shard for r in got}
     assert sharded(frame(spark, [], SCHEMA)).count() == 0
+    clash = assign(docs.withColumn("shard", F.lit("own")).withColumn("cell", F.lit(1)).withColumn("a.b", F.lit(1)), 6)
+    assert clash.columns == [*docs.columns, "cell", "a.b", "shard"] and {r.doc_id: r.shard for r in clash.collect()} == placed
+
+
+def test_scratch_tables_go(spark):
+    from tidepanel.llm.decontam import remove_contaminated
+    from tidepanel.llm.jaccard_join import keep_one_per_component
+    from tidepanel.llm.shared import forget, scratch_root, scratch_scope, stored
+
+    folder = scratch_root(spark).removeprefix("file:")
+    docs = frame(spark, corpus(groups=8))
+    before = set(os.listdir(folder))
+    kept = keep_one_per_component(docs)
+    assert kept.count() > 0 and {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"jaccard-dropped"}
+    before = set(os.listdir(folder))
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert remove_contaminated(docs, bench).count() > 0 and {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"hits"}
+    before, keep = set(os.listdir(folder)), []
+    with scratch_scope(spark, keep):
+        stored(docs, "one")
+        keep.append(stored(docs, "two"))
+    assert keep[0].count() == docs.count() and len(set(os.listdir(folder)) - before) == 1
+    forget(*keep)
+    assert set(os.listdir(folder)) == before
 
 
 def test_ring_moves_little():
@@ -215,3 +258,103 @@ def test_mixing(spark):
     again = mix(docs.repartition(7), shards=4).collect()
     assert sorted(tuple(map(str, r)) for r in again) == sorted(tuple(map(str, r)) for r in mixed)
     assert mix_report(frame(spark, [], SCHEMA)).count() == 0
+    assert mix(frame(spark, [], SCHEMA)).count() == 0
+    named = mix(docs.withColumn("mix_shard", F.lit("own")).withColumn("key", F.lit(1)), shards=4)
+    assert named.columns == [*docs.columns, "key", "mix_shard", "mix_order"] and {r.mix_shard for r in named.collect()} == {0, 1, 2, 3}
+    same = mix(docs.withColumn("mix_shard", F.lit("own")).withColumn("dealt.x", F.lit(1)), shards=4, keep_plan_columns=False)
+    assert same.columns == [*docs.columns, "mix_shard", "dealt.x"] and same.count() == len(mixed)
+
+
+def test_what_is_taken_comes_from_the_dealt_blocks(spark):
+    from tidepanel.llm.mixing import mix_report, plan_mix, mix_rows
+
+    docs = frame(spark, corpus(groups=60))
+    plan = plan_mix(docs, shards=5)
+    rows = {r.doc_id: r for r in mix_rows(docs).collect()}
+    dealt = defaultdict(list)
+    for r in plan.deal.collect():
+        dealt[r.key, r.block] += r.dealt
+    want = {d: sum(r.u <= c.last_u for c in dealt[r.key, r.u >> 53]) * r.size for d, r in rows.items()}
+    assert {r.doc_id: r.taken for r in mix_report(docs, shards=5).collect()} == want
+    # All shards hold the same number of blocks, but for rounding at the nodes.
+    loads = Counter(c.mix_shard for copies in dealt.values() for c in copies)
+    assert set(loads) == set(range(5)) and max(loads.values()) - min(loads.values()) <= 3
+    text = mix_report(docs, shards=5)._jdf.queryExecution().toString()
+    assert "mix-deal" in text
+
+
+def test_hypergeometric_draws(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from tidepanel.llm.mixing import hypergeometric, tree_quotas
+
+    rng = np.random.default_rng(6)
+    rows = [(g := int(rng.integers(0, 40)), b := int(rng.integers(0, 40)), int(rng.integers(0, g + b + 1)), float(rng.random())) for _ in range(300)]
+    rows += [(0, 5, 3, 0.5), (5, 0, 3, 0.5), (3, 3, 0, 0.9), (3, 3, 6, 0.0), (1500, 1500, 1500, 0.5), (3000, 10, 1000, 0.3)]
+    got = spark.createDataFrame(rows, "good long, bad long, n long, u double").select("*", hypergeometric(*[F.col(c) for c in ("good", "bad", "n", "u")]).alias("x")).collect()
+    for r in got:
+        upto, whole = 0, comb(r.good + r.bad, r.n)
+        for x in range(max(0, r.n - r.bad), min(r.n, r.good) + 1):
+            upto += comb(r.good, x) * comb(r.bad, r.n - x)
+            if Fraction(upto, whole) >= Fraction(r.u):
+                break
+        assert r.x == x, r
+    quotas = {"a": 700, "b": 1, "c": 90, "d": 0, "e": 2048}
+    table = spark.createDataFrame(list(quotas.items()), "key string, n long")
+    shares = tree_quotas(table, 6, 3).collect()
+    assert len(shares) == 30 and all(r.n >= 0 for r in shares)
+    for k, n in quotas.items():
+        assert sum(r.n for r in shares if r.key == k) == n
+    loads = [sum(r.n for r in shares if r.mix_shard == s) for s in range(6)]
+    assert max(loads) - min(loads) <= 3
+    # The draws spread as drawing blocks without replacement does: the mean of many seeds.
+    means = np.mean([[r.n for r in tree_quotas(table, 2, s).filter("key = 'a'").collect() if r.mix_shard == 0] for s in range(40)])
+    assert abs(means - 350) < 6
+
+
+def test_any_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidepanel.llm.token_store import document_checks, read_documents, word_pattern, write_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert word_pattern(path) is None and word_pattern(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, "Hello World, it's FINE", "en", "a", 1), (2, None, "en", "a", 1), *corpus(groups=6)[2:]]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    whole = Tokenizer.from_file(path)
+    want = {r[0]: [*whole.encode(r[1] or "", add_special_tokens=False).ids, 50256] for r in rows}
+    store = write_store(frame(spark, rows), path, end_id=50256)
+    assert want[0][:3] == [15496, 2159, 11]
+    assert {r.doc_id: r.ids for r in read_documents(spark, store).collect()} == want
+    assert {r.doc_id: r.ids_crc32 for r in document_checks(spark, store).collect()} == {d: zlib.crc32(np.array(x, "<u4").tobytes()) for d, x in want.items()}
+
+
+def test_chunks_depend_on_their_document_alone():
+    from tidepanel.llm.token_store import LEAST_IDS, MOST_IDS, chunk_ends
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 49_000, n).astype(np.uint32) for n in (1, 64, 65, 3000, 5, 20_000)] + [np.zeros(9000, np.uint32)]
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got = chunk_ends(np.concatenate(docs), first)
+    for d, at, ends in zip(docs, first, got):
+        assert [e - at for e in ends] == chunk_ends(d, np.array([0, len(d)]))[0]
+        sizes = np.diff(ends, prepend=at)
+        assert ends[-1] == at + len(d) and sizes.max() <= MOST_IDS and (len(sizes) == 1 or sizes[:-1].min() >= LEAST_IDS)
+    assert len(got[5]) > 40 and len(got[6]) == 5
+
+
+def test_a_spoiled_store_is_found(spark):
+    import public_tokenizers
+    from tidepanel.llm.token_store import document_checks, write_store
+
+    store = write_store(frame(spark, corpus(groups=5)), public_tokenizers.path("word_bpe_49k.json"))
+    chunks = spark.read.parquet(f"{store}/chunks")
+    chunks.withColumn("packed", F.when(F.col("size") == 1, F.unhex(F.lit("0300"))).otherwise(F.col("packed"))).write.parquet(f"{store}/spoiled")
+    from tidepanel.llm.shared import remove_path
+
+    remove_path(spark, f"{store}/chunks")
+    spark.read.parquet(f"{store}/spoiled").write.parquet(f"{store}/chunks")
+    with pytest.raises(Exception, match="does not have the content of its address"):
+        document_checks(spark, store).collect()

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -8,13 +9,14 @@ from pyspark.sql import functions as F
 from tests.llm.common import SCHEMA, alnum_words, blank_words, corpus, frame
 
 
-def test_contamination_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [400_000, 0])
+def test_contamination_against_brute_force(spark, limit):
     from tidepanel.llm.decontam import contamination
 
     rows = corpus()
     items = [(1, " ".join(alnum_words(rows[5][1])[:40])), (2, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 P10"), (3, "w1 W2"), (4, None), (5, "!!"), (6, "w1, w2"), (None, "z z")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in contamination(frame(spark, rows).withColumn("h", F.lit(1)).withColumn("p", F.lit(2)), bench).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in contamination(frame(spark, rows).withColumn("h", F.lit(1)).withColumn("p", F.lit(2)), bench, broadcast_windows=limit).collect()}
     want = {}
     for r in rows:
         w, hit, found = alnum_words(r[1]), set(), set()
@@ -46,6 +48,33 @@ def test_remove_contaminated(spark):
     assert remove_contaminated(docs, bench.limit(0)).count() == 4
 
 
+def test_shuffled_windows_leave_the_words_behind(spark):
+    from tidepanel.llm.decontam import contamination
+
+    bench = spark.createDataFrame([(1, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 P10")], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = contamination(frame(spark, corpus(groups=5)), bench, broadcast_windows=0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(plan) if "hashpartitioning(dh#" in line)
+    sent = next(line for line in plan[at:] if "Project [" in line)
+    assert "row#" in sent and " w#" not in sent and "[w#" not in sent
+
+
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_removal_with_clashing_columns(spark, mode):
+    from tidepanel.llm.decontam import remove_contaminated
+
+    passage = " ".join(f"q{i}" for i in range(12))
+    docs = frame(spark, [(1, f"Keep. {passage}! End.", "en", "a", 1), (2, "clean", "en", "a", 1)])
+    for name in ("hit_id", "hit_words", "row", "w", "doc", "cut", "a.b"):
+        docs = docs.withColumn(name, F.lit("own"))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = remove_contaminated(docs, bench, mode=mode)
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    assert kept.columns == docs.columns and set(rows) == ({2} if mode == "documents" else {1, 2})
+    assert all(r[c] == "own" for r in rows.values() for c in ("hit_id", "hit_words", "row", "a.b"))
+
+
 def jaccard_brute(rows, k, percent):
     sets = {}
     for r in rows:
@@ -69,12 +98,12 @@ def jaccard_brute(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k,percent,block", [(4, 85, 4096), (5, 80, 4096), (4, 85, 3)])
-def test_jaccard_join_against_brute_force(spark, k, percent, block):
+@pytest.mark.parametrize("k,percent,block,shingles", [(4, 85, 4096, 10**6), (5, 80, 4096, 100), (4, 85, 3, 10**6)])
+def test_jaccard_join_against_brute_force(spark, k, percent, block, shingles):
     from tidepanel.llm.jaccard_join import jaccard_components
 
     rows = corpus(seed=k + block, groups=50)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), k, percent, block_docs=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), k, percent, block_docs=block, block_shingles=shingles).collect()}
     assert got == jaccard_brute(rows, k, percent)
 
 
@@ -90,6 +119,58 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_components(frame(spark, [], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("block,broadcast", [(4096, 1_000_000), (4, 0)])
+def test_jaccard_join_of_repeated_ids(spark, block, broadcast):
+    from tidepanel.llm.jaccard_join import jaccard_components
+
+    text = lambda *words: " ".join(f"u{w}" for w in words)
+    # Id 1 has two texts; the second is near that of id 2. Id 5 joins those of ids 3 and 4.
+    rows = [(1, text(*range(50, 70)), "en", "a", 1), (1, text(*range(20)), "en", "a", 1), (2, text(*range(19), 99), "en", "a", 1)]
+    rows += [(3, text(*range(100, 120)), "en", "a", 1), (4, text(*range(200, 220)), "en", "a", 1), (5, text(*range(100, 120)), "en", "a", 1), (5, text(*range(200, 220)), "en", "a", 1), (6, text(*range(300, 320)), "en", "a", 1)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(frame(spark, rows), 4, 70, block_docs=block, broadcast_rows=broadcast).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+
+
+def test_meeting_edges_lose_no_link():
+    from tidepanel.llm.jaccard_join import meeting_edges
+    from tidepanel.llm.shared import contract_edges
+
+    rng = np.random.default_rng(8)
+    sig, before, ids, stars = [], [], [], []
+    groups = {}
+    for doc in range(400):
+        last = 0
+        for place in range(rng.integers(1, 12)):
+            now = (place + 1) * 1000 + int(rng.integers(0, 3 if doc % 2 else 300))
+            sig.append(now), before.append(last), ids.append(doc)
+            groups.setdefault(now, []).append(doc)
+            last = now
+    stars = [(d, g[0]) for g in groups.values() for d in g[1:]]
+    a, b = meeting_edges(np.array(sig, np.uint64), np.array(before, np.uint64), np.array(ids))
+    assert len(a) < 0.7 * len(stars)
+    whole = lambda x, y: sorted(zip(*(v.tolist() for v in contract_edges(x, y))))
+    assert whole(a, b) == whole(*np.array(stars).T)
+    # Copies: one edge each, however many signatures they have.
+    a, _ = meeting_edges(np.tile(np.arange(1, 31), 50).astype(np.uint64), np.tile(np.arange(30), 50).astype(np.uint64), np.repeat(np.arange(50), 30))
+    assert len(a) == 49
+
+
+def test_jaccard_edges_do_not_follow_the_partitions(spark):
+    from tidepanel.llm.jaccard_join import LEAST_BUCKETS, _FOUND_DDL, _PACKED_DDL, _describe, _meet
+
+    rng = np.random.default_rng(9)
+    base = [f"v{j}" for j in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.integers(0, 300, i % 3):
+            words[at] = f"n{rng.integers(1000)}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    packed = frame(spark, rows, parts=6).select("doc_id", "text").mapInArrow(_describe(5, 80, LEAST_BUCKETS.bit_length() - 1, spark.sparkContext.broadcast(None)), _PACKED_DDL)
+    edges = [packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL).filter("kind = 1").count() for n in (4, 32)]
+    assert edges[1] <= 1.6 * edges[0] and edges[1] <= 3 * len(rows), edges
+
+
 def test_components(spark):
     from tidepanel.llm.shared import components
 
@@ -156,6 +237,63 @@ def test_language_id(spark):
         assert len({tuple(r) for r in c}) == k and not (np.abs(c.sum(0)) == k).any()
 
 
+def test_long_texts_and_rare_languages_are_learned(spark):
+    from tidepanel.llm.langid import identify, learn
+
+    rng = np.random.default_rng(5)
+    # French stands in long texts only, and German in two documents.
+    rows = [(i, talk(rng, "fr" if i % 2 else "en", 5000 if i % 2 else 40), "fr" if i % 2 else "en", "s", 1) for i in range(80)]
+    rows += [(200 + i, talk(rng, "de", 60), "de", "s", 1) for i in range(2)]
+    assert min(len(r[1]) for r in rows if r[2] == "fr") > 20_000
+    docs = frame(spark, rows).withColumn("label", F.lit("x")).withColumn("rate", F.lit(0))
+    model = learn(docs, sample_docs=40)
+    assert model.languages == ["de", "en", "fr"]
+    tests = frame(spark, [(k, talk(rng, x, 30), x, "s", 1) for k, x in enumerate(["en", "fr", "de"] * 10)])
+    assert all(r.lang_pred == ["en", "fr", "de"][r.doc_id % 3] for r in identify(tests, model).collect())
+
+
+def test_language_codes_against_brute_force(spark):
+    """Counts, classifiers, losses and decoding, computed one text and bit at a time."""
+    import math
+
+    import pyarrow as pa
+
+    from tidepanel.llm.grams import LETTER_TABLE, Scan
+    from tidepanel.llm.langid import BUCKETS, LanguageModel, codewords, gram_counts, learn
+
+    rng = np.random.default_rng(7)
+    rows = [(i, talk(rng, ["de", "en", "fr"][i % 3], 25), ["de", "en", "fr"][i % 3], "s", 1) for i in range(60)]
+    model = learn(frame(spark, rows))
+    buckets = lambda text: [int(b) for _, own in gram_counts(Scan(pa.array([text]), LETTER_TABLE)) for b in own]
+    counts = [dict() for _ in range(3)]
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for b in buckets(text):
+                own = counts[["de", "en", "fr"].index(lang)]
+                own[b] = own.get(b, 0) + 1
+    share = lambda k, b: (counts[k].get(b, 0) + 0.5) / (sum(counts[k].values()) + 0.5 * BUCKETS)
+
+    def weight(b, bit):
+        one = [k for k in range(3) if model.code[k, bit] > 0]
+        zero = [k for k in range(3) if model.code[k, bit] < 0]
+        return math.log(sum(share(k, b) for k in one) / len(one)) - math.log(sum(share(k, b) for k in zero) / len(zero))
+
+    for text in (rows[0][1], rows[1][1], "the river der fluss", "xyz"):
+        own = buckets(text)
+        outputs = [sum(weight(b, j) for b in own) / max(len(own), 1) for j in range(model.code.shape[1])]
+        loss = [sum(model.trust[j] * math.log1p(math.exp(-model.scale * model.code[k, j] * outputs[j])) for j in range(len(outputs))) for k in range(3)]
+        soft = [math.exp(min(loss) - x) for x in loss]
+        pred, score, lead = model.predict(pa.array([text]))
+        assert pred[0] == loss.index(min(loss)) and score[0] == pytest.approx(max(soft) / sum(soft), rel=1e-4)
+        assert lead[0] == pytest.approx((sorted(soft)[-1] - sorted(soft)[-2]) / sum(soft), abs=1e-4)
+    # A single wrong bit does not change the decoded language where codewords are far apart.
+    code = codewords(12)
+    m = LanguageModel([str(k) for k in range(12)], code, np.zeros((1, code.shape[1])), np.ones(code.shape[1]), 4.0)
+    for k in range(12):
+        flipped = np.where(np.arange(code.shape[1]) == k, -code[k], code[k])
+        assert m.losses(flipped[None]).argmin() == k
+
+
 def test_license_scan(spark):
     from tidepanel.llm.license_scan import PHRASES, TEMPLATES, Scanner, scan_licenses
 
@@ -226,6 +364,42 @@ def test_toxicity(spark):
     assert w[0] + b > 0 > b
 
 
+def test_risk_and_gradient_against_brute_force():
+    """One step of the learner against the risk itself and finite differences."""
+    from tidepanel.llm.toxicity import fit_nnpu
+
+    rng = np.random.default_rng(3)
+    xp, xu, prior = rng.integers(0, 2, (30, 4)).astype(float), rng.integers(0, 2, (90, 4)).astype(float), 0.3
+
+    def parts(w):
+        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        plus = prior * np.mean([np.log1p(np.exp(-z)) for z in zp])
+        minus = np.mean([np.log1p(np.exp(z)) for z in zu]) - prior * np.mean([np.log1p(np.exp(z)) for z in zp])
+        return plus, minus
+
+    def gradient(f, w, h=1e-6):
+        return np.array([(f(w + h * e) - f(w - h * e)) / (2 * h) for e in np.eye(len(w))])
+
+    def brute(rounds, rate=0.05, l2=1e-4):
+        w = np.append(np.zeros(4), -1.0)
+        m, v = np.zeros(5), np.zeros(5)
+        for t in range(1, rounds + 1):
+            # The non-negative estimate: where the negative risk is below zero, step up it.
+            g = gradient(lambda x: sum(parts(x)), w) if parts(w)[1] >= 0 else gradient(lambda x: -parts(x)[1], w)
+            g = g + np.append(l2 * w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    for rounds in (1, 5, 60):
+        w, b = fit_nnpu(xp, xu, prior, rounds=rounds)
+        assert np.allclose([*w, b], brute(rounds), atol=2e-3), rounds
+    # With a prior that is too high the unbiased risk has no lower bound; this one stays at zero or more.
+    xp, xu, prior = np.eye(4)[:2].repeat(20, 0), np.eye(4).repeat(20, 0), 0.9
+    w, b = fit_nnpu(xp, xu, prior, rounds=600)
+    assert parts(np.append(w, b))[1] > -0.05
+
+
 def test_toxicity_of_long_texts(spark):
     import pyarrow as pa
 

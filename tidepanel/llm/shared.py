@@ -3,6 +3,7 @@ scanning in numpy, and connected components over an edge table."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -155,7 +156,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have, dtype=np.uint64)
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _powers[int(base)] = have
     return have[:n]
 
@@ -225,7 +226,7 @@ def hash_of_words(words: list[str]) -> np.ndarray:
     return Words(pa.array(words, pa.string()), ALNUM_TABLE).hashes() if words else np.zeros(0, np.uint64)
 
 
-def text_slices(column: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
+def text_slices(column: pa.Array, limit: int = 1_500_000) -> Iterator[tuple[int, pa.Array]]:
     """Cut a column into runs of some ``limit`` bytes, so that the arrays over
     single bytes stay small; a longer text is a run of its own."""
     column = column.cast(pa.large_string())
@@ -237,10 +238,21 @@ def text_slices(column: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int,
         at = stop
 
 
-def rounds_of(batch: pa.RecordBatch, name: str, limit: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """``text_slices`` together with the other columns of a batch."""
+def rounds_of(batch: pa.RecordBatch, name: str, limit: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """``text_slices`` together with the other columns of a batch. After a batch,
+    memory that its arrays left free goes back to the system, as workers live on."""
     for at, texts in text_slices(batch.column(batch.schema.get_field_index(name)), limit):
         yield batch.slice(at, len(texts)), texts
+    del batch
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 # -- connected components --------------------------------------------------

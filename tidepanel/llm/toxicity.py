@@ -55,7 +55,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     documents, each bucket occurs in this task."""
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
-        for part, texts in rounds_of(batch, "text", 1_500_000):
+        for part, texts in rounds_of(batch, "text", 750_000):
             positive = np.array(part.column(1).to_pylist(), bool)
             text, bucket, byte = features(Scan(texts))
             known = positive[text]
@@ -139,14 +139,16 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, ra
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, rounds + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        # In the features' own precision: mixed products would copy them each time.
+        own = w.astype(xp.dtype)
+        zp, zu = (xp @ own).astype(np.float64) + b, (xu @ own).astype(np.float64) + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus, gp_minus, gu_minus = -sig(-zp) / len(zp), sig(zp) / len(zp), sig(zu) / len(zu)
         if negative >= 0:
             cp, cu = prior * gp_plus - prior * gp_minus, gu_minus
         else:  # the estimate of the negative risk overfits: step back from it
             cp, cu = prior * gp_minus, -gu_minus
-        g = np.append(xp.T @ cp + xu.T @ cu + l2 * w, cp.sum() + cu.sum())
+        g = np.append(cp.astype(xp.dtype) @ xp + cu.astype(xu.dtype) @ xu + l2 * w, cp.sum() + cu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -185,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, pos
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 1_500_000):
+            for part, texts in rounds_of(batch, "text", 750_000):
                 w = _windows(sent.value, Scan(texts))
                 cuts = np.searchsorted(w.of, np.arange(len(w.text) + 1))
                 rows = [[] if not bare else [b""] for bare in w.bare]
@@ -213,7 +215,7 @@ def score(docs: DataFrame, model: ToxicModel, folds: int = 5, held: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 1_500_000):
+            for part, texts in rounds_of(batch, "text", 750_000):
                 yield pa.record_batch([part.column(0), pa.array(sent.value.scores(texts))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -228,7 +230,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in rounds_of(batch, "text", 1_500_000):
+            for part, texts in rounds_of(batch, "text", 750_000):
                 yield part.filter(pa.array(sent.value.scores(texts) < 0.5))
 
     assert at >= 0
