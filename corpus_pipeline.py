@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import decontam, jaccard_join, mixing, ring_shards, toxicity
-from tidepanel.llm.shared import read_table, stored
+from tidepanel.llm.shared import forget, read_table, scratch_scope, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights: a document is left out, taken
-    once or repeated (then as several rows)."""
+    once or repeated (then as several rows). Rows come by mix shard, shuffled."""
     return mixing.mix(docs, keep_plan_columns=False)
 
 
@@ -53,7 +53,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way goes when its
+    result is stored, and that result when the next stage's is."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept: list[DataFrame] = []
+        with scratch_scope(spark, kept):
+            kept.append(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        forget(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
