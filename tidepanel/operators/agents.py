@@ -377,19 +377,27 @@ def net_demand(df: DataFrame, demand_col: str, generation_col: str, curtail: boo
     return df.withColumn("net_demand", F.greatest(value, F.lit(0.0)) if curtail else value)
 
 
+def demand_shift(profile, capacity: float) -> tuple[np.ndarray, float]:
+    """The profile after demand response, and the energy above the capacity. What is
+    above goes to the steps with the least load, each up to the capacity; a window
+    that cannot fit under it becomes flat. The sum of the profile stays."""
+    ensure(capacity > 0, "capacity must be positive")
+    x = np.asarray(profile, float)
+    above = float(np.maximum(x - capacity, 0).sum())
+    if above == 0:
+        return x.copy(), 0.0
+    if x.sum() > capacity * len(x):
+        return np.full(len(x), x.mean()), above
+    out = np.minimum(x, capacity)
+    order = np.argsort(out, kind="stable")
+    room = capacity - out[order]
+    out[order] += np.clip(above - (np.cumsum(room) - room), 0, room)
+    return out, above
+
+
 def demand_response(profile, capacity: float) -> np.ndarray:
-    """Move load above the capacity to the steps with most room."""
-    x = np.asarray(profile, float).copy()
-    for i in np.argsort(-x, kind="stable"):
-        while x[i] > capacity + 1e-12:
-            j = int(np.argmin(x))
-            room = capacity - x[j]
-            if room <= 1e-12:
-                return x
-            move = min(room, x[i] - capacity)
-            x[i] -= move
-            x[j] += move
-    return x
+    """The shifted profile alone."""
+    return demand_shift(profile, capacity)[0]
 
 
 class GridHierarchy:
@@ -583,18 +591,21 @@ class MaintenanceOrchestrator:
 # -- clinical monitoring ---------------------------------------------------
 
 #: Fixed values: (low, high) of each vital in its usual range.
-VITAL_BOUNDS = {"heart_rate": (50.0, 110.0), "respiratory_rate": (10.0, 22.0), "temperature": (36.0, 38.0), "systolic_bp": (100.0, 180.0), "spo2": (94.0, 100.0)}
+VITAL_BOUNDS = {"heart_rate": (60.0, 100.0), "respiratory_rate": (12.0, 20.0), "temperature": (36.0, 38.0), "systolic_bp": (100.0, 140.0), "spo2": (94.0, 100.0)}
 
 
 def clinical_scores(df: DataFrame, sepsis_threshold: int = 2) -> DataFrame:
-    """``sepsis_score`` (respiratory rate >= 22, systolic pressure <= 100, heart
-    rate > 90, temperature outside 36 to 38), ``out_of_range`` vitals, a NEWS-like
-    score and an escalation ``tier`` from 0 to 3. Missing vitals count as normal."""
+    """``sepsis_score`` (a point each for a respiratory rate >= 22 and > 20, systolic
+    pressure <= 100, heart rate > 90, temperature outside 36 to 38), ``out_of_range``
+    vitals, a NEWS-like score and an escalation ``tier`` from 0 to 3: by the score,
+    2 at least with sepsis risk, one more with three or more vitals out of range.
+    Missing vitals count as normal."""
     c = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("double")
     one = lambda cond: F.coalesce(cond.cast("int"), F.lit(0))
     hr, rr, t, bp, ox = (c(n) for n in VITAL_BOUNDS)
-    sepsis = one(rr >= 22) + one(bp <= 100) + one(hr > 90) + one((t > 38) | (t < 36))
+    sepsis = one(rr >= 22) + one(rr > 20) + one(bp <= 100) + one(hr > 90) + one((t > 38) | (t < 36))
     out = sum((one((c(n) < lo) | (c(n) > hi)) for n, (lo, hi) in VITAL_BOUNDS.items()), F.lit(0))
+    # The bands of the score.
     band = lambda x, *steps: F.coalesce(F.coalesce(*[F.when(cond(x), F.lit(s)) for cond, s in steps]), F.lit(0))
     news = (
         band(rr, (lambda x: (x <= 8) | (x >= 25), 3), (lambda x: x >= 21, 2), (lambda x: x <= 11, 1))
@@ -605,8 +616,9 @@ def clinical_scores(df: DataFrame, sepsis_threshold: int = 2) -> DataFrame:
     )
     rows = df.withColumn("sepsis_score", sepsis).withColumn("out_of_range", out).withColumn("news", news)
     tier = F.when(F.col("news") >= 7, 3).when(F.col("news") >= 5, 2).when(F.col("news") >= 1, 1).otherwise(0)
-    bump = (F.col("sepsis_score") >= sepsis_threshold).cast("int")
-    return rows.withColumn("sepsis_flag", F.col("sepsis_score") >= sepsis_threshold).withColumn("tier", F.least(tier + bump, F.lit(3)))
+    risk = F.col("sepsis_score") >= sepsis_threshold
+    tier = F.greatest(tier, F.when(risk, 2).otherwise(0)) + one(F.col("out_of_range") >= 3)
+    return rows.withColumn("sepsis_flag", risk).withColumn("tier", F.least(tier, F.lit(3)))
 
 
 class TreatmentAgent:
