@@ -402,8 +402,7 @@ def mcmc_series(v: np.ndarray, h: int, model: str = "local_level", p: int = 1, s
         def post(b):
             return KalmanFilter([[1.0]], [[1.0]], [[np.exp(2 * b[0])]], [[np.exp(2 * b[1])]], [bare[0]], [[1.0]]).filter(bare).log_likelihood - 0.5 * (b @ b) / 9
 
-        n = min(n_samples, 300)
-        s = random_walk_mh(post, np.array([-1.0, -0.5]), n, min(burn_in, 150), seed)
+        s = random_walk_mh(post, np.array([-1.0, -0.5]), n_samples, burn_in, seed)
         paths, known = [], {}
         for b in s:
             key = tuple(b)

@@ -138,9 +138,10 @@ def spectral_cluster(df: DataFrame, k: int = 3, method: str = "sbd", sigma: floa
 # -- centres ---------------------------------------------------------------
 
 
-def _sample(df: DataFrame, target_col: str, id_col: str, time_col: str, most: int = MATRIX_SERIES) -> tuple[list, list[np.ndarray]]:
-    """Series to fit centres on: all, or a hash sample of ``most``."""
-    rows = gathered(df, target_col, id_col, time_col).orderBy(F.xxhash64(F.lit(1), id_col), id_col).limit(most).collect()
+def _sample(df: DataFrame, target_col: str, id_col: str, time_col: str, most: int | None = MATRIX_SERIES) -> tuple[list, list[np.ndarray]]:
+    """Series to fit centres on: a hash sample of ``most``, or all if that is None."""
+    rows = gathered(df, target_col, id_col, time_col)
+    rows = rows.collect() if most is None else rows.orderBy(F.xxhash64(F.lit(1), id_col), id_col).limit(most).collect()
     rows.sort(key=lambda r: r[0])
     return [r[0] for r in rows], [np.array(r["series"], float) for r in rows]
 
@@ -156,11 +157,14 @@ def assign_to_centres(df: DataFrame, centres: list[np.ndarray], fn, target_col:
 
 
 class KShape:
-    def __init__(self, n_clusters: int = 2, max_iter: int = 100):
-        self.n_clusters, self.max_iter = n_clusters, max_iter
+    """k-Shape. Beyond ``fit_series`` series the centres are those of a hash sample
+    of so many (None: of all, on the driver); every series is assigned."""
+
+    def __init__(self, n_clusters: int = 2, max_iter: int = 100, fit_series: int | None = MATRIX_SERIES):
+        self.n_clusters, self.max_iter, self.fit_series = n_clusters, max_iter, fit_series
 
     def fit(self, df: DataFrame, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> KShape:
-        _, series = _sample(df, target_col, id_col, time_col)
+        _, series = _sample(df, target_col, id_col, time_col, self.fit_series)
         width = max(map(len, series))
         x = np.array([np.pad(s, (0, width - len(s))) for s in series])
         _check_k(self.n_clusters, len(x))
@@ -175,14 +179,16 @@ class KShape:
 
 
 class TimeSeriesKMeans:
-    """DTW assignment and barycentres."""
+    """DTW assignment and barycentres. Beyond ``fit_series`` series the centres are
+    those of a hash sample of so many (None: of all, on the driver)."""
 
-    def __init__(self, n_clusters: int = 2, metric: str = "dtw", max_iter: int = 50, dba_max_iter: int = 30, seed: int = 42):
+    def __init__(self, n_clusters: int = 2, metric: str = "dtw", max_iter: int = 50, dba_max_iter: int = 30, seed: int = 42, fit_series: int | None = 1_000):
         ensure(metric == "dtw", "metric must be dtw")
+        self.fit_series = fit_series
         self.n_clusters, self.max_iter, self.dba_max_iter, self.seed = n_clusters, max_iter, dba_max_iter, seed
 
     def fit(self, df: DataFrame, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> TimeSeriesKMeans:
-        _, series = _sample(df, target_col, id_col, time_col, 1_000)
+        _, series = _sample(df, target_col, id_col, time_col, self.fit_series)
         _check_k(self.n_clusters, len(series))
         _, self.centroids_ = C.kmeans_dba(series, self.n_clusters, self.max_iter, self.dba_max_iter, self.seed)
         self.labels_ = assign_to_centres(df, self.centroids_, C.squared_dtw, target_col, id_col, time_col)
@@ -194,12 +200,13 @@ def kmeans_dba(df: DataFrame, k: int, max_iter: int = 50, seed: int = 42, **colu
 
 
 class KASBAClusterer:
-    def __init__(self, n_clusters: int = 8, c: float = 1.0, ba_subset_size: float = 0.5, initial_step_size: float = 0.05, decay_rate: float = 0.1, max_iter: int = 10, seed: int = 42):
+    def __init__(self, n_clusters: int = 8, c: float = 1.0, ba_subset_size: float = 0.5, initial_step_size: float = 0.05, decay_rate: float = 0.1, max_iter: int = 10, seed: int = 42, fit_series: int | None = 2_000):
+        self.fit_series = fit_series  # as in TimeSeriesKMeans
         self.args = dict(k=n_clusters, c=c, max_iter=max_iter, subset=ba_subset_size, step=initial_step_size, decay=decay_rate, seed=seed)
 
     def fit(self, df: DataFrame, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> KASBAClusterer:
         self.columns = (target_col, id_col, time_col)
-        _, series = _sample(df, target_col, id_col, time_col, 2_000)
+        _, series = _sample(df, target_col, id_col, time_col, self.fit_series)
         _check_k(self.args["k"], len(series))
         _, self.centroids_, self.inertia_ = C.kasba(series, **self.args)
         self.labels_ = self.predict(df)

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from tidepanel.functions.elastic import KERNELS, distances
 from tidepanel.panel import ID, TIME, Y, as_series, as_series_multi, ensure, ratio
 
-#: Series up to which the smaller side is sent to every task.
-BROADCAST_SERIES = 20_000
-
 
 def _kernel(method: str, options: dict) -> tuple[str, dict]:
     options = dict(options)
