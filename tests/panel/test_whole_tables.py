@@ -40,6 +40,74 @@ def test_vector_queries_read_the_whole_table(spark, tmp_path):
     assert len(run("auto_cluster")) == 6
 
 
+def table_of(a, b, cell, top, side):
+    """A dynamic program over all cells, one at a time; borders by function."""
+    d = np.array([[0.0 if i == j == 0 else top(j) if i == 0 else side(i) if j == 0 else 0.0 for j in range(len(b) + 1)] for i in range(len(a) + 1)])
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = cell(i, j, d[i - 1, j - 1], d[i - 1, j], d[i, j - 1])
+    return d[-1, -1]
+
+
+def test_distances_against_brute_force(spark):
+    from tidepanel.operators.similarity import pair_distances
+
+    rng, inf = np.random.default_rng(3), lambda k: np.inf
+    x = {i: rng.normal(size=20) for i in range(9)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "unique_id long, series array<double>")
+    other = spark.createDataFrame([(i, x[i].tolist()) for i in (2, 7)] + [(50, rng.normal(size=20).tolist())], "key long, series array<double>")
+
+    def brute(name, a, b):
+        c = lambda i, j: abs(a[i - 1] - b[j - 1])
+        at = lambda v, i: v[i - 1] if i > 0 else 0.0
+        n = len(a)
+        if name == "frechet":
+            return table_of(a, b, lambda i, j, g, u, l: max(c(i, j), min(g, u, l)), inf, inf)
+        if name == "sakoe_chiba":
+            return table_of(a, b, lambda i, j, g, u, l: c(i, j) + min(g, u, l) if abs(i - j) <= 3 else np.inf, inf, inf)
+        if name == "wdtw":
+            return table_of(a, b, lambda i, j, g, u, l: c(i, j) ** 2 / (1 + np.exp(-0.05 * (abs(i - j) - n / 2))) + min(g, u, l), inf, inf)
+        if name == "erp":
+            return table_of(a, b, lambda i, j, g, u, l: min(g + c(i, j), u + abs(a[i - 1]), l + abs(b[j - 1])), lambda k: np.abs(b[:k]).sum(), lambda k: np.abs(a[:k]).sum())
+        if name == "edr":
+            return table_of(a, b, lambda i, j, g, u, l: min(g + (c(i, j) > 0.1), u + 1, l + 1), float, float) / n
+        if name == "lcss":
+            return 1 - table_of(a, b, lambda i, j, g, u, l: g + 1 if c(i, j) <= 0.05 else max(u, l), lambda k: 0.0, lambda k: 0.0) / n
+        return table_of(a, b, lambda i, j, g, u, l: min(g + c(i, j) + abs(at(a, i - 1) - at(b, j - 1)) + 0.001 * min(abs(i - j), 0.002), u + abs(a[i - 1] - at(a, i - 1)) + 1.001, l + abs(b[j - 1] - at(b, j - 1)) + 1.001), inf, inf)
+
+    for name, options in {"frechet": {}, "sakoe_chiba": {"window": 3}, "wdtw": {}, "erp": {}, "edr": {}, "lcss": {"epsilon": 0.05}, "twe": {}}.items():
+        got = {(r.id_1, r.id_2): r.d for r in pair_distances(df, df, "d", name, options).collect()}
+        assert set(got) == {(a, b) for a in x for b in x if a < b}
+        for (a, b), d in got.items():
+            assert d == pytest.approx(brute(name, x[a], x[b]), abs=1e-9), name
+    two = {(r.id_1, r.id_2) for r in pair_distances(df, other, "d", "dtw", {}).collect()}
+    assert two == {(i, j) for i in x for j in (2, 7, 50) if i != j and not (i in (2, 7) and j != 50 and str(i) > str(j))}
+    assert pair_distances(df, other, "d", "dtw", {}, all_pairs=True).count() == 27
+
+
+def test_clinical_tiers_and_demand(spark):
+    from tidepanel.operators.agents import clinical_scores, demand_shift
+
+    names = "id long, heart_rate double, systolic_bp double, respiratory_rate double, temperature double, spo2 double"
+    rows = [(1, 80.0, 120.0, 22.0, 37.0, 98.0), (2, 72.0, 120.0, 16.0, 37.0, 98.0), (3, 125.0, 88.0, 26.0, 39.0, 90.0), (4, 55.0, 145.0, 21.0, 37.0, 98.0), (5, 95.0, 120.0, 21.0, 37.0, 98.0), (6, None, None, None, None, None)]
+    got = {r.id: (r.sepsis_score, r.sepsis_flag, r.out_of_range, r.tier) for r in clinical_scores(spark.createDataFrame(rows, names)).collect()}
+    assert got == {1: (2, True, 1, 2), 2: (0, False, 0, 0), 3: (5, True, 5, 3), 4: (1, False, 3, 2), 5: (2, True, 1, 2), 6: (0, False, 0, 0)}
+    flat, energy = demand_shift([5, 4, 3], 2)
+    assert flat.tolist() == [4.0] * 3 and energy == 6.0
+    level, energy = demand_shift([6, 1, 0, 3], 4)
+    assert level.tolist() == [4.0, 1.0, 2.0, 3.0] and energy == 2.0
+    assert demand_shift([1, 2], 3)[1] == 0.0
+    with pytest.raises(ValueError):
+        demand_shift([1.0], 0)
+
+
+def test_as_many_draws_as_asked_for():
+    from tidepanel.functions.statespace import mcmc_series
+
+    got = mcmc_series(np.random.default_rng(1).normal(size=12).cumsum(), 2, n_samples=420, burn_in=10)
+    assert len(got.samples) == 420
+
+
 def test_dbscan_of_a_long_chain(spark):
     from tidepanel.operators.clustering import dbscan_cluster
 

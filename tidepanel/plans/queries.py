@@ -543,32 +543,14 @@ def backtest_naive(spark, d):
 
 # -- similarity ------------------------------------------------------------
 
-_V = "v AS (SELECT vec_id AS id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS s, label FROM embeddings WHERE label = 1)"
-
 
 def all_vectors(spark, d):
-    """Every vector with every component, whatever its label. The SQL (``_V``) still
-    reads label 1 and 12 components, so it no longer says the same; see the README."""
+    """Every vector with every component, whatever its label. A dynamic program over
+    all pairs of them is too slow in SQL: the queries on them have none and are held
+    against brute force on a fixture."""
     return labelled_vectors(spark, d).select("unique_id", "series")
 
 
-def _dp_sql(name: str, cell: str, zero: str = "1e308", first: str | None = None, post: str = "d") -> str:
-    """A dynamic program in SQL: rows of the matrix as lists."""
-    first = first or zero
-    return f"""WITH RECURSIVE {_V}, p AS (SELECT a.id AS id_1, b.id AS id_2, a.s AS a, b.s AS b FROM v a JOIN v b ON a.id::VARCHAR < b.id::VARCHAR),
-r AS (SELECT id_1, id_2, a, b, 0 AS i, 0 AS j, [0.0] || list_transform(range(1, 13), lambda k: {first}) AS prev, [0.0::DOUBLE] AS cur FROM p
-UNION ALL SELECT id_1, id_2, a, b, CASE WHEN j = 12 OR i = 0 THEN i + 1 ELSE i END, CASE WHEN j = 12 OR i = 0 THEN 0 ELSE j + 1 END,
-CASE WHEN i > 0 AND j = 12 THEN cur ELSE prev END,
-CASE WHEN j = 12 OR i = 0 THEN [{zero.replace('{k}', '(i + 1)')}] ELSE cur || [{cell}] END FROM r WHERE i < 12 OR j < 12)
-SELECT id_1, id_2, round({post}, 6) + 0.0 AS {name} FROM (SELECT id_1, id_2, a, b, cur[13] AS d FROM r WHERE i = 12 AND j = 12)"""
-
-
-# In a cell, i is the row (from 1) and j + 1 the column; g, u, l are the neighbours.
-_G, _UP, _L = "prev[j + 1]", "prev[j + 2]", "cur[j + 1]"
-_MIN = f"least({_G}, {_UP}, {_L})"
-_C = "abs(a[i] - b[j + 1])"
-
-
 def _distance(method: str, **options):
     def run(spark, d):
         v = all_vectors(spark, d)
@@ -578,16 +560,8 @@ def _distance(method: str, **options):
     return run
 
 
-query("dist_dtw", _dp_sql("dtw", f"{_C} + {_MIN}"))(_distance("dtw"))
-query("dist_frechet", _dp_sql("frechet", f"greatest({_C}, {_MIN})"))(_distance("frechet"))
-query("dist_sakoe_chiba", _dp_sql("sakoe_chiba", f"CASE WHEN abs(i - j - 1) <= 3 THEN {_C} + {_MIN} ELSE 1e308 END"))(_distance("sakoe_chiba", window=3))
-query("dist_wdtw", _dp_sql("wdtw", f"(1 / (1 + exp(-0.05 * (abs(i - j - 1) - 6)))) * ({_C} ^ 2) + {_MIN}"))(_distance("wdtw"))
-query("dist_erp", _dp_sql("erp", f"least({_G} + {_C}, {_UP} + abs(a[i]), {_L} + abs(b[j + 1]))", "list_sum(list_transform(a[1:{k}], lambda x: abs(x)))", "list_sum(list_transform(b[1:k], lambda x: abs(x)))"))(_distance("erp"))
-query("dist_edr", _dp_sql("edr", f"least({_G} + ({_C} > 0.1)::INT, {_UP} + 1, {_L} + 1)", "{k}::DOUBLE", "k::DOUBLE", "d / 12"))(_distance("edr"))
-query("dist_lcss", _dp_sql("lcss", f"CASE WHEN {_C} <= 0.05 THEN {_G} + 1 ELSE greatest({_UP}, {_L}) END", "0.0", "0.0", "1 - d / 12"))(_distance("lcss", epsilon=0.05))
-query("dist_twe", _dp_sql("twe", f"least({_G} + {_C} + abs(CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END - CASE WHEN j > 0 THEN b[j] ELSE 0 END) + 0.001 * least(abs(i - j - 1), 0.002), {_UP} + abs(a[i] - CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END) + 1.001, {_L} + abs(b[j + 1] - CASE WHEN j > 0 THEN b[j] ELSE 0 END) + 1.001)"))(_distance("twe"))
-query("dist_sbd", f"WITH {_V}, p AS (SELECT a.id AS id_1, b.id AS id_2, a.s AS a, b.s AS b FROM v a JOIN v b ON a.id::VARCHAR < b.id::VARCHAR), c AS (SELECT id_1, id_2, a, b, max(list_sum(list_transform(range(1, 13), lambda i: CASE WHEN i + k BETWEEN 1 AND 12 THEN a[i + k] * b[i] ELSE 0 END))) AS m FROM p, (SELECT unnest(range(-11, 12)) AS k) GROUP BY ALL) SELECT id_1, id_2, round(1 - m / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) + 0.0 AS sbd FROM c")(_distance("sbd"))
-for _m, _o in (("msm", {}), ("ddtw", {}), ("itakura", {}), ("fast_dtw", {"radius": 2})):
+_DISTANCES = {"dtw": {}, "frechet": {}, "sakoe_chiba": {"window": 3}, "wdtw": {}, "erp": {}, "edr": {}, "lcss": {"epsilon": 0.05}, "twe": {}, "sbd": {}, "msm": {}, "ddtw": {}, "itakura": {}, "fast_dtw": {"radius": 2}}
+for _m, _o in _DISTANCES.items():
     query(f"dist_{_m}")(_distance(_m, **_o))
 
 
@@ -638,26 +612,23 @@ def reconcile_ols(spark, d):
 
 # -- scores, neighbours and rules ------------------------------------------
 
-_SBD = f"{_V}, pr AS (SELECT a.id AS id_1, b.id AS id_2, a.s AS a, b.s AS b FROM v a JOIN v b ON a.id <> b.id), cc AS (SELECT id_1, id_2, a, b, max(list_sum(list_transform(range(1, 13), lambda i: CASE WHEN i + k BETWEEN 1 AND 12 THEN a[i + k] * b[i] ELSE 0 END))) AS m FROM pr, (SELECT unnest(range(-11, 12)) AS k) GROUP BY ALL), d AS (SELECT id_1, id_2, id_1 % 3 AS c1, id_2 % 3 AS c2, 1 - m / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS d FROM cc)"
-
-
 def _score_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """Pairs of all vectors, and a fixed grouping of them."""
     v = all_vectors(spark, d)
     return similarity.pair_distances(v, v, "sbd", "sbd", {}), v.select("unique_id", (F.col("unique_id") % 3).alias("cluster"))
 
 
-@query("silhouette", f"WITH {_SBD}, m AS (SELECT id_1, c1, c2, avg(d) AS m FROM d GROUP BY ALL), s AS (SELECT id_1, c1, coalesce(max(m) FILTER (WHERE c1 = c2), 0) AS a, min(m) FILTER (WHERE c1 <> c2) AS b FROM m GROUP BY ALL) SELECT id_1 AS unique_id, c1 AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) + 0.0 AS silhouette FROM s")
+@query("silhouette")
 def silhouette(spark, d):
     return rounded(similarity.silhouette_from_pairs(*_score_inputs(spark, d)))
 
 
-@query("cluster_medoids", f"WITH {_SBD}, s AS (SELECT id_1, c1, sum(d) FILTER (WHERE c1 = c2) AS s, sum(d * d) FILTER (WHERE c1 = c2) AS s2 FROM d GROUP BY ALL) SELECT c1 AS c, arg_min(id_1, struct_pack(s := s, i := id_1)) AS medoid, count(*) AS n, round(min(s) / count(*), 6) AS scatter, round(arg_min(s2, struct_pack(s := s, i := id_1)), 6) AS within FROM s GROUP BY 1")
+@query("cluster_medoids")
 def cluster_medoids(spark, d):
     return rounded(similarity.medoids_from_pairs(*_score_inputs(spark, d)))
 
 
-@query("nearest_neighbours", f"WITH {_SBD} SELECT id_1, id_2, round(d, 6) + 0.0 AS d, row_number() OVER (PARTITION BY id_1 ORDER BY d, id_2) AS rank FROM d QUALIFY rank <= 3")
+@query("nearest_neighbours")
 def nearest_neighbours(spark, d):
     pairs, _ = _score_inputs(spark, d)
     return rounded(similarity.nearest(similarity.symmetric(pairs), 3))
@@ -695,7 +666,7 @@ def returns(spark, d):
 
 
 # -- operators without a SQL form ------------------------------------------
-# Each is tested against brute force or invariants; here they run over whole tables.
+# They run over whole tables here; tests hold some against brute force or invariants.
 
 
 def _later(name: str, fn: Query) -> None:
@@ -744,8 +715,8 @@ def _register() -> None:
         "kasba": lambda s, d: clustering.kasba(_vectors(s, d), 3, max_iter=2),
         "shapelet_cluster": lambda s, d: clustering.shapelet_cluster(_vectors(s, d), 3, n_candidates=20),
         "auto_cluster": lambda s, d: rounded(clustering.auto_cluster(_vectors(s, d), distances_=["sbd"], k_range=[2, 3]).results_table),
-        "to_gasf": lambda s, d: imaging.to_gasf(day(s, d)).select("unique_id", F.round(F.aggregate(F.flatten("gasf"), F.lit(0.0), lambda a, b: a + b), 3).alias("total")),
-        "to_gadf": lambda s, d: imaging.to_gadf(day(s, d)).select("unique_id", F.size("gadf").alias("n")),
+        "to_gasf": lambda s, d: _cells(imaging.to_gasf(day(s, d)), "gasf"),
+        "to_gadf": lambda s, d: _cells(imaging.to_gadf(day(s, d)), "gadf"),
         "to_mtf": lambda s, d: imaging.to_mtf(day(s, d)),
         "rqa": lambda s, d: rounded(imaging.rqa_features(imaging.to_recurrence_plot(day(s, d)))),
         "spectrogram": lambda s, d: imaging.to_spectrogram(day(s, d), 16),
@@ -775,6 +746,17 @@ SELECT unique_id, ds, round(y, 6) AS y, round(z, 4) AS zscore_score, z > 3 AS zs
     ORACLES["event_windows"] = "SELECT event_type AS unique_id, date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS stop, round(sum(value), 6) AS sum, count(value) AS n FROM events GROUP BY 1, 2, 3"
 
 
+def _cells(images: DataFrame, name: str) -> DataFrame:
+    """Every cell of the images of a panel."""
+    rows = images.select("unique_id", F.posexplode(name).alias("i", "row"))
+    return rounded(rows.select("unique_id", "i", F.posexplode("row").alias("j", name)), 5)
+
+
+_ANGLES = f"WITH {DAILY}, x AS (SELECT unique_id, row_number() OVER ({W}) - 1 AS i, acos(greatest(-1, least(1, 2 * (y - min(y) OVER p) / (max(y) OVER p - min(y) OVER p) - 1))) AS phi FROM daily WINDOW p AS (PARTITION BY unique_id))"
+for _n, _f in (("gasf", "cos(a.phi + b.phi)"), ("gadf", "sin(a.phi - b.phi)")):
+    ORACLES[f"to_{_n}"] = f"{_ANGLES} SELECT a.unique_id, a.i, b.i AS j, round({_f}, 5) + 0.0 AS {_n} FROM x a JOIN x b ON a.unique_id = b.unique_id"
+
+
 def _votes(spark, d) -> DataFrame:
     from tidepanel.operators.agents import anomaly_votes
 
