@@ -94,38 +94,60 @@ def dtw_itakura(a, na, b, nb, max_slope: float = 2.0):
     return _empty(np.where(np.isinf(v := sweep(a, na, b, nb, step)), FAR, v), na, nb, np.inf)
 
 
-def _window_dtw(x: np.ndarray, y: np.ndarray, cells: dict[int, tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
-    cost: dict[tuple[int, int], float] = {}
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    for i in sorted(cells):
-        lo, hi = cells[i]
-        for j in range(lo, hi + 1):
-            best, came = (0.0, (-1, -1)) if i == j == 0 else min(((cost.get(p, np.inf), p) for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1))), key=lambda q: q[0])
-            cost[i, j], back[i, j] = best + abs(x[i] - y[j]), came
-    at, path = (len(x) - 1, len(y) - 1), []
-    while at[0] >= 0:
-        path.append(at)
-        at = back[at]
-    return cost[len(x) - 1, len(y) - 1], path[::-1]
-
-
-def _fast(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[float, list[tuple[int, int]]]:
-    if len(x) <= radius + 2 or len(y) <= radius + 2:
-        return _window_dtw(x, y, {i: (0, len(y) - 1) for i in range(len(x))})
-    half = lambda v: np.concatenate([(v[: len(v) // 2 * 2].reshape(-1, 2)).mean(axis=1), v[len(v) // 2 * 2 :]])
-    _, path = _fast(half(x), half(y), radius)
-    cells: dict[int, tuple[int, int]] = {}
-    for p, q in path:
-        for i in range(2 * (p - radius), 2 * (p + radius) + 2):
-            if 0 <= i < len(x):
-                lo, hi = max(0, 2 * (q - radius)), min(len(y) - 1, 2 * (q + radius) + 1)
-                old = cells.get(i, (lo, hi))
-                cells[i] = (min(lo, old[0]), max(hi, old[1]))
-    return _window_dtw(x, y, cells)
-
-
-def fast_dtw(a, na, b, nb, radius: int = 5):
-    return np.array([_fast(x[:n], y[:m], radius)[0] if n and m else np.inf for x, n, y, m in zip(a, na, b, nb)])
+def _banded(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs and steps (0 diagonal, 1 along x, 2 along y) of pairs of one shape, for
+    the cells of row i from low[:, i] to high[:, i]; only steps are kept whole."""
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    way = np.zeros((pairs, n, m), np.int8)
+    before, last = np.full((pairs, n + 1), np.inf), np.full((pairs, n + 1), np.inf)
+    before[:, 0] = 0.0
+    left, right = low.min(0), high.max(0)
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        i = i[(left[i - 1] < d - i) & (d - i - 1 <= right[i - 1])]
+        now = np.full((pairs, n + 1), np.inf)
+        if len(i):
+            j = d - i
+            came = np.stack([before[:, i - 1], last[:, i - 1], last[:, i]])
+            step = came.argmin(0)
+            inside = (low[:, i - 1] < j) & (j - 1 <= high[:, i - 1])
+            now[:, i] = np.where(inside, np.abs(x[:, i - 1] - y[:, j - 1]) + came.min(0), np.inf)
+            way[:, i - 1, j - 1] = step
+        before, last = last, now
+    return last[:, n], way
+
+
+def _fast(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """FastDTW of pairs of one shape: the path at half the resolution, widened by
+    ``radius``, bounds the cells."""
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    if n <= radius + 2 or m <= radius + 2:
+        return _banded(x, y, np.zeros((pairs, n), int), np.full((pairs, n), m - 1))
+    half = lambda v: np.concatenate([v[:, : v.shape[1] // 2 * 2].reshape(len(v), -1, 2).mean(axis=2), v[:, v.shape[1] // 2 * 2 :]], axis=1)
+    _, way = _fast(half(x), half(y), radius)
+    low, high = np.full((pairs, n), m), np.full((pairs, n), -1)
+    r = np.arange(pairs)
+    p, q = np.full(pairs, way.shape[1] - 1), np.full(pairs, way.shape[2] - 1)
+    while len(r):
+        for i in range(-2 * radius, 2 * radius + 2):
+            ok = (0 <= 2 * p + i) & (2 * p + i < n)
+            at = r[ok], (2 * p + i)[ok]
+            low[at] = np.minimum(low[at], np.maximum(0, 2 * (q[ok] - radius)))
+            high[at] = np.maximum(high[at], np.minimum(m - 1, 2 * (q[ok] + radius) + 1))
+        step = way[r, p, q]
+        p, q = p - (step < 2), q - (step != 1)
+        on = (p >= 0) & (q >= 0)
+        r, p, q = r[on], p[on], q[on]
+    return _banded(x, y, low, high)
+
+
+def fast_dtw(a, na, b, nb, radius: int = 5, batch_cells: int = 16_000_000):
+    out = np.full(len(a), np.inf)
+    for n, m in {(int(n), int(m)) for n, m in zip(na, nb) if n and m}:
+        same = np.flatnonzero((na == n) & (nb == m))
+        for take in np.array_split(same, -(-len(same) * n * m // batch_cells)):
+            out[take] = _fast(a[take, :n], b[take, :m], radius)[0]
+    return out
 
 
 def derivative(v: np.ndarray) -> np.ndarray:

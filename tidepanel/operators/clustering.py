@@ -20,7 +20,7 @@ from tidepanel.functions.elastic import distances
 from tidepanel.functions.stats import kmeans, ridge
 from tidepanel.operators import similarity as S
 from tidepanel.operators.convolution import MiniRocket, Rocket
-from tidepanel.panel import ID, TIME, Y, as_series, ensure, type_of
+from tidepanel.panel import ID, TIME, Y, as_series, ensure, settled, type_of
 
 MATRIX_SERIES = 5_000
 
@@ -110,11 +110,11 @@ def _components(core: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         out = out if large else out.unionByName(low.select("u", F.col("m").alias("v")))
         return out.filter("u <> v").distinct()
 
-    pairs = edges.filter("id_1 > id_2").select(F.col("id_1").alias("u"), F.col("id_2").alias("v")).localCheckpoint()
+    pairs = settled(edges.filter("id_1 > id_2").select(F.col("id_1").alias("u"), F.col("id_2").alias("v")))
     sums = lambda p: tuple(p.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
     before = sums(pairs)
     for _ in range(rounds):
-        pairs = stars(stars(pairs, True), False).localCheckpoint()
+        pairs = settled(stars(stars(pairs, True), False))
         now = sums(pairs)
         if now == before:
             break
@@ -147,11 +147,13 @@ def _sample(df: DataFrame, target_col: str, id_col: str, time_col: str, most: in
 
 
 def assign_to_centres(df: DataFrame, centres: list[np.ndarray], fn, target_col: str, id_col: str, time_col: str) -> DataFrame:
-    """The nearest centre of every series, in Arrow batches; ``fn(series, centre)``."""
+    """The nearest centre of every series; ``fn(list of series, centre)`` gives the
+    distances of an Arrow batch."""
 
     @F.pandas_udf("long")
     def near(v: pd.Series) -> pd.Series:
-        return pd.Series([int(np.argmin([fn(np.asarray(s, float), c) for c in centres])) for s in v], dtype="int64")
+        batch = [np.asarray(s, float) for s in v]
+        return pd.Series(np.argmin([fn(batch, c) for c in centres], axis=0) if batch else [], dtype="int64")
 
     return gathered(df, target_col, id_col, time_col).select(id_col, near("series").alias("cluster"))
 
@@ -171,8 +173,8 @@ class KShape:
         _, self.centroids_ = C.kshape(x, self.n_clusters, self.max_iter)
         c, n = self.centroids_, width
 
-        def shape(s, m):
-            return C.sbd_matrix(C.znorm(np.pad(s[:n], (0, n - len(s[:n]))))[None], m[None])[0, 0]
+        def shape(batch, m):
+            return C.sbd_matrix(np.array([C.znorm(np.pad(s[:n], (0, n - len(s[:n])))) for s in batch]), m[None])[:, 0]
 
         self.labels_ = assign_to_centres(df, list(c), shape, target_col, id_col, time_col)
         return self
@@ -214,7 +216,7 @@ class KASBAClusterer:
 
     def predict(self, df: DataFrame) -> DataFrame:
         c = self.args["c"]
-        return assign_to_centres(df, self.centroids_, lambda s, m: distances("msm", [s], [m], c=c)[0], *self.columns)
+        return assign_to_centres(df, self.centroids_, lambda batch, m: distances("msm", batch, [m] * len(batch), c=c), *self.columns)
 
 
 def kasba(df: DataFrame, k: int, *, c: float = 1.0, max_iter: int = 10, seed: int = 42, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> DataFrame:
@@ -355,8 +357,8 @@ class KShapeClassifier:
     def predict(self, df: DataFrame) -> DataFrame:
         n, classes = self.width_, self.classes_
 
-        def shape(s, m):
-            return C.sbd_matrix(C.znorm(np.pad(s[:n], (0, n - len(s[:n]))))[None], m[None])[0, 0]
+        def shape(batch, m):
+            return C.sbd_matrix(np.array([C.znorm(np.pad(s[:n], (0, n - len(s[:n])))) for s in batch]), m[None])[:, 0]
 
         near = assign_to_centres(df, self.centroids_, shape, *self.columns)
         table = F.array(*[F.lit(c) for c in classes])

@@ -6,6 +6,7 @@ by its time column themselves, keep the type of the ids, and give a fixed schema
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -146,3 +147,15 @@ def ensure(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)
 
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder that the cluster names, so that a
+    lost executor costs no results. Only a local master may do without a named one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            ensure(context.master.startswith("local"), "set spark.checkpoint.dir to a folder that driver and executors share")
+            named = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
+        context.setCheckpointDir(named)
+    return df.checkpoint()
