@@ -181,11 +181,6 @@ for _m, _sql in _IMPUTE.items():
 query("impute_linear", f"WITH {USERS}, {_LINEAR} SELECT unique_id, ds, round(CASE WHEN y IS NOT NULL THEN y ELSE v0 + (v1 - v0) * (ds - i0) / (i1 - i0) END, 6) AS y FROM n")(_impute("linear"))
 
 
-@query("impute_seasonal")
-def impute_seasonal(spark, d):
-    return rounded(cleaning.impute(user_events(spark, d).drop("value"), method="seasonal", season_length=7, add_indicator=True))
-
-
 _U = "u AS (SELECT unique_id, ds, value AS y FROM users)"
 
 
@@ -376,11 +371,6 @@ def acf(spark, d):
     return rounded(metrics.acf(daily_events(spark, d), max_lags=7))
 
 
-@query("pacf")
-def pacf(spark, d):
-    return rounded(metrics.pacf(daily_events(spark, d), max_lags=7))
-
-
 @query("ljung_box")
 def ljung_box(spark, d):
     return rounded(metrics.ljung_box(daily_events(spark, d), lags=[5, 10]))
@@ -456,11 +446,6 @@ def holt_winters_multiplicative(spark, d):
     return rounded(forecasting.holt_winters_forecast(daily_events(spark, d), 14, 7, seasonal="multiplicative"), 5)
 
 
-@query("fft_forecast")
-def fft_forecast(spark, d):
-    return rounded(forecasting.fft_forecast(daily_events(spark, d), 14), 4)
-
-
 @query("auto_arima")
 def auto_arima(spark, d):
     return rounded(forecasting.auto_arima(daily_events(spark, d), 14), 4)
@@ -604,11 +589,6 @@ def reconcile_middle_out(spark, d):
     return rounded(reconcile.reconcile(_incoherent(spark, d), h, "middle_out", middle_level=sorted(c for c, p in h.items() if p == "Total")), 0)
 
 
-@query("reconcile_ols")
-def reconcile_ols(spark, d):
-    return rounded(reconcile.reconcile(_incoherent(spark, d), _hierarchy(spark, d), "ols"), 2)
-
-
 
 # -- scores, neighbours and rules ------------------------------------------
 
@@ -717,12 +697,6 @@ def _register() -> None:
         "auto_cluster": lambda s, d: rounded(clustering.auto_cluster(_vectors(s, d), distances_=["sbd"], k_range=[2, 3]).results_table),
         "to_gasf": lambda s, d: _cells(imaging.to_gasf(day(s, d)), "gasf"),
         "to_gadf": lambda s, d: _cells(imaging.to_gadf(day(s, d)), "gadf"),
-        "to_mtf": lambda s, d: imaging.to_mtf(day(s, d)),
-        "rqa": lambda s, d: rounded(imaging.rqa_features(imaging.to_recurrence_plot(day(s, d)))),
-        "spectrogram": lambda s, d: imaging.to_spectrogram(day(s, d), 16),
-        "scalogram": lambda s, d: imaging.to_scalogram(day(s, d), n_scales=8),
-        "signature_features": lambda s, d: rounded(imaging.signature_features(day(s, d))),
-        "kalman_filter": lambda s, d: bayes.kalman_filter(day(s, d), [[1.0]], [[1.0]], [[1.0]], [[1.0]]),
         "bsts_forecast": lambda s, d: rounded(bayes.bsts_forecast(day(s, d), 7, seasonal=7), 3),
         "particle_filter": lambda s, d: rounded(bayes.particle_filter(day(s, d), n_particles=200), 3),
         "gp_forecast": lambda s, d: rounded(bayes.gp_forecast(day(s, d), 3), 3),
