@@ -200,7 +200,9 @@ class StackingForecaster:
             gram = rows.agg(*[F.sum(a * b) for a in terms for b in terms], *[F.sum(a * F.col(self.target_col)) for a in terms]).first()
             n = len(terms)
             g = np.array(gram[: n * n], float).reshape(n, n)
-            self.beta_ = np.linalg.solve(g + 1e-9 * np.eye(n) * np.trace(g) / n, np.array(gram[n * n :], float))
+            # Columns at one scale, so that a small rank cut-off treats them alike.
+            scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+            self.beta_ = scale * np.linalg.lstsq(g * np.outer(scale, scale), scale * np.array(gram[n * n :], float), rcond=1e-13)[0]
         else:
             pdf = rows.select(*x, self.target_col).toPandas()
             self.meta_learner.fit(pdf[x].to_numpy(float), pdf[self.target_col].to_numpy(float))

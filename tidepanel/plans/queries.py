@@ -677,8 +677,8 @@ def _register() -> None:
         "enbpi_forecast": lambda s, d: rounded(ml.EnbPI(None, 10, [1, 7]).fit(day(s, d)).predict(day(s, d), 3), 3),
         "garch": lambda s, d: rounded(changepoint.garch_forecast(changepoint.garch_fit(day(s, d), max_iter=40), 5), 2),
         "granger_causality": lambda s, d: rounded(changepoint.granger_causality(_wide(s, d), "click", "view", 3) if {"click", "view"} <= set(_wide(s, d).columns) else changepoint.granger_causality(_wide(s, d), *_wide(s, d).columns[1:3], 3)),
-        "var_forecast": lambda s, d: rounded(changepoint.var_forecast(changepoint.var_fit(_wide(s, d), _wide(s, d).columns[1:3], 2), 5, s), 3),
-        "bayesian_var": lambda s, d: rounded(bayes.bayesian_var(_wide(s, d), _wide(s, d).columns[1:3], 5, n_samples=200), 2),
+        "var_forecast": lambda s, d: rounded(changepoint.var_forecast(changepoint.var_fit(_wide(s, d), _wide(s, d).columns[1:], 2), 5, s), 3),
+        "bayesian_var": lambda s, d: rounded(bayes.bayesian_var(_wide(s, d), _wide(s, d).columns[1:], 5, n_samples=200), 2),
         "pelt": lambda s, d: changepoint.pelt(day(s, d), penalty=1e6),
         "bocpd": lambda s, d: rounded(changepoint.bocpd(day(s, d))),
         "regime_detect": lambda s, d: rounded(changepoint.regime_detect(day(s, d)), 3),
