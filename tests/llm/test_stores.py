@@ -200,6 +200,22 @@ def test_scratch_tables_go(spark):
     assert set(os.listdir(folder)) == before
 
 
+def test_scopes_inside_scopes(spark):
+    from tidepanel.llm.shared import _scopes, forget, scratch_root, scratch_scope, stored
+
+    folder = scratch_root(spark).removeprefix("file:")
+    docs, before = frame(spark, corpus(groups=2)), set(os.listdir(folder))
+    outer, inner = [], []
+    with scratch_scope(spark, outer):
+        with scratch_scope(spark, inner):
+            stored(docs, "lost")
+            inner.append(stored(docs, "within"))
+        outer.append(stored(inner[0], "without"))
+    assert not _scopes and {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"without"}
+    forget(*outer)
+    assert set(os.listdir(folder)) == before
+
+
 def test_ring_moves_little():
     from tidepanel.llm.ring_shards import place_cells
 

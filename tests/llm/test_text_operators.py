@@ -456,6 +456,23 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == [*columns, "shard"] and docs.count() == before.count()
 
 
+def test_pipeline_run(spark, tmp_path):
+    """The query gives the rows of its stages, each written and read again."""
+    import corpus_pipeline
+
+    rows = corpus(groups=30)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, int(r[0] % 9 == 0)) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"p{j}" for j in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == docs.columns and got.count() > 0
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in docs.collect())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -82,7 +82,8 @@ def scratch_scope(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(made)
+        # By identity: scopes that made the same paths so far are equal as sets.
+        del _scopes[next(i for i, scope in enumerate(_scopes) if scope is made)]
         for path in made - {_places.get(t) for t in keep}:
             remove_path(spark, path)
 
