@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -456,6 +457,38 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == [*columns, "shard"] and docs.count() == before.count()
 
 
+def test_jaccard_chains_are_split(spark, monkeypatch):
+    """Passages of few documents, which a sample of a large corpus misses, chain all
+    documents; their number of comparisons does not grow with the square."""
+    from tidepanel.llm import jaccard_join
+
+    rng = random.Random(8)
+    passages = [[f"p{i}_{j}" for j in range(25)] for i in range(60)]
+    rows = []
+    for i in range(500):
+        own = [f"o{i}_{j}" for j in range(60)]
+        words = sum(rng.sample(passages, 3), []) + own
+        rows.append((len(rows), " ".join(words), "en", "a", 1))
+        if i % 50 == 0:
+            rows.append((len(rows), " ".join([*words[:-1], "changed"]), "en", "a", 1))
+    frequent, store, dealt = jaccard_join.frequent_shingles, jaccard_join.stored, []
+
+    def missed(docs, k, n_docs, *more):
+        return frequent(docs, k, n_docs, *more) if more else np.zeros(0, np.uint64)
+
+    def counted(df, label):
+        out = store(df, label)
+        dealt.extend([out.count()] if label == "jaccard-tasks" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", missed)
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    found = jaccard_join.jaccard_components(frame(spark, rows), 4, 85, block_docs=40, block_shingles=100_000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == jaccard_brute(rows, 4, 85) and len({c for _, c in got.values()}) == 500
+    assert sum(dealt) <= 2 * len(rows), dealt
+
+
 def test_pipeline_run(spark, tmp_path):
     """The query gives the rows of its stages, each written and read again."""
     import corpus_pipeline

@@ -24,6 +24,9 @@ shingles lie in one of them only. The join has three steps.
    binary search for each candidate (DivideSkip); candidates that reach the
    overlap are linked. Documents that are in one component already are not
    compared again, so a group of near copies costs few queries, not all pairs.
+   Before, documents of blocks too large for one task are put into blocks again,
+   with the shingles frequent among them left out, so chains of unlinked documents
+   break up; what stays large is cut into chunks.
 3. Equal sets were collapsed to their smallest id before; they get its component.
 
 No pair is lost: the blocks contain all linked pairs whatever the data, and the
@@ -461,6 +464,9 @@ def _search_blocks(k: int, percent: int):
 def _searched(docs: DataFrame, places: DataFrame, k: int, percent: int, parts: int, broadcast_rows: int) -> DataFrame:
     """The links found in each task; ``places``: class_id, task."""
     places = places.select("class_id", "task")
+    ids = places.select("class_id").distinct()
+    if places.count() > broadcast_rows >= ids.count():  # then only their texts are shuffled
+        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("class_id"), "left_semi")
     texts = docs.join(_sent(places, broadcast_rows), F.col("doc_id") == F.col("class_id")).select("task", "doc_id", "text")
     return stored(texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_search_blocks(k, percent), "node long, root long"), "jaccard-links")
 
@@ -501,6 +507,43 @@ def _outside_largest(placed: DataFrame, links: DataFrame, block_docs: int, block
     return stored(tasks.select("class_id", F.xxhash64("block", "side", "i", "j").alias("task")), "jaccard-tasks")
 
 
+def _described(docs: DataFrame, k: int, percent: int, parts: int, bits: int, frequent: np.ndarray) -> DataFrame:
+    """Kind 0: doc_id, set size and hash; kind 1: ids that share a signature."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    packed = docs.mapInArrow(_describe(k, percent, bits, sent), _PACKED_DDL)
+    return stored(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL), "jaccard-sets")
+
+
+def _with_chunks(whole: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """``whole``: class_id, shingles, block. Sets that are alone in their block go."""
+    sizes = whole.groupBy("block").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).filter("sets > 1")
+    return whole.join(sizes.select("block", _chunks(F.col("sets"), F.col("all_shingles"), block_docs, block_shingles).alias("chunks")), "block")
+
+
+def _finer(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int, bits: int, block_docs: int, block_shingles: int, broadcast_rows: int, most_rounds: int = 4) -> DataFrame:
+    """``whole`` with large blocks split. In a large corpus a shingle of few documents
+    is not in the sample of all, and such shingles chain documents that have no
+    link. So documents of blocks that would be cut are put into blocks again, with
+    shingles that are frequent among them alone left out; linked pairs share a
+    block for either choice. Blocks that stay large are cut."""
+    before = None
+    for _ in range(most_rounds):
+        sized = _with_chunks(whole, block_docs, block_shingles)
+        large = stored(sized.filter("chunks > 1").select("class_id", "shingles", "block"), "jaccard-large")
+        n, shingles = large.agg(F.count("*"), F.sum("shingles")).first()
+        if not n or (before and 4 * n > 3 * before):
+            break
+        before = n
+        texts = docs.join(_sent(large.select("class_id"), broadcast_rows), F.col("doc_id") == F.col("class_id"), "left_semi")
+        frequent = frequent_shingles(texts, k, n, int(min(20_000, n, max(1, n * 10_000_000 // shingles))))
+        found = _described(texts, k, percent, parts, bits, frequent)
+        blocks = components(found.filter("kind = 1").select("a", "b"), "jaccard-blocks")
+        blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
+        split = large.join(blocks, F.col("class_id") == F.col("node")).select("class_id", "shingles", F.xxhash64("block", "root").alias("block"))
+        whole = stored(sized.filter("chunks = 1").select("class_id", "shingles", "block").unionByName(split), "jaccard-placed")
+    return whole
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, class_id (the smallest id with the
     same set) and component_id (the smallest id that links lead to)."""
@@ -510,10 +553,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_docs = docs.count()
     bits = max(LEAST_BUCKETS, n_docs // BUCKET_DOCS).bit_length() - 1
-    sent = spark.sparkContext.broadcast(frequent_shingles(docs, k, n_docs))
-    packed = docs.mapInArrow(_describe(k, percent, bits, sent), _PACKED_DDL)
-    found = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL)
-    found = stored(found, "jaccard-sets")
+    found = _described(docs, k, percent, parts, bits, frequent_shingles(docs, k, n_docs))
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"))
     key = ["n_shingles", "h1", "h2"]
     same = stored(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
@@ -521,8 +561,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
     placed = same.groupBy("class_id").agg(F.sum("n_shingles").alias("shingles")).join(blocks, F.col("class_id") == F.col("node"))
     whole = stored(placed.select("class_id", "shingles", F.col("root").alias("block")), "jaccard-placed")
-    sizes = whole.groupBy("block").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).filter("sets > 1")
-    placed = whole.join(sizes, "block").withColumn("chunks", _chunks(F.col("sets"), F.col("all_shingles"), block_docs, block_shingles))
+    whole = _finer(docs, whole, k, percent, parts, bits, block_docs, block_shingles, broadcast_rows)
+    placed = _with_chunks(whole, block_docs, block_shingles)
     # A hub goes to all chunks of its block, so hubs are an eighth of the rows more.
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "class_id"), 8 * F.col("chunks")) == 0)
     chunk = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(_piece(0, "chunks").cast("long")))
