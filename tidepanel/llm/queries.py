@@ -190,9 +190,8 @@ d AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_tr
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS code FROM c),
 e AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE code <> 0),
-o AS (SELECT *, left(role, 1) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
-  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM e),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ \t-\r]*$') THEN 3 ELSE 0 END AS fault,
+o AS (SELECT *, left(role, 1) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ \t-\r]*$') THEN 3 ELSE 0 END AS fault,
   lag(k) OVER (PARTITION BY conv_id ORDER BY i) AS pk FROM o),
 g AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late FROM f),
 n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
