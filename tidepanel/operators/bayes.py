@@ -118,12 +118,11 @@ class BayesianETS(_PerSeries):
 
 def bayesian_var(df: DataFrame, target_cols: list[str], horizon: int, p: int = 1, time_col: str = TIME, **options) -> DataFrame:
     """step and, per target, mean, lower and upper."""
-    from tidepanel.operators.changepoint import _lagged, _moments
+    from tidepanel.operators.changepoint import _lagged, _lags, _moments, last_rows
 
-    rows = _lagged(df, target_cols, p, time_col)
-    xx, xy, yy, n = _moments(rows, [c for c in rows.columns if c.startswith("__")], target_cols)
-    last = df.orderBy(F.desc(time_col)).limit(p).select(time_col, *target_cols).toPandas().sort_values(time_col)
-    got = BayesianVAR(target_cols, p, **options).fit_moments(xx, xy, yy, n, last[target_cols].to_numpy(float)).predict(horizon)
+    rows = _lagged(df, target_cols, p, time_col).na.drop()
+    xx, xy, yy, n = _moments(rows, _lags(target_cols, p), target_cols)
+    got = BayesianVAR(target_cols, p, **options).fit_moments(xx, xy, yy, n, last_rows(df, target_cols, p, time_col)).predict(horizon)
     out = [(k + 1, *[float(got[part][k, j]) for j in range(len(target_cols)) for part in ("mean", "lower", "upper")]) for k in range(horizon)]
     return df.sparkSession.createDataFrame(out, "step long, " + ", ".join(f"`{c}` double, `{c}_lower` double, `{c}_upper` double" for c in target_cols))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.stats import f_sf, logsumexp, nelder_mead, student_t_cdf, student_t_logpdf
+from tidepanel.operators.rows import lagged
 from tidepanel.panel import ID, TIME, Y, ensure, map_series, type_of
 
 
@@ -190,13 +191,15 @@ class VARResult:
     last_values: np.ndarray
 
 
-def _lagged(df: DataFrame, target_cols: list[str], p: int, time_col: str) -> DataFrame:
-    """A wide frame is one series: its rows are ordered in one window."""
-    from pyspark.sql import Window
+def _lagged(df: DataFrame, target_cols: list[str], p: int, time_col: str, chunk: int | None = None) -> DataFrame:
+    """A wide frame is one series: its rows are numbered by ranges of the time (rows
+    of one time by their values) and looked back upon in chunks with halo rows."""
+    rows = df.select(time_col, *[F.col(c).cast("double").alias(c) for c in target_cols])
+    return lagged(rows, target_cols, p, [time_col, *target_cols], chunk)
 
-    w = Window.orderBy(time_col)
-    lags = [F.lag(F.col(c).cast("double"), k).over(w).alias(f"__{c}_{k}") for k in range(1, p + 1) for c in target_cols]
-    return df.select(time_col, *[F.col(c).cast("double").alias(c) for c in target_cols], *lags).na.drop()
+
+def _lags(target_cols: list[str], p: int) -> list[str]:
+    return [f"__{c}_{k}" for k in range(1, p + 1) for c in target_cols]
 
 
 def _moments(rows: DataFrame, x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -210,14 +213,22 @@ def _moments(rows: DataFrame, x: list[str], y: list[str]) -> tuple[np.ndarray, n
     return v[: n * n].reshape(n, n), v[n * n : n * n + n * m].reshape(n, m), v[n * n + n * m :].reshape(m, m), int(got[-1])
 
 
-def var_fit(df: DataFrame, target_cols: list[str], p: int = 1, time_col: str = TIME) -> VARResult:
+def last_rows(df: DataFrame, target_cols: list[str], p: int, time_col: str) -> np.ndarray:
+    """The values of the last p rows in the order of ``_lagged``."""
+    order = [F.col(c).desc() for c in (time_col, *target_cols)]
+    last = df.select(time_col, *[F.col(c).cast("double").alias(c) for c in target_cols]).orderBy(*order).limit(p).collect()
+    return np.array([[np.nan if r[c] is None else r[c] for c in target_cols] for r in reversed(last)], float)
+
+
+def var_fit(df: DataFrame, target_cols: list[str], p: int = 1, time_col: str = TIME, chunk: int | None = None) -> VARResult:
+    """Least squares from moments that Spark sums over all rows; a row counts when
+    its time, its targets and all its lags are there."""
     ensure(p > 0 and len(target_cols) > 0, "p and target_cols are needed")
-    rows = _lagged(df, target_cols, p, time_col)
-    xx, xy, yy, n = _moments(rows, [c for c in rows.columns if c.startswith("__")], target_cols)
+    rows = _lagged(df, target_cols, p, time_col, chunk).na.drop()
+    xx, xy, yy, n = _moments(rows, _lags(target_cols, p), target_cols)
     ensure(n > 0, "too few rows")
     b = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    last = df.orderBy(F.desc(time_col)).limit(p).select(time_col, *target_cols).toPandas().sort_values(time_col)
-    return VARResult(b.T, target_cols, p, (yy - b.T @ xy) / max(n - len(xx), 1), last[target_cols].to_numpy(float))
+    return VARResult(b.T, target_cols, p, (yy - b.T @ xy) / max(n - len(xx), 1), last_rows(df, target_cols, p, time_col))
 
 
 def var_forecast(model: VARResult, horizon: int, spark, time_col: str = TIME) -> DataFrame:
@@ -230,17 +241,19 @@ def var_forecast(model: VARResult, horizon: int, spark, time_col: str = TIME) ->
     return spark.createDataFrame(rows, f"`{time_col}` long, " + ", ".join(f"`{c}` double" for c in model.target_cols))
 
 
-def granger_causality(df: DataFrame, cause_col: str, effect_col: str, max_lag: int = 5, time_col: str = TIME) -> DataFrame:
-    """lag, f_statistic, p_value of the F test that the cause's lags help."""
+def granger_causality(df: DataFrame, cause_col: str, effect_col: str, max_lag: int = 5, time_col: str = TIME, chunk: int | None = None) -> DataFrame:
+    """lag, f_statistic, p_value of the F test that the cause's lags help. Rows are
+    numbered once and lagged for all tests."""
     out = []
+    every = _lagged(df, [effect_col, cause_col], max_lag, time_col, chunk)
     for lag in range(1, max_lag + 1):
-        rows = _lagged(df, [effect_col, cause_col], lag, time_col)
-        own = [f"__{effect_col}_{k}" for k in range(1, lag + 1)]
+        rows = every.na.drop(subset=[time_col, effect_col, cause_col, *_lags([effect_col, cause_col], lag)])
+        own, causes = _lags([effect_col], lag), _lags([cause_col], lag)
+        xx, xy, yy, n = _moments(rows, own + causes, [effect_col])
         sums = []
-        for x in (own, own + [f"__{cause_col}_{k}" for k in range(1, lag + 1)]):
-            xx, xy, yy, n = _moments(rows, x, [effect_col])
-            b = np.linalg.lstsq(xx, xy, rcond=None)[0]
-            sums.append(float((yy - b.T @ xy)[0, 0]))
+        for use in ([*range(lag), 2 * lag], [*range(2 * lag + 1)]):
+            b = np.linalg.lstsq(xx[np.ix_(use, use)], xy[use], rcond=None)[0]
+            sums.append(float((yy - b.T @ xy[use])[0, 0]))
         free = n - 2 * lag - 1
         if free <= 0:
             break

@@ -166,12 +166,28 @@ def seasonal_decomposition(df: DataFrame, freq: int, method: str = "additive", i
     return out
 
 
-def seasonal_decompose_features(df: DataFrame, ts_freq: int, id_col: str = ID, time_col: str = TIME, target_col: str = Y) -> DataFrame:
-    """trend_strength, seasonal_strength and resid_var of every series."""
-    parts = seasonal_decomposition(df, ts_freq, "additive", id_col, target_col, time_col)
+def seasonal_decompose_features(df: DataFrame, ts_freq: int, seasonal_freqs: list[int] | None = None, mode: str = "simple", id_col: str = ID, time_col: str = TIME, target_col: str = Y) -> DataFrame:
+    """trend_strength, a strength for every season and resid_var of every series.
+
+    ``simple``: centred means over ``ts_freq`` rows; ``mstl``: local regression over
+    the periods ``seasonal_freqs``, in rows, whatever the calendar step. A strength is
+    1 - var(resid) / var(component + resid), unsigned; resid_var is the standard
+    deviation of the remainder over the mean of the target."""
+    missing = [c for c in (id_col, time_col, target_col) if c not in df.columns]
+    if missing:
+        raise KeyError(f"missing columns: {', '.join(missing)}")
+    ensure(isinstance(ts_freq, int) and ts_freq > 0, "ts_freq must be a positive integer")
+    ensure(mode in ("simple", "mstl"), f"unknown mode {mode!r}")
+    if mode == "mstl":
+        from tidepanel.operators.stl import check_periods, mstl_decomposition, season_names
+
+        periods = check_periods(seasonal_freqs)
+        parts, seasons = mstl_decomposition(df, periods, id_col, time_col, target_col), season_names(periods)
+    else:
+        parts, seasons = seasonal_decomposition(df, ts_freq, "additive", id_col, target_col, time_col), ["seasonal"]
     var = F.var_samp
-    strength = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs(ratio(var("resid"), var(F.col(c) + F.col("resid"))) - 1)))
-    return parts.groupBy(id_col).agg(strength("trend").alias("trend_strength"), strength("seasonal").alias("seasonal_strength"), ratio(F.stddev_samp("resid"), F.avg("resid")).alias("resid_var"))
+    strength = lambda c: F.abs(ratio(var("resid"), var(F.col(c) + F.col("resid"))) - 1)
+    return parts.groupBy(id_col).agg(strength("trend").alias("trend_strength"), *[strength(c).alias(f"{c}_strength") for c in seasons], ratio(F.stddev_samp("resid"), F.avg(target_col)).alias("resid_var"))
 
 
 def fourier_decomposition(df: DataFrame, ts_freq: int, freqs: tuple[str, ...] = ("week",), n_fourier_terms: int = 3, id_col: str = ID, time_col: str = TIME, target_col: str = Y, anomaly_threshold: float | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.stats import chi2_sf
+from tidepanel.operators.rows import numbered, permutation_keys, permuted
 from tidepanel.panel import ID, TIME, Y, as_series, by_time, ensure, map_series, ratio, whole
 
 
@@ -244,31 +245,68 @@ def ljung_box(df: DataFrame, target_col: str = Y, lags: list[int] | None = None,
     return map_series(df, kernel, "lag long, statistic double, p_value double", target_col, id_col, time_col)
 
 
-def permutation_importance(df: DataFrame, model, feature_cols: list[str], target_col: str = Y, metric_fn=None, n_repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Increase of the error after shuffling a feature: mean and std over repeats.
+#: Shuffled values that one pass sends to each row.
+_SLOTS = 64
 
-    The model predicts in Arrow batches on the executors; a feature is shuffled by
-    pairing rows with the rows of a seeded random order, which is one sort per
-    repeat, and errors are aggregated by Spark (mean absolute error, or
-    ``metric_fn(actual, predicted)`` as a Column)."""
-    metric_fn = metric_fn or (lambda y, p: F.avg(F.abs(y - p)))
 
-    @F.pandas_udf("double")
-    def predict(x: pd.Series) -> pd.Series:
-        return pd.Series(np.asarray(model.predict(np.stack(x.to_numpy())), float))
+def shuffled_values(df: DataFrame, feature_cols: list[str], n_repeats: int, seed: int, order: list[str] | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The numbered rows of ``df`` (from a checkpoint, ``__i``) and, per row, the
+    array ``__new`` of the values that the shuffles (feature, repeat) bring there.
+    Every row sends its values to the numbers that keyed permutations give it."""
+    rows, n = numbered(df, order)
+    slots = [(j, r) for j in range(len(feature_cols)) for r in range(n_repeats)]
+    parts = None
+    for low in range(0, len(slots), _SLOTS):
+        own = range(low, min(low + _SLOTS, len(slots)))
+        values = F.array(*[F.col(f"`{c}`").cast("double") for c in feature_cols])
+        sent = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(slots[s][0] + 1).alias("at"), F.lit(permutation_keys(seed, s)).cast("array<bigint>").alias("keys")) for s in own])
+        moved = rows.select("__i", values.alias("values"), F.explode(sent).alias("m"))
+        moved = moved.select(permuted(F.col("__i"), max(n, 1), F.col("m.keys")).alias("to"), "m.slot", F.element_at("values", F.col("m.at")).alias("value"))
+        got = F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"])
+        new = moved.groupBy(F.col("to").alias("__i")).agg(got.alias("__part"))
+        parts = new.withColumnRenamed("__part", "__new") if parts is None else parts.join(new, "__i").select("__i", F.concat("__new", "__part").alias("__new"))
+    return rows.join(parts, "__i"), slots
 
-    indexed = df.select(target_col, *feature_cols).withColumn("__i", F.monotonically_increasing_id())
-    value = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    base = indexed.select(metric_fn(F.col(target_col), predict(value)).alias("m")).first()["m"]
-    rows = []
-    for j, c in enumerate(feature_cols):
-        scores = []
-        for r in range(n_repeats):
-            # Row k of one hash order meets row k of another.
-            left = indexed.withColumn("__k", F.row_number().over(Window.orderBy(F.xxhash64("__i"))))
-            right = indexed.select(F.col(c).alias("__new"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed * 1000 + r * 37 + j), "__i"))).alias("__k"))
-            mixed = left.join(right, "__k").withColumn(c, F.col("__new"))
-            scores.append(mixed.select(metric_fn(F.col(target_col), predict(value)).alias("m")).first()["m"] - base)
-        rows.append((c, float(np.mean(scores)), float(np.std(scores))))
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda x: -x[1]), "feature string, importance_mean double, importance_std double")
 
+def permutation_importance(df: DataFrame, model, feature_cols: list[str], target_col: str = Y, metric_fn=None, n_repeats: int = 5, seed: int = 42, order: list[str] | None = None) -> DataFrame:
+    """Increase of the error after shuffling a feature: mean and std over repeats.
+
+    A shuffle is a keyed permutation of row numbers, so all of them take one
+    aggregation by the number that values go to and one hash join, without an order
+    over the whole table. The model predicts in Arrow batches on the executors, the
+    rows as they are and under every shuffle, and one aggregation gives all errors
+    (mean absolute error, or ``metric_fn(actual, predicted)`` as a Column). Numbers
+    follow ``order`` where columns are given, else the rows as they are stored.
+
+    Defined cases: missing features are NaN for the model; without rows, or where
+    an error is null, importances are null."""
+    ensure(bool(feature_cols), "feature_cols must not be empty")
+    ensure(n_repeats > 0, "n_repeats must be positive")
+    metric_fn = metric_fn or (lambda y, p: F.avg(F.abs(y - p)))
+    frame = df.select(F.col(target_col).alias("__y"), *[F.col(c).cast("double").alias(f"__x{j}") for j, c in enumerate(feature_cols)], *[F.col(c).alias(f"__o{j}") for j, c in enumerate(order or [])])
+    rows, slots = shuffled_values(frame, [f"__x{j}" for j in range(len(feature_cols))], n_repeats, seed, [f"__o{j}" for j in range(len(order or []))])
+
+    @F.pandas_udf("array<double>")
+    def predict(x: pd.Series, new: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        plain, values = (np.stack([np.asarray(v, float) for v in c]) for c in (x, new))
+        out = np.empty((len(plain), 1 + len(slots)))
+        out[:, 0] = np.asarray(model.predict(plain), float).ravel()
+        for s, (j, _) in enumerate(slots):
+            held = plain[:, j].copy()
+            plain[:, j] = values[:, s]
+            out[:, 1 + s] = np.asarray(model.predict(plain), float).ravel()
+            plain[:, j] = held
+        return pd.Series(list(out))
+
+    found = rows.select("__y", predict(F.array(*[F.col(f"__x{j}") for j in range(len(feature_cols))]), "__new").alias("__p"))
+    errors = found.agg(*[metric_fn(F.col("__y"), F.element_at("__p", s + 1)).alias(f"e{s}") for s in range(1 + len(slots))]).first()
+    out = []
+    for j, c in enumerate(feature_cols):
+        own = [errors[1 + s] for s, (k, _) in enumerate(slots) if k == j]
+        whole_ = errors[0] is not None and None not in own
+        gain = np.array([float(e) - float(errors[0]) for e in own]) if whole_ else None
+        out.append((c, float(gain.mean()) if whole_ else None, float(gain.std()) if whole_ else None))
+    out.sort(key=lambda x: (x[1] is None, -(x[1] or 0.0)))
+    return df.sparkSession.createDataFrame(out, "feature string, importance_mean double, importance_std double")

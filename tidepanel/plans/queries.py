@@ -275,10 +275,9 @@ def decomposition_multiplicative(spark, d):
     return out.select("unique_id", "ds", F.col("period_idx").cast("long").alias("period_idx"), *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("y", "trend", "seasonal")], (F.round(1 / F.col("resid"), 6) + F.lit(0.0)).alias("inverse_resid"))
 
 
-@query("seasonal_decompose_features", f"WITH {DAILY}, {_ADD} SELECT unique_id, round(greatest(0, least(1, abs(var_samp(resid) / nullif(var_samp(trend + resid), 0) - 1))), 6) AS trend_strength, round(greatest(0, least(1, abs(var_samp(resid) / nullif(var_samp(seasonal + resid), 0) - 1))), 6) AS seasonal_strength, round(avg(resid) / nullif(stddev_samp(resid), 0), 6) + 0.0 AS inverse_resid_var FROM z GROUP BY unique_id")
+@query("seasonal_decompose_features", f"WITH {DAILY}, {_ADD} SELECT unique_id, round(abs(var_samp(resid) / nullif(var_samp(trend + resid), 0) - 1), 6) AS trend_strength, round(abs(var_samp(resid) / nullif(var_samp(seasonal + resid), 0) - 1), 6) AS seasonal_strength, round(stddev_samp(resid) / nullif(avg(y), 0), 6) + 0.0 AS resid_var FROM z GROUP BY unique_id")
 def decompose_features(spark, d):
-    out = cleaning.seasonal_decompose_features(daily_events(spark, d), 7)
-    return out.select("unique_id", F.round("trend_strength", 6).alias("trend_strength"), F.round("seasonal_strength", 6).alias("seasonal_strength"), (F.round(1 / F.col("resid_var"), 6) + F.lit(0.0)).alias("inverse_resid_var"))
+    return rounded(cleaning.seasonal_decompose_features(daily_events(spark, d), 7))
 
 
 @query("fourier_decomposition")
