@@ -265,8 +265,9 @@ def test_mixing(spark):
         assert abs(r.target - want[source[r.doc_id]]) < 1e-6 * max(1, r.target)
         taken[source[r.doc_id]] += r.taken
     for s in names:
-        largest = max((size[d] for d in size if source[d] == s), default=0)
-        assert abs(taken[s] - want[s]) <= largest, (s, taken[s], want[s])
+        times = {r.doc_id: r.copies for r in got if r.size and source[r.doc_id] == s}
+        left = [size[d] for d, n in times.items() if n < 3]
+        assert abs(taken[s] - want[s]) <= max(min(left, default=0), 0.01 * want[s]), (s, taken[s], want[s])
     mixed = mix(docs, shards=4).collect()
     copies = Counter(r.doc_id for r in mixed)
     assert {r.doc_id: r.copies for r in got if r.copies} == dict(copies)
@@ -287,10 +288,11 @@ def test_what_is_taken_comes_from_the_dealt_blocks(spark):
     docs = frame(spark, corpus(groups=60))
     plan = plan_mix(docs, shards=5)
     rows = {r.doc_id: r for r in mix_rows(docs).collect()}
+    assert len({r.u for r in rows.values()}) == len(rows)
     dealt = defaultdict(list)
     for r in plan.deal.collect():
         dealt[r.key, r.block] += r.dealt
-    want = {d: sum(r.u <= c.last_u for c in dealt[r.key, r.u >> 53]) * r.size for d, r in rows.items()}
+    want = {d: sum(r.u <= c.last_u or r.u in c.extra for c in dealt[r.key, r.u >> 53]) * r.size for d, r in rows.items()}
     assert {r.doc_id: r.taken for r in mix_report(docs, shards=5).collect()} == want
     # All shards hold the same number of blocks, but for rounding at the nodes.
     loads = Counter(c.mix_shard for copies in dealt.values() for c in copies)
@@ -374,3 +376,81 @@ def test_a_spoiled_store_is_found(spark):
     spark.read.parquet(f"{store}/spoiled").write.parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="does not have the content of its address"):
         document_checks(spark, store).collect()
+
+
+def taken_by_hand(rows, target, passes):
+    """Copies by u that one source gives of ``rows`` (size, u): whole passes, the
+    prefix in the order of u that fits, the longest behind it that fit, the shortest
+    if that is nearer; more than 1 % off, the longest that fit once more, and so on."""
+    copies = Counter({u: passes for _, u in rows})
+    missing = target - passes * sum(s for s, _ in rows)
+    order = sorted(rows, key=lambda r: r[1])
+    while order and order[0][0] <= missing:
+        missing -= order[0][0]
+        copies[order.pop(0)[1]] += 1
+
+    def longest(behind, missing):
+        left = []
+        for s, u in sorted((r for r in behind if r[0]), key=lambda r: (-r[0], r[1])):
+            if s <= missing:
+                missing -= s
+                copies[u] += 1
+            else:
+                left.append((s, u))
+        return missing, left
+
+    if missing <= 0 or not order:
+        return copies
+    missing, behind = longest(order, missing)
+    rest = [behind]
+    least = min((s for s, _ in behind), default=None)
+    if min(missing, missing if least is None else least - missing) > 0.01 * target:
+        for level in range(1, 3 - passes):
+            missing, left = longest(rows, missing)
+            rest.append(left)
+    ends = [(s, level, u) for level, left in enumerate(rest) for s, u in left]
+    if ends and min(ends)[0] - missing < missing:
+        copies[min(ends)[2]] += 1
+    return copies
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_mix_of_skewed_sizes_against_brute_force(spark, seed):
+    """A huge document, null ids and repeated ids: targets are met all the same."""
+    import random
+
+    from tidepanel.llm.mixing import mix, mix_report, mix_rows, plan_mix
+
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 3, 50, 400]), "en", s, None) for i, s in enumerate(rng.choices(["a", "b", "c", None], k=300))]
+    rows += [(2000 + i, "w " * n, "en", "e", None) for i, n in enumerate([40_000, 30_000, 700, 900, 1000, 3, 1])]
+    rows += [(1000, "w " * 9000, "en", "a", None), (1001, "w " * 5000, "en", "c", None)]
+    rows += [(None, "same words in every row", "en", "b", None)] * 200 + [(7, "four words of seven", "en", "d", i) for i in range(150)] + [(None, f"own {i} x", "en", "d", i) for i in range(100)]
+    docs = frame(spark, rows)
+    found = mix_rows(docs).collect()
+    assert len(found) == len(rows) and len({r.u for r in found}) == len(rows)
+    plan = plan_mix(docs)
+    goals = {r.key: r for r in plan.sources.collect()}
+    dealt = defaultdict(list)
+    for r in plan.deal.collect():
+        dealt[r.key, r.block] += r.dealt
+    for key, goal in goals.items():
+        own = [(r.size, r.u) for r in found if r.key == key]
+        passes = min(3, int(goal.target / goal.source_size + 1e-12))
+        copies = taken_by_hand(own, goal.target, passes)
+        want = {u: copies[u] for s, u in own if s}
+        got = {u: sum(u <= c.last_u or u in c.extra for c in dealt[key, u >> 53]) for s, u in own if s}
+        assert got == want, key
+        words = sum(s * got.get(u, 0) for s, u in own)
+        left = [s for s, u in own if s and got[u] < 3]
+        assert abs(words - goal.target) <= max(min(left, default=0), 0.01 * goal.target) + 1e-6
+    report = mix_report(docs).collect()
+    assert len(report) == len(rows) and max(r.copies for r in report) <= 3
+    mixed = mix(docs.withColumn("copy", F.lit("own")).withColumn("mark", F.lit(1)), keep_plan_columns=False)
+    assert mixed.columns == [*docs.columns, "copy", "mark"]
+    out = mixed.collect()
+    assert len(out) == sum(r.copies for r in report)
+    # Rows that differ in another column only are taken up to three times each.
+    assert max(Counter(tuple(r) for r in out if r.source == "d").values()) <= 3
+    again = mix(docs.repartition(5), keep_plan_columns=False).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in again) == Counter((r.doc_id, r.text, r.source) for r in out)

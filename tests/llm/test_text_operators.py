@@ -61,6 +61,66 @@ def test_shuffled_windows_leave_the_words_behind(spark):
     assert "row#" in sent and " w#" not in sent and "[w#" not in sent
 
 
+@pytest.mark.parametrize("limit", [400_000, 0])
+def test_rows_are_judged_by_their_own_text(spark, limit, monkeypatch):
+    """Rows that share an id, or have none, keep clean text; equal rows go alike."""
+    from tidepanel.llm import decontam
+
+    whole = decontam.contamination
+    monkeypatch.setattr(decontam, "contamination", lambda d, b, n: whole(d, b, n, broadcast_windows=limit))
+    bad = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, bad), (2, "Short item")], "item_id long, text string")
+    clean = "clean words one two three four five six seven eight nine eleven twelve thirteen"
+    rows = [
+        (1, clean, "en", "a", 1),
+        (1, f"before, {bad.upper()}! after; {bad}. short item end", "en", "a", 1),
+        (None, clean, "en", "b", 2),
+        (None, f"{bad} eleven", "en", "b", 2),
+        (None, f"{bad} eleven", "fr", "b", 3),
+        (None, None, "en", None, 4),
+        (5, "", "en", "b", 5),
+        (6, f"x {bad} one two", "en", "b", 5),
+        (7, f"{bad} {bad}", "en", "b", 5),
+        (8, ". short, item.", "en", "b", 5),
+    ]
+    docs = frame(spark, rows).withColumn("mark", F.lit("own")).withColumn("hit_a", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("spans", F.lit(3))
+    kept = decontam.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text, r.mark, r.hit_a, r.doc, r.spans) for r in kept.collect()))) == sorted(str((*rows[i][:2], "own", 1, 2, 3)) for i in (0, 2, 5, 6))
+    cut = decontam.remove_contaminated(docs, bench, mode="spans")
+    assert cut.columns == docs.columns
+    want = [clean, "before, after; end", clean, "eleven", "eleven", None, "", "x one two", "", ". "]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in cut.collect()))) == sorted(str((r[0], t)) for r, t in zip(rows, want))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 13])
+def test_window_hashes_of_any_length(spark, n):
+    """Each window length, items shorter than it, and repeated document rows."""
+    from tidepanel.llm.decontam import contamination
+
+    rng = random.Random(n)
+    text = lambda k: " ".join(rng.choice("abcd") for _ in range(k))
+    rows = [(i, text(rng.randrange(0, 40)), "en", "a", 1) for i in range(60)]
+    rows += rows[:5]
+    items = [(i, text(rng.randrange(0, 2 * n + 1))) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, tuple(r["items"])) for r in contamination(frame(spark, rows), bench, n).collect())
+
+    def brute(words):
+        hit, found = set(), set()
+        for i, t in items:
+            w = alnum_words(t)
+            k = min(n, len(w))
+            for at in range(len(w) - k + 1 if k else 0):
+                for p in range(len(words) - k + 1):
+                    if words[p : p + k] == w[at : at + k]:
+                        hit |= set(range(p, p + k))
+                        found.add(str(i))
+        return len(hit), tuple(sorted(found))
+
+    assert got == sorted((r[0], *brute(alnum_words(r[1]))) for r in rows)
+
+
 @pytest.mark.parametrize("mode", ["documents", "spans"])
 def test_removal_with_clashing_columns(spark, mode):
     from tidepanel.llm.decontam import remove_contaminated
