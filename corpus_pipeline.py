@@ -2,6 +2,16 @@
 
 Each stage reads what its predecessor kept from Parquet in the shared folder.
 Run as the query ``pipeline``.
+
+Defined cases: documents with a null or empty text are never toxic, linked or
+contaminated, so they pass the first three stages; the mixing stage takes them as
+often as their neighbours, as they have no words. A null source is a source of its
+own; null ids, repeated ids and repeated rows stay apart (the Jaccard stage keeps one
+of equal texts, and texts that share an id are judged each on its own; the mixing
+stage numbers equal rows). Very long texts are read whole by every stage. An empty
+table gives no rows. Columns besides those of ``documents`` are carried through,
+whatever their names; the last stage adds ``shard``, in place of a column of that
+name.
 """
 
 from __future__ import annotations

@@ -139,8 +139,11 @@ def test_enbpi_and_streaming_use_all_rows(spark):
     rows = [(k, i, float(rng.normal(0, s))) for k, s in (("a", 1.0), ("b", 30.0)) for i in range(150)]
     df = spark.createDataFrame(rows, "unique_id string, ds long, y double").coalesce(1)
     part, whole = EnbPI(None, 5, [1], max_rows=80).fit(df), EnbPI(None, 5, [1]).fit(df)
-    assert len(part.residuals_) > 270 and np.quantile(part.residuals_, 0.9) == pytest.approx(np.quantile(whole.residuals_, 0.9), rel=0.2)
-    assert len(part.residuals_) + 298 == len(part.update(df).residuals_)
+    count = lambda model: {r[0]: r[1] for r in model.sketches_.select("__id", F.kll_sketch_get_n_double("sketch")).collect()}
+    width = lambda model: {r.unique_id: r.width for r in model.widths().collect()}
+    before = count(part)
+    assert sum(before.values()) > 270 and all(width(part)[k] == pytest.approx(v, rel=0.2) for k, v in width(whole).items())
+    assert {k: n + 149 for k, n in before.items()} == count(part.update(df))
 
     class Seen:
         n = 0

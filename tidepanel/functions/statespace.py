@@ -130,6 +130,7 @@ class BSTS:
     """Level or local linear trend with seasonal dummies, as a Kalman model."""
 
     def __init__(self, trend: str = "local_linear", seasonal: int | None = None, sigma_obs: float = 1.0, sigma_level: float = 0.1, sigma_trend: float = 0.01, sigma_seasonal: float = 0.01):
+        trend = "local_level" if trend == "level" else trend
         if trend not in ("local_level", "local_linear"):
             raise ValueError(f"unknown trend {trend!r}")
         n = 1 if trend == "local_level" else 2
@@ -186,27 +187,73 @@ def stochastic_volatility_loglik():
     return lambda y, x: -0.5 * (math.log(2 * math.pi) + x + y**2 * np.exp(-x))
 
 
+def local_level_density(sigma_level: float = 1.0):
+    """Logarithm of the density of the next state, for the smoother; up to a constant."""
+    return lambda after, x: -0.5 * ((after - x) / sigma_level) ** 2
+
+
+def ar1_density(phi: float = 0.9, sigma: float = 1.0, mu: float = 0.0):
+    return lambda after, x: -0.5 * ((after - mu - phi * (x - mu)) / sigma) ** 2
+
+
 @dataclass
 class ParticleFilterResult:
+    """With a stored history, (times, particles): ``particles_history`` before a
+    resampling and its ``weights_history``, and ``ancestors``: row t holds, for every
+    particle moved on from time t, the place at t that it was copied from."""
+
     filtered_mean: np.ndarray
     filtered_var: np.ndarray
     ess: np.ndarray
     log_likelihood: float
+    particles_history: np.ndarray | None = None
+    weights_history: np.ndarray | None = None
+    ancestors: np.ndarray | None = None
+
+    def genealogies(self) -> np.ndarray:
+        """(times, particles): the path that led to each last particle, read
+        backwards through the ancestors."""
+        if self.ancestors is None:
+            raise ValueError("the filter ran without store_history")
+        out = self.particles_history.copy()
+        place = np.arange(out.shape[1])
+        for t in range(len(out) - 2, -1, -1):
+            place = self.ancestors[t][place]
+            out[t] = self.particles_history[t][place]
+        return out
+
+    def smoothed_paths(self, density, paths: int = 200, seed: int = 42) -> np.ndarray:
+        """(times, paths): draws from the smoothing distribution by backward
+        simulation. ``density(after, x)`` is the logarithm of the transition density."""
+        if self.particles_history is None:
+            raise ValueError("the filter ran without store_history")
+        rng, x, w = np.random.default_rng(seed), self.particles_history, self.weights_history
+        out = np.empty((len(x), paths))
+        for t in range(len(x) - 1, -1, -1):
+            lw = np.log(w[t] + 1e-300)[None, :]
+            lw = np.broadcast_to(lw, (paths, x.shape[1])) if t == len(x) - 1 else lw + density(out[t + 1][:, None], x[t][None, :])
+            total = np.cumsum(np.exp(lw - lw.max(axis=1, keepdims=True)), axis=1)
+            u = rng.random(paths) * total[:, -1]
+            out[t] = x[t][np.minimum((total < u[:, None]).sum(axis=1), x.shape[1] - 1)]
+        return out
 
 
 class ParticleFilter:
     """Bootstrap filter; weights carry over until a resampling."""
 
-    def __init__(self, n_particles: int = 1000, transition_fn=None, observation_loglik=None, resample_method: str = "systematic", resample_threshold: float = 0.5, seed: int = 42):
+    def __init__(self, n_particles: int = 1000, transition_fn=None, observation_loglik=None, resample_method: str = "systematic", resample_threshold: float = 0.5, seed: int = 42, store_history: bool = False):
+        if n_particles < 2 or not 0 < resample_threshold <= 1 or resample_method not in ("systematic", "multinomial"):
+            raise ValueError("two particles, a resample_threshold in (0, 1] and a systematic or multinomial resample_method are needed")
         self.n, self.transition, self.loglik = n_particles, transition_fn or local_level_transition(), observation_loglik or local_level_loglik()
-        self.method, self.threshold, self.seed = resample_method, resample_threshold, seed
+        self.method, self.threshold, self.seed, self.store_history = resample_method, resample_threshold, seed, store_history
 
-    def filter(self, y) -> ParticleFilterResult:
+    def filter(self, y, initial_particles: np.ndarray | None = None) -> ParticleFilterResult:
         rng, y = np.random.default_rng(self.seed), np.asarray(y, float)
         known = y[~np.isnan(y)]
-        x = rng.normal(known[0] if len(known) else 0.0, 1.0, self.n)
+        x = rng.normal(known[0] if len(known) else 0.0, 1.0, self.n) if initial_particles is None else np.asarray(initial_particles, float).copy()
         w, total, rows = np.full(self.n, 1 / self.n), 0.0, []
-        for v in y:
+        kept = (np.empty((len(y), self.n)), np.empty((len(y), self.n)), np.empty((len(y), self.n), int)) if self.store_history else None
+        for t, v in enumerate(y):
             x = self.transition(x, rng)
             if not np.isnan(v):
                 lw = np.log(w + 1e-300) + self.loglik(v, x)
@@ -217,11 +264,16 @@ class ParticleFilter:
             mean = float(w @ x)
             ess = 1 / float(w @ w)
             rows.append((mean, float(w @ (x - mean) ** 2), ess))
+            place = None
             if ess < self.threshold * self.n:
                 u = (rng.random() + np.arange(self.n)) / self.n if self.method == "systematic" else np.sort(rng.random(self.n))
-                x, w = x[np.minimum(np.searchsorted(np.cumsum(w), u), self.n - 1)], np.full(self.n, 1 / self.n)
+                place = np.minimum(np.searchsorted(np.cumsum(w), u), self.n - 1)
+            if kept is not None:
+                kept[0][t], kept[1][t], kept[2][t] = x, w, np.arange(self.n) if place is None else place
+            if place is not None:
+                x, w = x[place], np.full(self.n, 1 / self.n)
         a, b, c = (np.array(r) for r in zip(*rows)) if rows else (np.zeros(0),) * 3
-        return ParticleFilterResult(a, b, c, total)
+        return ParticleFilterResult(a, b, c, total, *(kept or ()))
 
 
 # -- Gaussian processes ----------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +60,19 @@ def particle_filter(df: DataFrame, transition_fn=None, observation_loglik=None,
     return map_series(df, kernel, f"`{time_col}` {type_of(df, time_col)}, filtered_mean double, filtered_var double, ess double", target_col, id_col, time_col)
 
 
+def particle_smoother(df: DataFrame, transition_fn=None, observation_loglik=None, density=None, n_particles: int = 1000, paths: int = 200, resample_method: str = "systematic", resample_threshold: float = 0.5, seed: int = 42, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> DataFrame:
+    """smoothed_mean and smoothed_var of every row, from backward simulation through
+    the filter's history: what the whole series says of each state."""
+    from tidepanel.functions.statespace import local_level_density
+
+    def kernel(_, times, v):
+        r = ParticleFilter(n_particles, transition_fn, observation_loglik, resample_method, resample_threshold, seed, store_history=True).filter(v)
+        drawn = r.smoothed_paths(density or local_level_density(), paths, seed)
+        return {time_col: times, "smoothed_mean": drawn.mean(1), "smoothed_var": drawn.var(1)}
+
+    return map_series(df, kernel, f"`{time_col}` {type_of(df, time_col)}, smoothed_mean double, smoothed_var double", target_col, id_col, time_col)
+
+
 def gp_forecast(df: DataFrame, h: int, kernel: str = "rbf", optimize: bool = True, noise_var: float = 0.1, coverage: float = 0.9, id_col: str = ID, target_col: str = Y, time_col: str = TIME) -> DataFrame:
     z = normal_quantile(0.5 + coverage / 2)
 
@@ -132,12 +147,17 @@ def bayesian_var(df: DataFrame, target_cols: list[str], horizon: int, p: int = 1
 _EFFECT = "y double, counterfactual double, counterfactual_lower double, counterfactual_upper double, point_effect double, point_effect_lower double, point_effect_upper double, cumulative_effect double"
 
 
-def impact_of(v: np.ndarray, n_pre: int, x: np.ndarray | None, coverage: float, options: dict) -> dict:
-    """Counterfactual of everything after the first n_pre values."""
+def impact_of(v: np.ndarray, n_pre: int, x: np.ndarray | None, coverage: float, options: dict, always: np.ndarray | None = None) -> dict:
+    """Counterfactual of everything after the first n_pre values. All columns of
+    ``x``, less their means before, explain the values before; those that are
+    ``always`` (a mask, all by default) move the counterfactual too."""
     base = np.zeros(len(v))
     if x is not None and x.shape[1]:
-        m = np.column_stack([np.ones(len(v)), x])
-        base = m @ np.linalg.lstsq(m[:n_pre], v[:n_pre], rcond=None)[0]
+        always = np.ones(x.shape[1], bool) if always is None else always
+        bare_x = x - x[:n_pre].mean(0)
+        beta = np.linalg.lstsq(bare_x[:n_pre], v[:n_pre] - v[:n_pre].mean(), rcond=None)[0]
+        base[:n_pre] = bare_x[:n_pre] @ beta
+        base[n_pre:] = bare_x[n_pre:][:, always] @ beta[always]
     bare = v - base
     scale = bare[:n_pre].std() or 1.0
     mean, var = BSTS(**options).fit(bare[:n_pre] / scale).forecast(len(v) - n_pre)
@@ -147,32 +167,53 @@ def impact_of(v: np.ndarray, n_pre: int, x: np.ndarray | None, coverage: float,
     return {"y": v[n_pre:], "counterfactual": mean, "counterfactual_lower": mean - z * sd, "counterfactual_upper": mean + z * sd, "point_effect": effect, "point_effect_lower": effect - z * sd, "point_effect_upper": effect + z * sd, "cumulative_effect": np.cumsum(effect)}
 
 
+def covariate_roles(covariates: list[str], given: dict[str, str] | None) -> dict[str, str]:
+    """The role of every covariate, ``always`` where none is given, with a warning:
+    what the intervention itself moves would hide its effect."""
+    roles = {c: (given or {}).get(c, "always") for c in covariates}
+    ensure(set(roles.values()) <= {"always", "pre_only"}, "a covariate_role is always or pre_only")
+    if missing := [c for c in covariates if c not in (given or {})]:
+        warnings.warn(f"no covariate_role for {', '.join(missing)}: 'always', which biases the effect if the intervention moves them", UserWarning, stacklevel=3)
+    elif covariates and set(roles.values()) == {"always"}:
+        warnings.warn("All covariates are 'always'; see that the intervention does not move any of them", UserWarning, stacklevel=3)
+    return roles
+
+
 def _cut(times, when) -> int:
     return int(np.searchsorted(pd.to_datetime(pd.Series(times)).to_numpy() if not np.issubdtype(np.asarray(times).dtype, np.number) else times, pd.Timestamp(when).to_datetime64() if not isinstance(when, (int, float)) else when))
 
 
 class CausalImpact:
     """Effect of an intervention on every series against a structural forecast
-    from before it, with optional covariates of the pre-period regression."""
+    from before it, with optional covariates: ``pre_only`` ones help to explain the
+    time before, ``always`` ones move the counterfactual after it too."""
 
-    def __init__(self, trend: str = "local_linear", seasonal: int | None = None, sigma_obs: float = 1.0, sigma_level: float = 0.1, sigma_trend: float = 0.01, sigma_seasonal: float = 0.01, coverage: float = 0.9, covariates: list[str] | None = None, id_col: str = ID, time_col: str = TIME, target_col: str = Y):
+    def __init__(self, trend: str = "local_linear", seasonal: int | None = None, sigma_obs: float = 1.0, sigma_level: float = 0.1, sigma_trend: float = 0.01, sigma_seasonal: float = 0.01, coverage: float = 0.9, covariates: list[str] | None = None, id_col: str = ID, time_col: str = TIME, target_col: str = Y, covariate_role: dict[str, str] | None = None):
+        self.covariate_role = covariate_role
         self.model = dict(trend=trend, seasonal=seasonal, sigma_obs=sigma_obs, sigma_level=sigma_level, sigma_trend=sigma_trend, sigma_seasonal=sigma_seasonal)
         self.coverage, self.covariates, self.cols = coverage, covariates or [], (id_col, time_col, target_col)
 
     def fit(self, df: DataFrame, intervention_date) -> CausalImpact:
+        missing = [c for c in self.covariates if c not in df.columns]
+        ensure(not missing, f"covariates not found: {', '.join(missing)}")
+        self.roles_ = covariate_roles(self.covariates, self.covariate_role)
+        if self.covariates:
+            gaps = df.filter(F.col(self.cols[1]) < F.lit(intervention_date)).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.covariates]).first()
+            ensure(not any(gaps), f"covariates have missing values before the intervention: {', '.join(c for c in self.covariates if gaps[c])}")
         self.df_, self.when_ = df, intervention_date
         return self
 
     def _run(self, when) -> DataFrame:
         id_col, time_col, target_col = self.cols
         model, coverage, covariates = self.model, self.coverage, self.covariates
+        always = np.array([self.roles_[c] == "always" for c in covariates], bool)
 
         def kernel(_, times, v, extra=None):
             n = _cut(times, when)
             if n < 3 or n >= len(v):
                 return None
             x = np.column_stack([extra[c].astype(float) for c in covariates]) if covariates else None
-            return {time_col: times[n:], **impact_of(v, n, x, coverage, model)}
+            return {time_col: times[n:], **impact_of(v, n, x, coverage, model, always)}
 
         return map_series(self.df_, kernel, f"`{time_col}` {type_of(self.df_, time_col)}, {_EFFECT}", target_col, id_col, time_col, extra=covariates or None)
 
@@ -188,7 +229,7 @@ class CausalImpact:
 
     def placebo_test(self, placebo_date) -> DataFrame:
         """The summary of a made-up intervention before the real one."""
-        own = CausalImpact(coverage=self.coverage, covariates=self.covariates, id_col=self.cols[0], time_col=self.cols[1], target_col=self.cols[2], **self.model)
+        own = CausalImpact(coverage=self.coverage, covariates=self.covariates, covariate_role=self.roles_, id_col=self.cols[0], time_col=self.cols[1], target_col=self.cols[2], **self.model)
         return own.fit(self.df_.filter(F.col(self.cols[1]) < F.lit(self.when_)), placebo_date).summary()
 
 

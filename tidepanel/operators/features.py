@@ -94,9 +94,20 @@ def target_encode(df: DataFrame, cat_col: str, target_col: str = Y, smoothing: f
     return df.join(per, df[cat_col] == per["__key"], "left").drop("__key")
 
 
-def holiday_features(df: DataFrame, holidays: DataFrame, time_col: str = TIME, distance: bool = False) -> DataFrame:
-    """``is_holiday`` and days to and since a holiday (365 if there is none), from
-    a calendar with a ``date`` column (a few rows a year, joined by day)."""
+def country_calendar(df: DataFrame, country: str, time_col: str = TIME) -> DataFrame:
+    """date and name of a country's holidays in the years of the data, from rules."""
+    from tidepanel.functions.calendars import holidays
+
+    ends = df.agg(F.min(F.year(time_col)).alias("a"), F.max(F.year(time_col)).alias("b")).first()
+    days = holidays(country, [] if ends["a"] is None else range(ends["a"], ends["b"] + 1))
+    return df.sparkSession.createDataFrame(days, "date date, name string")
+
+
+def holiday_features(df: DataFrame, holidays: DataFrame | str = "US", time_col: str = TIME, distance: bool = False) -> DataFrame:
+    """``is_holiday`` and days to and since a holiday (365 if there is none), by a
+    country's code or a calendar with a ``date`` column (a few rows a year)."""
+    if isinstance(holidays, str):
+        holidays = country_calendar(df, holidays, time_col)
     days = holidays.select(F.to_date("date").alias("__h")).distinct()
     day = F.to_date(F.col(time_col))
     if not distance:

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions import ces
 from tidepanel.functions.stats import nelder_mead
 from tidepanel.panel import ID, TIME, Y, as_series, by_time, ensure, explode_horizon, future_times, map_series, median_step, type_of
 
@@ -347,10 +348,31 @@ def _theta(v: np.ndarray, h: int, season: int) -> np.ndarray:
     return level + slope / 2 * (k - 1 + (1 - (1 - a) ** len(v)) / a) + s[(len(v) - 1 + k) % len(s)]
 
 
+def ces_forecast(df: DataFrame, h: int, season_length: int = 1, form: str | None = None, rates: tuple[float, ...] | None = None, target_col: str = Y, id_col: str = ID, time_col: str = TIME) -> DataFrame:
+    """Complex smoothing of every series: the given form, or the one with the least
+    corrected information criterion, at given or fitted rates. Missing values are
+    left out; a series without any gives no rows."""
+    ensure(h > 0, "h must be positive")
+    ensure(form is None or form in ces.FORMS, f"form must be of {ces.FORMS}")
+    ensure(form in (None, "none") or season_length > 1, "seasonal forms need season_length")
+    ensure(rates is None or (form is not None and len(rates) == ces.rates_of(form)), "rates need a form and its number of them")
+
+    def kernel(_, times, v):
+        v = v[~np.isnan(v)]
+        if not len(v):
+            return None
+        own, found = (form, np.array(rates)) if rates is not None else ces.auto(v, season_length, ces.FORMS if form is None else (form,))
+        if own != "none" and len(v) < 2 * season_length:
+            own, found = "none", found[:2]
+        return {time_col: future_times(times, h), "y_hat": ces.run(v, found, own, season_length, h)[0]}
+
+    return map_series(df, kernel, f"`{time_col}` {type_of(df, time_col)}, y_hat double", target_col, id_col, time_col)
+
+
 class SCUM:
-    """The mean of four members: automatic ARIMA, automatic smoothing, smoothing of
-    the series and its damped mirror (complex smoothing) and the theta method, with
-    intervals from the ARIMA member's errors."""
+    """The mean of four members: automatic ARIMA, automatic smoothing, automatic
+    complex smoothing and the theta method, with intervals from the ARIMA member's
+    errors."""
 
     def __init__(self, season_length: int = 1, alias: str = "SCUM", level: float = 0.9):
         self.season_length, self.alias, self.level = season_length, alias, level
@@ -360,8 +382,8 @@ class SCUM:
         arima = auto_order(v, m) if len(v) >= 3 else ArimaModel((0, 1, 0)).fit(v)
         rates, kind = _smooth_fit(v, m)
         smooth = _smooth_run(v, rates, kind, m, h)[0]
-        damp = np.cumsum(0.9 ** np.arange(h)) / np.arange(1, h + 1)
-        complex_ = smooth[:1] + (smooth - smooth[:1]) * damp
+        form, z_rates = ces.auto(v, m)
+        complex_ = ces.run(v, z_rates, form, m, h)[0]
         return np.stack([arima.predict(h), smooth, complex_, _theta(v, h, m)]), arima.spread(h)
 
     def fit(self, df: DataFrame, target_col: str = Y, id_col: str = ID, time_col: str = TIME) -> SCUM:
@@ -371,6 +393,8 @@ class SCUM:
     def predict(self, h: int) -> DataFrame:
         from tidepanel.functions.stats import normal_quantile
 
+        if not hasattr(self, "df_"):
+            raise RuntimeError("call fit() before predict()")
         target_col, id_col, time_col = self.cols_
         z = normal_quantile(0.5 + self.level / 2)
 

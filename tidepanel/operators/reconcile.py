@@ -90,18 +90,6 @@ def projection(s: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     return s @ np.linalg.pinv(s.T @ w @ s) @ s.T @ w
 
 
-def _residual_covariance(residuals: DataFrame, nodes: list[str], col: str, id_col: str, time_col: str) -> np.ndarray:
-    """Second moments between nodes (half shrunk to the diagonal), aggregated by
-    Spark; as many entries as pairs of nodes."""
-    a = residuals.select(F.col(id_col).cast("string").alias("i"), time_col, F.col(col).alias("a"))
-    b = residuals.select(F.col(id_col).cast("string").alias("j"), time_col, F.col(col).alias("b"))
-    cov = np.zeros((len(nodes), len(nodes)))
-    for r in a.join(b, time_col).groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c")).collect():
-        if r.i in nodes and r.j in nodes:
-            cov[nodes.index(r.i), nodes.index(r.j)] = r.c or 0.0
-    return 0.5 * cov + 0.5 * np.diag(np.diag(cov)) + 1e-8 * np.eye(len(nodes))
-
-
 def reconcile(df: DataFrame, hierarchy: dict, method: str = "bottom_up", forecast_col: str = "y_hat", id_col: str = ID, time_col: str = TIME, *, middle_level: list[str] | None = None, residuals: DataFrame | None = None, train_data: DataFrame | None = None, n_folds: int = 5, interval_cols: list[str] | None = None, residual_col: str = "residual", target_col: str = "y") -> DataFrame:
     """Coherent forecasts (id, time, forecast) of all nodes."""
     ensure(method in METHODS, f"method must be of {METHODS}")
@@ -112,22 +100,21 @@ def reconcile(df: DataFrame, hierarchy: dict, method: str = "bottom_up", forecas
         return top_down(df, hierarchy, forecast_col, id_col, time_col)
     if method == "middle_out":
         return middle_out(df, hierarchy, forecast_col, middle_level or [], id_col, time_col)
-    _, nodes, s = closure(hierarchy)
     if method == "ols":
-        p = projection(s)
-    elif method == "permbu":
+        _, nodes, s = closure(hierarchy)
+        return _project(df, hierarchy, projection(s), nodes, cols, id_col, time_col)
+    from tidepanel.operators.mint import Mint
+
+    solver = Mint(df.sparkSession, parents_of(hierarchy))
+    if method == "permbu":
         ensure(residuals is not None, "permbu needs residuals")
-        p = projection(s, np.linalg.inv(_residual_covariance(residuals, nodes, residual_col, id_col, time_col)))
+        solver.residuals(residuals, id_col, time_col, residual_col)
     else:
         ensure(train_data is not None, "mint_cv needs train_data")
-        from pyspark.sql import Window
-
-        fold = F.ntile(n_folds).over(Window.partitionBy(id_col).orderBy(time_col))
-        rows = train_data.withColumn("__f", fold)
-        both = Window.partitionBy(id_col)
-        inside = Window.partitionBy(id_col, "__f")
-        # The mean of the other folds, from totals and the own fold's part.
-        others = ratio(F.sum(target_col).over(both) - F.sum(target_col).over(inside), F.count(target_col).over(both) - F.count(target_col).over(inside))
-        rows = rows.select(id_col, time_col, (F.col(target_col) - others).alias("residual"))
-        p = projection(s, np.linalg.inv(_residual_covariance(rows, nodes, "residual", id_col, time_col)))
-    return _project(df, hierarchy, p, nodes, cols, id_col, time_col)
+        solver.residuals(train_data, id_col, time_col, target_col, n_folds)
+    out = None
+    for c in cols:
+        # Sums of the reconciled leaves, which the solve gives up to its tolerance.
+        part = bottom_up(solver.reconcile(df, id_col, time_col, c), hierarchy, [c], id_col, time_col)
+        out = part if out is None else out.join(part, [id_col, time_col])
+    return out

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidepanel.operators import changepoint, metrics
+from tidepanel.operators import changepoint, features, forecasting, metrics
 from tidepanel.operators.rows import permutation_keys, permuted_sql
 from tidepanel.plans.queries import DAILY, ORACLES, _wide, query, rounded
-from tidepanel.sources.tables import table
+from tidepanel.sources.tables import daily_events, table
 
 _TYPES = ("click", "error", "purchase", "signup", "view")
 _WIDE_SQL = f"{DAILY}, wide AS (SELECT ds, " + ", ".join(f"coalesce(sum(y) FILTER (WHERE unique_id = '{t}'), 0.0) AS {t}" for t in _TYPES) + " FROM daily GROUP BY ds)"
@@ -72,3 +72,25 @@ _BRED = " UNION ALL ".join(f"SELECT '{f}' AS feature, unnest([{', '.join(f'e{s}
 def importance(spark, d):
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *_FEATURES)
     return rounded(metrics.permutation_importance(items, Line(), list(_FEATURES), "l_extendedprice", n_repeats=_REPEATS, seed=_SEED, order=_ORDER), 4)
+
+
+@query("ces_forecast", f"""WITH RECURSIVE {DAILY}, o AS (SELECT unique_id AS u, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS i FROM daily),
+n AS (SELECT u, count(*) AS n, max(ds) AS last, avg(y) FILTER (WHERE i <= 10) AS l FROM o GROUP BY u),
+z(u, i, l, c) AS (SELECT u, CAST(1 AS BIGINT), l, l / 1.1 FROM n UNION ALL
+  SELECT u, i + 1, l - 0.25 * c + 0.35 * e, l - 0.1 * c + 1.85 * e FROM (SELECT z.*, CASE WHEN z.i <= n.n THEN o.y - l ELSE 0.0 END AS e FROM (SELECT u, i, l, c FROM z) z JOIN (SELECT u, n FROM n) n ON n.u = z.u LEFT JOIN o ON o.u = z.u AND o.i = z.i WHERE z.i < n.n + 7) s)
+SELECT z.u AS unique_id, last + CAST(z.i - n AS INTEGER) * INTERVAL 1 DAY AS ds, round(z.l, 4) AS y_hat FROM z JOIN n ON n.u = z.u WHERE z.i > n""")
+def ces_forecast(spark, d):
+    return rounded(forecasting.ces_forecast(daily_events(spark, d), 7, form="none", rates=(1.1, 0.75)), 4)
+
+
+_EASTER = """y AS (SELECT DISTINCT year(ts) AS y FROM events), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h),
+m AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS m FROM l), e AS (SELECT y, make_date(y, m // 31, m % 31 + 1) AS e FROM m)"""
+
+
+@query("country_holidays", f"""WITH {_EASTER}, d AS (SELECT e + n AS d FROM e, (VALUES (-2), (1), (39), (50)) v(n) UNION SELECT make_date(y, v.m, v.n) FROM y, (VALUES (1, 1), (5, 1), (10, 3), (12, 25), (12, 26)) v(m, n) UNION SELECT make_date(2017, 10, 31) FROM y WHERE y = 2017)
+SELECT event_id, CAST(CAST(ts AS DATE) IN (SELECT d FROM d) AS BIGINT) AS is_holiday, coalesce((SELECT min(date_diff('day', CAST(ts AS DATE), d)) FROM d WHERE d >= CAST(ts AS DATE)), 365) AS days_to_holiday,
+  coalesce((SELECT min(date_diff('day', d, CAST(ts AS DATE))) FROM d WHERE d <= CAST(ts AS DATE)), 365) AS days_since_holiday FROM events""")
+def country_holidays(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").alias("ds"))
+    return rounded(features.holiday_features(e, "DE", distance=True).drop("ds"))
