@@ -126,3 +126,49 @@ def test_roles_of_covariates(spark):
     with pytest.raises(ValueError, match="demand"):
         CausalImpact(covariates=both, covariate_role={"weather": "always", "demand": "pre_only"}).fit(holes, when)
     assert CausalImpact(covariates=both, covariate_role={"weather": "always", "demand": "pre_only"}).fit(df, when).placebo_test(date(2024, 2, 10)).count() == 1
+
+
+def donors(spark, late=True):
+    rng = np.random.default_rng(7)
+    day = lambda i: date(2024, 1, 1) + timedelta(days=i)
+    y = {k: 10 * (k + 1) + np.cumsum(rng.normal(size=40)) for k in range(3)}
+    temp = {k: rng.normal(15 + 2 * k, 3, 40) for k in range(3)}
+    own = 0.6 * y[0] + 0.3 * y[1] + 0.1 * y[2] + rng.normal(0, 0.2, 40)
+    heat = 0.6 * temp[0] + 0.3 * temp[1] + 0.1 * temp[2] + rng.normal(0, 0.2, 40)
+    own[25:] += 5
+    heat[25:] += 2
+    rows = [("treated", day(i), float(own[i]), float(heat[i])) for i in range(40)]
+    rows += [(f"D{k}", day(i), float(y[k][i]), float(temp[k][i])) for k in range(3) for i in range(40)]
+    rows += [("short", day(i), 1.0, 1.0) for i in range(30)] + [("moved", day(i + 1), 1.0, 1.0) for i in range(40)]
+    return spark.createDataFrame(rows, "unique_id string, ds date, y double, heat double").repartition(3), day(25), y, temp, own, heat
+
+
+def test_synthetic_control_with_covariates(spark):
+    from tidepanel.operators.bayes import SyntheticControl
+
+    df, when, y, temp, own, heat = donors(spark)
+    model = SyntheticControl(covariates=["heat"], covariate_role={"heat": "pre_only"}).fit(df, "treated", when)
+    # Donors with other times are out.
+    assert model.donor_ids_ == ["D0", "D1", "D2"] and abs(sum(model.weights_) - 1) < 1e-6
+    # A grid search over the simplex, the covariate scaled to the target's spread.
+    scale = own[:25].std() / heat[:25].std()
+    loss = lambda w: ((own[:25] - sum(w[k] * y[k][:25] for k in range(3))) ** 2).sum() + ((scale * (heat[:25] - sum(w[k] * temp[k][:25] for k in range(3)))) ** 2).sum()
+    grid = [(a / 200, b / 200, 1 - (a + b) / 200) for a in range(201) for b in range(201 - a)]
+    best = min(grid, key=loss)
+    np.testing.assert_allclose(model.weights_, best, atol=0.006)
+    assert loss(model.weights_) <= loss(best) + 1e-6
+    counter = [r.counterfactual for r in model.to_frame().orderBy("ds").collect()]
+    np.testing.assert_allclose(counter, sum(w * y[k][25:] for k, w in enumerate(model.weights_)), rtol=1e-9)
+    balance = model.balance_.first()
+    assert balance.covariate == "heat" and balance.treated_mean == pytest.approx(heat[:25].mean()) and balance.abs_diff == pytest.approx(abs(balance.treated_mean - balance.synthetic_mean))
+    # always: the treated series' own covariate moves the counterfactual after the intervention.
+    with pytest.warns(UserWarning, match="All covariates"):
+        always = SyntheticControl(covariates=["heat"], covariate_role={"heat": "always"}).fit(df, "treated", when)
+    np.testing.assert_allclose(always.weights_, model.weights_)
+    beyond = heat[25:] - sum(w * temp[k][25:] for k, w in enumerate(model.weights_))
+    np.testing.assert_allclose([r.counterfactual for r in always.to_frame().orderBy("ds").collect()], np.array(counter) + beyond, rtol=1e-9)
+    plain = SyntheticControl().fit(df, "treated", when, ["D1"])
+    assert plain.balance_ is None and plain.weights_.tolist() == [1.0]
+    for bad in (lambda: SyntheticControl().fit(df, "nobody", when), lambda: SyntheticControl().fit(df, "treated", when, ["short"]), lambda: SyntheticControl(covariates=["odd"]).fit(df, "treated", when), lambda: SyntheticControl().fit(df, "treated", date(2030, 1, 1))):
+        with pytest.raises(ValueError):
+            bad()

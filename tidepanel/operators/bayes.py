@@ -239,22 +239,42 @@ def causal_impact(df: DataFrame, intervention_date, **options) -> DataFrame:
 
 class SyntheticControl:
     """Simplex weights of donors that follow the treated series before the
-    intervention. Donors are pivoted by Spark; their gram matrix is aggregated
-    there, so only numbers of donor pairs reach the driver."""
+    intervention. Donors meet on their times; their gram matrix is aggregated
+    by Spark, so only numbers of donor pairs reach the driver.
 
-    def __init__(self, coverage: float = 0.9, id_col: str = ID, time_col: str = TIME, target_col: str = Y):
-        self.coverage, self.cols = coverage, (id_col, time_col, target_col)
+    Covariates are matched beside the target, each scaled to the spread of the
+    treated target before the intervention; the moments of all these blocks are
+    summed. After it, ``always`` covariates add what the treated series has of them
+    beyond its synthetic one; ``pre_only`` ones serve the matching alone. Donors
+    whose times are not those of the treated series are left out."""
+
+    def __init__(self, coverage: float = 0.9, id_col: str = ID, time_col: str = TIME, target_col: str = Y, covariates: list[str] | None = None, covariate_role: dict[str, str] | None = None):
+        self.coverage, self.cols, self.covariates, self.covariate_role = coverage, (id_col, time_col, target_col), covariates or [], covariate_role
 
     def fit(self, df: DataFrame, treated_id, intervention_date, donor_ids: list | None = None) -> SyntheticControl:
         i, ds, y = self.cols
-        t = df.filter(F.col(i) == treated_id).select(ds, F.col(y).cast("double").alias("t"))
-        donors = df.filter(F.col(i) != treated_id)
-        donors = donors.filter(F.col(i).isin(donor_ids)) if donor_ids is not None else donors
-        donors = donors.select(F.col(i).alias("d"), ds, F.col(y).cast("double").alias("v"))
+        missing = [c for c in self.covariates if c not in df.columns]
+        ensure(not missing, f"covariates not found: {', '.join(missing)}")
+        self.roles_ = covariate_roles(self.covariates, self.covariate_role)
+        blocks = range(1 + len(self.covariates))
+        held = df.select(F.col(i).alias("d"), ds, *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate([y, *self.covariates])])
+        t = held.filter(F.col("d") == treated_id).select(ds, *[F.col(f"v{k}").alias(f"t{k}") for k in blocks])
         pre = F.col(ds) < F.lit(intervention_date)
-        a, b = donors.filter(pre), donors.filter(pre).select(F.col("d").alias("d2"), ds, F.col("v").alias("v2"))
-        gram = a.join(b, ds).groupBy("d", "d2").agg(F.sum(F.col("v") * F.col("v2")).alias("g")).toPandas()
-        lin = a.join(t, ds).groupBy("d").agg(F.sum(F.col("v") * F.col("t")).alias("l"), F.count("*").alias("n")).toPandas()
+        known = t.agg(F.count("*").alias("n"), F.count_if(pre).alias("pre"), *[F.stddev_pop(F.when(pre, F.col(f"t{k}"))).alias(f"s{k}") for k in blocks], *[F.count_if(pre & F.col(f"t{k}").isNull()).alias(f"gaps{k}") for k in blocks]).first()
+        ensure(known["n"] > 0, f"{treated_id!r} is not in the data")
+        ensure(known["pre"] > 1 and known["pre"] < known["n"], "two times before the intervention and one after it are needed")
+        holes = [c for k, c in enumerate([y, *self.covariates]) if known[f"gaps{k}"]]
+        ensure(not holes, f"missing values before the intervention: {', '.join(holes)}")
+        scale = [1.0] + [known["s0"] / known[f"s{k}"] if known[f"s{k}"] > 1e-10 else 1.0 for k in blocks[1:]]
+        donors = held.filter(F.col("d") != treated_id)
+        donors = donors.filter(F.col("d").isin(donor_ids)) if donor_ids is not None else donors
+        both = donors.join(t.select(F.col(ds).alias("__at")), donors[ds] == F.col("__at"), "left")
+        same = both.groupBy("d").agg(F.count("*").alias("n"), F.count_distinct("__at").alias("m")).filter((F.col("n") == known["n"]) & (F.col("m") == known["n"]))
+        donors = donors.join(same.select("d"), "d", "left_semi")
+        a, b = donors.filter(pre), donors.filter(pre).select(F.col("d").alias("d2"), ds, *[F.col(f"v{k}").alias(f"o{k}") for k in blocks])
+        product = lambda left, right: sum((F.col(f"{left}{k}") * F.col(f"{right}{k}") * float(scale[k] ** 2) for k in blocks), F.lit(0.0))
+        gram = a.join(b, ds).groupBy("d", "d2").agg(F.sum(product("v", "o")).alias("g")).toPandas()
+        lin = a.join(t, ds).groupBy("d").agg(F.sum(product("v", "t")).alias("l"), F.count("*").alias("n")).toPandas()
         ensure(len(lin) > 0, "no donors share times with the treated series")
         self.donor_ids_ = sorted(lin["d"])
         g = gram.pivot(index="d", columns="d2", values="g").loc[self.donor_ids_, self.donor_ids_].fillna(0).to_numpy()
@@ -263,14 +283,20 @@ class SyntheticControl:
         target = np.linalg.lstsq(root.T, lin.set_index("d").loc[self.donor_ids_, "l"].to_numpy(), rcond=None)[0]
         self.weights_ = simplex_least_squares(root, target)
         w = df.sparkSession.createDataFrame([(d, float(x)) for d, x in zip(self.donor_ids_, self.weights_)], f"d {type_of(df, i)}, w double")
-        fitted = donors.join(F.broadcast(w), "d").groupBy(ds).agg(F.sum(F.col("v") * F.col("w")).alias("counterfactual")).join(t, ds)
-        spread = fitted.filter(pre).agg(F.stddev_samp(F.col("t") - F.col("counterfactual")).alias("s"), F.sqrt(F.avg(F.pow(F.col("t") - F.col("counterfactual"), 2))).alias("r")).first()
+        fitted = donors.join(F.broadcast(w), "d").groupBy(ds).agg(*[F.sum(F.col(f"v{k}") * F.col("w")).alias(f"c{k}") for k in blocks]).join(t, ds)
+        gap = F.when(pre, F.col("t0") - F.col("c0"))
+        spread = fitted.agg(F.stddev_samp(gap).alias("s"), F.sqrt(F.avg(gap * gap)).alias("r"), *[F.avg(F.when(pre, F.col(f"{x}{k}"))).alias(f"{x}{k}") for k in blocks[1:] for x in ("t", "c")]).first()
         self.pre_rmse_, z = spread.r, normal_quantile(0.5 + self.coverage / 2)
+        rows = [(c, spread[f"t{k}"], spread[f"c{k}"], abs(spread[f"t{k}"] - spread[f"c{k}"])) for k, c in enumerate(self.covariates, 1)]
+        self.balance_ = df.sparkSession.createDataFrame(rows, "covariate string, treated_mean double, synthetic_mean double, abs_diff double") if rows else None
         from pyspark.sql import Window
 
-        post = fitted.filter(~pre).withColumn("k", F.row_number().over(Window.orderBy(ds)))
+        moved = F.col("c0")
+        for k, c in enumerate(self.covariates, 1):
+            moved = moved + (F.col(f"t{k}") - F.col(f"c{k}")) if self.roles_[c] == "always" else moved
+        post = fitted.filter(~pre).select(ds, F.col("t0").alias("y"), moved.alias("counterfactual")).withColumn("k", F.row_number().over(Window.orderBy(ds)))
         width = F.sqrt("k") * float((spread.s or 0.0) * z)
-        self.frame_ = post.select(ds, F.col("t").alias("y"), "counterfactual", (F.col("counterfactual") - width).alias("counterfactual_lower"), (F.col("counterfactual") + width).alias("counterfactual_upper"), (F.col("t") - F.col("counterfactual")).alias("point_effect"))
+        self.frame_ = post.select(ds, "y", "counterfactual", (F.col("counterfactual") - width).alias("counterfactual_lower"), (F.col("counterfactual") + width).alias("counterfactual_upper"), (F.col("y") - F.col("counterfactual")).alias("point_effect"))
         self.df_, self.treated_, self.when_ = df, treated_id, intervention_date
         return self
 
@@ -284,7 +310,7 @@ class SyntheticControl:
         """Post to pre error of the treated series and of some donors in its place."""
         out = []
         for unit in [self.treated_, *self.donor_ids_[:donors]]:
-            own = self if unit == self.treated_ else SyntheticControl(self.coverage, *self.cols).fit(self.df_.filter(F.col(self.cols[0]) != self.treated_), unit, self.when_)
+            own = self if unit == self.treated_ else SyntheticControl(self.coverage, *self.cols, self.covariates, self.roles_).fit(self.df_.filter(F.col(self.cols[0]) != self.treated_), unit, self.when_)
             post = own.frame_.agg(F.sqrt(F.avg(F.col("point_effect") ** 2)).alias("r")).first().r
             out.append({"unit": unit, "pre_rmse": own.pre_rmse_, "post_rmse": post, "ratio": post / max(own.pre_rmse_, 1e-12)})
         return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidepanel.operators import changepoint, features, forecasting, metrics
+from tidepanel.operators import bayes, changepoint, features, forecasting, metrics
 from tidepanel.operators.rows import permutation_keys, permuted_sql
 from tidepanel.plans.queries import DAILY, ORACLES, _wide, query, rounded
 from tidepanel.sources.tables import daily_events, table
@@ -94,3 +96,16 @@ SELECT event_id, CAST(CAST(ts AS DATE) IN (SELECT d FROM d) AS BIGINT) AS is_hol
 def country_holidays(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").alias("ds"))
     return rounded(features.holiday_features(e, "DE", distance=True).drop("ds"))
+
+
+@query("synthetic_two_donors", """WITH e AS (SELECT event_type AS u, date_trunc('day', ts)::TIMESTAMP AS ds, sum(value) AS y, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+r AS (SELECT t.ds, t.ds < TIMESTAMP '2024-01-21' AS pre, t.y, t.n, a.y AS ay, a.n AS an, b.y AS cy, b.n AS cn FROM e t JOIN e a ON a.ds = t.ds AND a.u = 'error' JOIN e b ON b.ds = t.ds AND b.u = 'view' WHERE t.u = 'click'),
+k AS (SELECT (stddev_pop(y) / stddev_pop(n)) ^ 2 AS k FROM r WHERE pre),
+w AS (SELECT greatest(0, least(1, sum((y - cy) * (ay - cy) + k * (n - cn) * (an - cn)) / sum((ay - cy) ^ 2 + k * (an - cn) ^ 2))) AS w FROM r, k WHERE pre),
+s AS (SELECT stddev_samp(y - w * ay - (1 - w) * cy) AS s FROM r, w WHERE pre)
+SELECT ds, round(y, 3) AS y, round(w * ay + (1 - w) * cy + n - w * an - (1 - w) * cn, 2) AS counterfactual, round(y - w * ay - (1 - w) * cy - n + w * an + (1 - w) * cn, 2) AS point_effect FROM r, w, s WHERE NOT pre""")
+def synthetic_two_donors(spark, d):
+    """Clicks against two donors, their daily counts matched too and carried on."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("unique_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ds")).agg(F.sum("value").alias("y"), F.count("*").alias("n"))
+    found = bayes.SyntheticControl(covariates=["n"], covariate_role={"n": "always"}).fit(e, "click", datetime(2024, 1, 21), ["error", "view"]).to_frame()
+    return found.select("ds", F.round("y", 3).alias("y"), F.round("counterfactual", 2).alias("counterfactual"), F.round("point_effect", 2).alias("point_effect"))
