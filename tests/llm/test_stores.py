@@ -65,6 +65,26 @@ def test_line_index_is_reversible(spark):
     assert {r.doc_id: r.text for r in back.drop_lines(docs).collect()} == {k: v[2] for k, v in dropped(rows, 3).items()}
 
 
+def test_deletions_before_insertions_cancel(spark):
+    """Documents that the index never held: counts below 0 wait for them, in any order."""
+    from tidepanel.llm.line_dedup import LineIndex
+
+    rows = corpus(groups=15)
+    strange = [(7000 + i, "never seen\nw1 w2\nshared line", "en", "a", 1) for i in range(4)]
+    more = [(8000 + i, "shared line\nw1 w2", "en", "a", 1) for i in range(3)]
+    docs, b, c = frame(spark, rows), frame(spark, strange), frame(spark, more)
+    first = LineIndex.build(docs, min_docs=3, shards=4)
+    state = lambda x: sorted(tuple(r) for r in x.refs.collect())
+    owed = first.delete(b)
+    assert min(r[2] for r in state(owed)) == -4
+    assert state(owed.insert(b)) == state(first) == state(first.insert(c).delete(b).delete(c).insert(b))
+    # Filters follow: what is frequent only after the debt is paid is dropped then.
+    paid = owed.insert(c).insert(b)
+    want = {k: v[2] for k, v in dropped(rows + more, 3).items()}
+    assert {r.doc_id: r.text for r in paid.drop_lines(docs.union(c)).collect()} == want
+    assert {r.doc_id: r.text for r in paid.drop_lines(docs.union(c), 0, 0).collect()} == want
+
+
 def test_cuckoo_filter():
     from tidepanel.llm.line_dedup import CuckooFilter
 

@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Every document becomes an array of normalised words, each hashed once; runs of
-``n`` consecutive words get their hashes from those of runs half as long, and are
-looked up in the hashed windows of the benchmark, which are broadcast after their
-number, and that of the items in them, was checked. A lookup that
+Every document becomes an array of normalised words; each run of ``n``
+consecutive words is hashed to a long and looked up in the hashed windows of the
+benchmark, which are broadcast after their number, and that of the items in them,
+was checked. A lookup that
 hits is verified word by word. One scan of the documents, no shuffle of texts:
 only hits and one marker row per document reach the aggregation. With more
 windows than may be broadcast, the words are stored once, hashes with their row
@@ -40,45 +40,25 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     at = words.select("item", "len", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     rows = at.select("item", "len", F.expr("slice(w, i, len)").alias("win_words"))
     rows = rows.groupBy("win_words", "len").agg(F.array_sort(F.collect_set("item")).alias("win_items"))
-    return rows.select(F.col("len").alias("win_len"), "win_words", "win_items")
+    return rows.select(F.xxhash64("win_words").alias("h"), F.col("len").alias("win_len"), "win_words", "win_items")
 
 
-def _with_hashes(df: DataFrame, words: str, lengths: list[int]) -> tuple[DataFrame, list]:
-    """Adds columns to ``df``; per window length, the hashes of all windows of
-    ``words``: those of 2, 4, 8 and so on words from two halves, others from these."""
-
-    def joined(left, right, shift: int):
-        n = F.greatest(F.size(right) - shift, F.lit(0))
-        return F.zip_with(F.slice(left, 1, n), F.slice(right, shift + 1, n), lambda x, y: F.xxhash64(x, y))
-
-    df = df.withColumn("__h0", F.transform(words, lambda x: F.xxhash64(x)))
-    top = max(lengths).bit_length() - 1
-    for k in range(top):
-        df = df.withColumn(f"__h{k + 1}", joined(F.col(f"__h{k}"), F.col(f"__h{k}"), 1 << k))
-    out = []
-    for length in lengths:
-        have = length.bit_length() - 1
-        value, done = F.col(f"__h{have}"), 1 << have
-        for k in range(have - 1, -1, -1):
-            if length & (1 << k):
-                value, done = joined(value, F.col(f"__h{k}"), done), done + (1 << k)
-        out.append(value)
-    return df, out
+def _hashes(lengths: list[int]) -> list:
+    """Per window length, the hashes of all windows of ``w``."""
+    size = F.size("w")
 
+    def own(k: int):
+        inner = F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, k)))
+        return F.when(size >= k, inner).otherwise(F.array().cast("array<bigint>"))
 
-def _hashed_windows(windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``windows`` with ``h``, the hash that documents have of the same words."""
-    windows, hashes = _with_hashes(windows, "win_words", lengths)
-    h = F.coalesce(*[F.when(F.col("win_len") == k, F.element_at(own, 1)) for k, own in zip(lengths, hashes)])
-    return windows.select(h.alias("h"), "win_len", "win_words", "win_items")
+    return [own(k) for k in lengths]
 
 
 def _hits_by_broadcast(words: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """Per row of ``words``: doc_id, row, mark, n_words, spans, found."""
     size = F.size("w")
-    words, hashes = _with_hashes(words, "w", lengths)
     # Position 0 is a marker that keeps documents without a hit.
-    words = words.withColumn("all_h", F.concat(F.array(F.lit(0).cast("long")), *hashes))
+    words = words.withColumn("all_h", F.concat(F.array(F.lit(0).cast("long")), *_hashes(lengths)))
     seen = words.select("doc_id", "row", "mark", "w", F.posexplode("all_h").alias("p", "dh"))
     start, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for k in lengths:
@@ -100,13 +80,12 @@ def _hits_by_shuffle(words: DataFrame, windows: DataFrame, lengths: list[int]) -
     dealt by hash (two plain shuffles, so a frequent window can be split); words
     meet their hits once for each row."""
     words = stored(words, "document-words")
-    hashed, hashes = _with_hashes(words, "w", lengths)
 
     def place(hashes, k: int):
         return F.transform(hashes, lambda x, i: F.struct(x.alias("dh"), i.alias("start"), F.lit(k).alias("len")))
 
-    placed = [place(h, k) for k, h in zip(lengths, hashes)]
-    looks = hashed.select("row", F.explode(F.concat(*placed)).alias("at")).select("row", "at.dh", "at.start", "at.len")
+    placed = [place(h, k) for k, h in zip(lengths, _hashes(lengths))]
+    looks = words.select("row", F.explode(F.concat(*placed)).alias("at")).select("row", "at.dh", "at.start", "at.len")
     hits = looks.join(windows, (F.col("dh") == F.col("h")) & (F.col("len") == F.col("win_len")))
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("start", "len", "win_words", "win_items")).alias("hits"))
     both = words.join(hits, "row", "left")
@@ -127,7 +106,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     windows = stored(benchmark_windows(benchmark, n), "windows")
     count, named, lengths = windows.agg(F.count("*"), F.sum(F.size("win_items")), F.collect_set("win_len")).first()
     lengths = sorted(lengths, reverse=True) or [n]
-    windows = _hashed_windows(windows, lengths)
     words = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_mark(text_col).alias("mark"), word_array(F.col(text_col)).alias("w"))
     count = max(count, (named or 0) // 4)
     per = (_hits_by_broadcast if count <= broadcast_windows else _hits_by_shuffle)(words, windows, lengths)

@@ -329,7 +329,8 @@ class LineIndex:
         moves = both.filter((F.col("old") >= self.min_docs) != (F.col("docs") >= self.min_docs))
         moves = moves.select(self._shard(self.shards).alias("shard"), "k1", "k2", (F.col("docs") >= self.min_docs).alias("enter"))
         filters = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(_change_filter, _FILTER_DDL)
-        refs = both.filter("docs > 0").select("k1", "k2", "docs")
+        # Counts below 0 stay: documents deleted before they came are owed to the index.
+        refs = both.filter("docs <> 0").select("k1", "k2", "docs")
         return LineIndex(self.spark, refs, stored(filters, "line-filters"), self.min_docs, self.shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
