@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import decontam, jaccard_join, mixing, ring_shards, toxicity
-from tidepanel.llm.shared import forget, read_table, scratch_scope, stored
+from tidepanel.llm.shared import forget, read_table, release, scratch_scope, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,4 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept.append(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
         forget(docs)
         docs = kept[0]
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -168,6 +168,32 @@ def test_jaccard_join_against_brute_force(spark, k, percent, block, shingles):
     assert got == jaccard_brute(rows, k, percent)
 
 
+def test_jaccard_texts_are_sent_in_rounds(spark, monkeypatch):
+    """No round sends far more than half the corpus, and its shuffle files go."""
+    from tidepanel.llm import jaccard_join
+
+    rows, sizes, released = corpus(seed=9, groups=50), [], []
+    docs = frame(spark, rows)
+    search = jaccard_join._search_blocks
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "jaccard-tasks":
+            sizes.append(out.agg(F.sum("shingles")).first()[0])
+        return out
+
+    stored = jaccard_join.stored
+    searches = []
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "_search_blocks", lambda *a: searches.append(a) or search(*a))
+    monkeypatch.setattr(jaccard_join, "release", lambda s: released.append(s))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 70, block_docs=4, round_shingles=1).collect()}
+    brute = jaccard_brute(rows, 4, 70)
+    assert got == brute
+    half = sum(n for n, _ in brute.values()) // 2
+    assert len(searches) >= sum(-(-n // half) for n in sizes) > len(sizes) and len(released) > len(searches)
+
+
 def test_jaccard_join_odd_rows(spark):
     from tidepanel.llm.jaccard_join import jaccard_components, keep_one_per_component
 

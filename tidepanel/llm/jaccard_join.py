@@ -48,7 +48,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, forget, mix64, modest_batches, rounds_of, scratch_scope, stored
+from tidepanel.llm.shared import BLANK_TABLE, Words, components, contract_edges, forget, mix64, modest_batches, release, rounds_of, scratch_scope, stored
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _U64 = 1 << 64
@@ -461,14 +461,24 @@ def _search_blocks(k: int, percent: int):
     return run
 
 
-def _searched(docs: DataFrame, places: DataFrame, k: int, percent: int, parts: int, broadcast_rows: int) -> DataFrame:
-    """The links found in each task; ``places``: class_id, task."""
-    places = places.select("class_id", "task")
-    ids = places.select("class_id").distinct()
-    if places.count() > broadcast_rows >= ids.count():  # then only their texts are shuffled
-        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("class_id"), "left_semi")
-    texts = docs.join(_sent(places, broadcast_rows), F.col("doc_id") == F.col("class_id")).select("task", "doc_id", "text")
-    return stored(texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_search_blocks(k, percent), "node long, root long"), "jaccard-links")
+def _searched(docs: DataFrame, places: DataFrame, k: int, percent: int, parts: int, broadcast_rows: int, round_shingles: int) -> DataFrame:
+    """The links found in each task; ``places``: class_id, shingles, task. A text is
+    sent to each of its tasks; tasks with more than ``round_shingles`` in all are searched
+    in rounds, each of which lets go of the texts of the one before."""
+    rounds = max(1, -(-(places.agg(F.sum("shingles")).first()[0] or 0) // round_shingles))
+    every = places.select("class_id", "task")
+    links = []
+    for r in range(rounds):
+        places = every.filter(F.pmod(F.xxhash64(F.lit(4), "task"), F.lit(rounds)) == r) if rounds > 1 else every
+        ids = places.select("class_id").distinct()
+        some = docs
+        if places.count() > broadcast_rows >= ids.count():  # then only their texts are shuffled
+            some = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("class_id"), "left_semi")
+        texts = some.join(_sent(places, broadcast_rows), F.col("doc_id") == F.col("class_id")).select("task", "doc_id", "text")
+        links.append(stored(texts.repartition(parts, "task").sortWithinPartitions("task", "doc_id").mapInArrow(_search_blocks(k, percent), "node long, root long"), "jaccard-links"))
+        del texts
+        release(docs.sparkSession)
+    return reduce(DataFrame.unionByName, links)
 
 
 def _sent(table: DataFrame, most: int) -> DataFrame:
@@ -498,20 +508,23 @@ def _outside_largest(placed: DataFrame, links: DataFrame, block_docs: int, block
         return None
     rows = whole.join(_sent(most, broadcast_rows), "block")
     out = rows.filter("comp <> largest").withColumn("i", _piece(1, "outer"))
-    met = out.select("class_id", "block", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1)).alias("j"), F.lit(0).alias("side"))
+    met = out.select("class_id", "shingles", "block", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("inner") - 1)).alias("j"), F.lit(0).alias("side"))
     own = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda j: F.struct(F.least(F.col("i").cast("long"), j).alias("i"), F.greatest(F.col("i").cast("long"), j).alias("j")))).alias("p")
-    among = out.select("class_id", "block", own).select("class_id", "block", "p.i", "p.j", F.lit(1).alias("side"))
+    among = out.select("class_id", "shingles", "block", own).select("class_id", "shingles", "block", "p.i", "p.j", F.lit(1).alias("side"))
     rest = rows.filter("comp = largest").withColumn("j", _piece(2, "inner").cast("long"))
-    rest = rest.select("class_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), "j", F.lit(0).alias("side"))
+    rest = rest.select("class_id", "shingles", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), "j", F.lit(0).alias("side"))
     tasks = met.withColumn("i", F.col("i").cast("long")).unionByName(among).unionByName(rest)
-    return stored(tasks.select("class_id", F.xxhash64("block", "side", "i", "j").alias("task")), "jaccard-tasks")
+    return stored(tasks.select("class_id", "shingles", F.xxhash64("block", "side", "i", "j").alias("task")), "jaccard-tasks")
 
 
 def _described(docs: DataFrame, k: int, percent: int, parts: int, bits: int, frequent: np.ndarray) -> DataFrame:
     """Kind 0: doc_id, set size and hash; kind 1: ids that share a signature."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     packed = docs.mapInArrow(_describe(k, percent, bits, sent), _PACKED_DDL)
-    return stored(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL), "jaccard-sets")
+    found = stored(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND_DDL), "jaccard-sets")
+    del packed
+    release(docs.sparkSession)
+    return found
 
 
 def _with_chunks(whole: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
@@ -544,9 +557,10 @@ def _finer(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int,
     return whole
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000, round_shingles: int = 20_000_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, class_id (the smallest id with the
-    same set) and component_id (the smallest id that links lead to)."""
+    same set) and component_id (the smallest id that links lead to). A round of the
+    search sends texts of ``round_shingles``, or of half the distinct sets if they are more."""
     spark = docs.sparkSession
     modest_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -559,6 +573,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     same = stored(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
     blocks = components(found.filter("kind = 1").select("a", "b"), "jaccard-blocks")
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
+    round_shingles = max(round_shingles, (same.agg(F.sum("n_shingles")).first()[0] or 0) // 2)
     placed = same.groupBy("class_id").agg(F.sum("n_shingles").alias("shingles")).join(blocks, F.col("class_id") == F.col("node"))
     whole = stored(placed.select("class_id", "shingles", F.col("root").alias("block")), "jaccard-placed")
     whole = _finer(docs, whole, k, percent, parts, bits, block_docs, block_shingles, broadcast_rows)
@@ -568,7 +583,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     chunk = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(_piece(0, "chunks").cast("long")))
     placed = placed.select("class_id", "shingles", "block", "chunks", F.explode(chunk).alias("chunk"))
     placed = stored(placed.select("class_id", "shingles", "block", F.xxhash64("block", "chunk").alias("task"), "chunks"), "jaccard-tasks")
-    links = _searched(docs, placed, k, percent, parts, broadcast_rows)
+    links = _searched(docs, placed, k, percent, parts, broadcast_rows, round_shingles)
     cut = placed.filter("chunks > 1").select("class_id", "shingles", "block").distinct()
     # Rows that share an id are one document, whatever their sets.
     twice = rows.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
@@ -577,7 +592,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     if not cut.isEmpty():
         links = components(links, "jaccard-links")
         tasks = _outside_largest(cut, links, block_docs, block_shingles, broadcast_rows)
-        more = [_searched(docs, tasks, k, percent, parts, broadcast_rows)] if tasks is not None else []
+        more = [_searched(docs, tasks, k, percent, parts, broadcast_rows, round_shingles)] if tasks is not None else []
     if not twice.isEmpty():
         more.append(rows.join(twice, "doc_id").join(same, key).select(F.col("doc_id").alias("node"), F.col("class_id").alias("root")))
     for table in more:

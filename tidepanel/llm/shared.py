@@ -4,6 +4,7 @@ scanning in numpy, and connected components over an edge table."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,13 @@ def forget(*tables: DataFrame) -> None:
             remove_path(table.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark removes them when the driver
+    collects garbage, which a driver with room to spare may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
     """Remove the scratch tables made inside, but for those put into ``keep``. What
