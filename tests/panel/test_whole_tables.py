@@ -153,3 +153,30 @@ def test_enbpi_and_streaming_use_all_rows(spark):
             self.n += len(y)
 
     assert StreamingGlobalForecaster(Seen(), [1], window_size=200, max_rows=80).partial_fit(df).estimator.n == 298
+
+
+def test_pairs_are_formed_in_tasks_and_not_shuffled(spark):
+    from tidepanel.functions.elastic import distances
+    from tidepanel.operators import similarity as S
+
+    rng = np.random.default_rng(11)
+    x = [rng.normal(size=int(n)) for n in rng.integers(1, 9, 40)]
+    x += [x[3].copy() for _ in range(6)]
+    ids = [f"s{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "name string, series array<double>").repartition(3)
+    d = {(a, b): float(distances("dtw", [p], [q])[0]) for a, p in zip(ids, x) for b, q in zip(ids, x) if a != b}
+    pairs = S.pair_distances(df, df, "d", "dtw", {}, parts=20)
+    assert "Join" not in pairs._jdf.queryExecution().toString() and "CartesianProduct" not in pairs._jdf.queryExecution().toString()
+    got = {(r.id_1, r.id_2): r.d for r in pairs.collect()}
+    assert len(got) == pairs.count() and set(got) == {p for p in d if p[0] < p[1]}
+    assert all(v == pytest.approx(d[p], abs=1e-9) for p, v in got.items())
+    near = {(r.id_1, r.id_2): r.d for r in S.pair_distances(df, df, "d", "dtw", {}, within=1.5).collect()}
+    assert near == {p: pytest.approx(v, abs=1e-9) for p, v in got.items() if v <= 1.5} and 0 < len(near) < len(got)
+    best = {(r.id_1, r["rank"]): r.id_2 for r in S.nearest_series(df, 3, "dtw").collect()}
+    assert best == {(a, k + 1): b for a in ids for k, (_, b) in enumerate(sorted((round(d[a, b], 12), b) for b in ids if b != a)[:3])}
+    labels = spark.createDataFrame([(i, int(i[1:]) % 3) for i in ids], "name string, cluster long")
+    sums = {(r.id_1, r.c1, r.c2): (r.n, r.s, r.s2) for r in S.cluster_sums(df, labels, "dtw").collect()}
+    for a in ids:
+        for c in range(3):
+            own = [d[a, b] for b in ids if b != a and int(b[1:]) % 3 == c]
+            assert sums[a, int(a[1:]) % 3, c] == pytest.approx((len(own), sum(own), sum(v * v for v in own)))
