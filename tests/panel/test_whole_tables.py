@@ -180,3 +180,15 @@ def test_pairs_are_formed_in_tasks_and_not_shuffled(spark):
         for c in range(3):
             own = [d[a, b] for b in ids if b != a and int(b[1:]) % 3 == c]
             assert sums[a, int(a[1:]) % 3, c] == pytest.approx((len(own), sum(own), sum(v * v for v in own)))
+
+
+def test_clara_and_clarans_without_the_matrix(spark, monkeypatch):
+    from tidepanel.functions import clusters as C
+    from tidepanel.operators import clustering
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(i % 3, 0.4, 6).tolist()) for i in range(60)], "unique_id long, series array<double>")
+    ids, d = clustering.distance_matrix(df, "dtw")
+    monkeypatch.setattr(clustering, "MATRIX_SERIES", 10)
+    for got, want in ((clustering.clara(df, 3, sample_size=12), C.clara(d, 3, sample_size=12)[0]), (clustering.clarans(df, 3), C.clarans(d, 3)[0])):
+        assert {r.unique_id: r.cluster for r in got.collect()} == dict(zip(ids, want.tolist()))
