@@ -56,6 +56,18 @@ def test_agglomerative_on_blocks(spark, small):
         np.testing.assert_allclose(z[:, 2:], want[:, 2:])
 
 
+def test_spectral_and_auto_cluster_on_blocks(spark, small):
+    df = frame(spark, copies=0)
+    ids, d = whole(df, "sbd")
+    assert labels(clustering.spectral_cluster(df, 3, id_col="name")) == dict(zip(ids, C.spectral(d, 3).tolist()))
+    got = clustering.auto_cluster(df, ["kmedoids", "agglomerative", "spectral", "clara"], distances_=["sbd"], k_range=[2, 3], id_col="name")
+    sigma = float(np.median(d[d > 0]))
+    for r in got.results_table.collect():
+        own = {"kmedoids": lambda: C.pam(d, r.k)[0], "agglomerative": lambda: C.cut(C.linkage(d), len(ids), r.k), "spectral": lambda: C.spectral(d, r.k, sigma), "clara": lambda: C.clara(d, r.k)[0]}[r.method]()
+        assert r.score == pytest.approx(clustering.silhouette_of(d, own), abs=1e-9), r
+    assert sorted(labels(got.best_labels)) == ids
+
+
 def test_merges_take_the_smallest_places_first():
     rng = np.random.default_rng(2)
     for method in ("average", "single", "complete", "weighted"):
