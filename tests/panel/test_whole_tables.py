@@ -192,3 +192,29 @@ def test_clara_and_clarans_without_the_matrix(spark, monkeypatch):
     monkeypatch.setattr(clustering, "MATRIX_SERIES", 10)
     for got, want in ((clustering.clara(df, 3, sample_size=12), C.clara(d, 3, sample_size=12)[0]), (clustering.clarans(df, 3), C.clarans(d, 3)[0])):
         assert {r.unique_id: r.cluster for r in got.collect()} == dict(zip(ids, want.tolist()))
+
+
+def test_only_near_pairs_are_warped(monkeypatch):
+    from tidepanel.functions import elastic
+
+    rng = np.random.default_rng(2)
+    x = [v / np.linalg.norm(v) for v in rng.normal(size=(60, 64))] + [rng.normal(size=k) / 8 for k in (1, 1, 2, 5, 40)]
+    x += [v + 0.01 * rng.normal(size=len(v)) for v in x[:9]] + [np.repeat(x[0], 2), np.r_[x[1][:9], np.nan], np.empty(0)]
+    cells, dtw = [0, 0], elastic.dtw
+
+    def counted(a, na, b, nb, **options):
+        cells[0] += max(len(na), len(nb))
+        return dtw(a, na, b, nb, **options)
+
+    step = elastic._dtw_step
+    monkeypatch.setattr(elastic, "dtw", counted)
+    monkeypatch.setitem(elastic.KERNELS, "dtw", (counted, *elastic.KERNELS["dtw"][1:]))
+    whole = {(i, int(j)): v for i, at, d in elastic.block_distances("dtw", x, x) for j, v in zip(at, d)}
+    monkeypatch.setattr(elastic, "_dtw_step", lambda x, y, i, *r: (cells.__setitem__(1, cells[1] + r[1].size), step(x, y, i, *r))[1])
+    cells[0] = 0
+    for within in (0.0, 0.3, 1.0, 5.0):
+        near = {(i, int(j)): v for i, at, d in elastic.block_distances("dtw", x, x, None, within) for j, v in zip(at, d) if v <= within}
+        assert near == {k: v for k, v in whole.items() if v <= within}
+        if within == 1.0:
+            assert len(near) > 80 and cells[0] < 0.6 * len(whole) and cells[1] < 400 * len(whole)
+        cells[:] = 0, 0
