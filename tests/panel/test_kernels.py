@@ -94,6 +94,38 @@ def test_msm_and_lcss_against_brute_force():
             assert lcss[p, q] == pytest.approx(1 - t[-1, -1] / min(len(a), len(b)))
 
 
+def test_msm_fills_what_its_bound_reaches(monkeypatch):
+    rng, seen, sweep = np.random.default_rng(10), [0], elastic.sweep
+
+    def counted(left, na, right, nb, step, **more):
+        return sweep(left, na, right, nb, lambda x, y, i, j, g, u, l: (seen.__setitem__(0, seen[0] + g.size), step(x, y, i, j, g, u, l))[1], **more)
+
+    monkeypatch.setattr(elastic, "sweep", counted)
+    unit = lambda v: v / np.linalg.norm(v)
+    left, right = [unit(v) for v in some(rng, [64] * 3)], [unit(v) for v in some(rng, [64] * 300)]
+    right[0] = left[0].copy()
+    right[1] = np.roll(left[0], 9) * 20  # far beyond the others
+    got = pairs_of("msm", left, right)
+    assert len(got) == 900 and seen[0] < 0.25 * 900 * 64 * 64 and got[0, 0] == 0
+
+    def brute(a, b, c):
+        cost = lambda new, back, other: c if min(back, other) <= new <= max(back, other) else c + min(abs(new - back), abs(new - other))
+        return table_of(a, b, lambda i, j, g, u, l: min(g + abs(a[i - 1] - b[j - 1]), u + cost(a[i - 1], a[i - 2], b[j - 1]) if i > 1 else np.inf, l + cost(b[j - 1], b[j - 2], a[i - 1]) if j > 1 else np.inf))[-1, -1]
+
+    for (p, q), v in got.items():
+        if q < 4:
+            assert v == pytest.approx(brute(left[p], right[q], 1.0)), (p, q)
+    # Bounds of every width, shapes that differ, and values that bound nothing.
+    for n, m, c in ((9, 9, 0.05), (9, 9, 0.6), (7, 12, 0.1), (12, 7, 0.3), (1, 5, 0.2), (6, 6, 0.0)):
+        a, b = rng.normal(size=(8, n)).cumsum(axis=1), rng.normal(size=(8, m)).cumsum(axis=1) * 3
+        for gain in (0, 5000):
+            found = elastic.msm(a, np.full(8, n), b, np.full(8, m), c=c, gain=gain)
+            assert found == pytest.approx([brute(x, y, c) for x, y in zip(a, b)])
+    a[0, 2], b[1, 3], b[2, 5] = np.nan, np.inf, np.nan
+    found = elastic.msm(a, np.full(8, 6), b, np.full(8, 6))
+    assert np.isnan(found[[0, 2]]).all() and np.isinf(found[1]) and found[3:] == pytest.approx([brute(x, y, 1.0) for x, y in zip(a[3:], b[3:])])
+
+
 def test_pairs_of_short_chunks_go_together(monkeypatch):
     rng, calls, (erp, *rest) = np.random.default_rng(8), [0], elastic.KERNELS["erp"]
     left, right = some(rng, [16] * 30 + [9, 0]), some(rng, [16] * 20 + [5])
