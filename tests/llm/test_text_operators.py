@@ -575,6 +575,57 @@ def test_jaccard_chains_are_split(spark, monkeypatch):
     assert sum(dealt) <= 2 * len(rows), dealt
 
 
+def test_jaccard_sketches_part_chains_and_no_link(spark, monkeypatch):
+    """Long documents that share stray shingles are told apart by their sketches, without
+    describing their texts again and again, and no linked pair is parted."""
+    from tidepanel.llm import jaccard_join
+    from tidepanel.llm.jaccard_join import near_sketches, segments_of, sketch
+
+    rng, np_rng = random.Random(4), np.random.default_rng(4)
+    seg, sets = segments_of(80), []
+    for i in range(60):
+        base = np_rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        for cut in (0, 30, 60, 100):
+            new = np_rng.integers(0, 1 << 63, int(np_rng.integers(0, 40)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[cut:], new])))
+    n = np.array([len(s) for s in sets])
+    bits = np.array([sketch(s, 512) for s in sets])
+    a, b = near_sketches(np.arange(len(sets)), n, bits, np.zeros(len(sets), bool), False, seg)
+    root = dict(zip(a.tolist(), b.tolist()))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (n[i] + n[j] - both):
+                assert root.get(i, i) == root.get(j, j)
+            elif not both:
+                assert root.get(i, i) != root.get(j, j)
+    # Each document shares some stray words' passages with a few others.
+    passages = [[f"p{i}_{j}" for j in range(8)] for i in range(40)]
+    rows = []
+    for i in range(150):
+        words = [f"o{i}_{j}" for j in range(120)]
+        for p in rng.sample(passages, 4):
+            at = rng.randrange(len(words))
+            words[at:at] = p
+        rows.append((len(rows), " ".join(words), "en", "a", 1))
+        if i % 30 == 0:
+            rows.append((len(rows), " ".join([*words[:-2], "changed"]), "en", "a", 1))
+    described = jaccard_join._described
+    calls, dealt, store = [], [], jaccard_join.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        dealt.extend([out.count()] if label == "jaccard-tasks" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a: np.zeros(0, np.uint64))
+    monkeypatch.setattr(jaccard_join, "_described", lambda *a: calls.append(a) or described(*a))
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    found = jaccard_join.jaccard_components(frame(spark, rows), 4, 85, block_docs=5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_brute(rows, 4, 85)
+    assert len(calls) == 1 and sum(dealt) <= 30, (len(calls), dealt)
+
+
 def test_pipeline_run(spark, tmp_path):
     """The query gives the rows of its stages, each written and read again."""
     import corpus_pipeline

@@ -24,9 +24,12 @@ shingles lie in one of them only. The join has three steps.
    binary search for each candidate (DivideSkip); candidates that reach the
    overlap are linked. Documents that are in one component already are not
    compared again, so a group of near copies costs few queries, not all pairs.
-   Before, documents of blocks too large for one task are put into blocks again,
-   with the shingles frequent among them left out, so chains of unlinked documents
-   break up; what stays large is cut into chunks.
+   Before, the sets of blocks too large for one task are told apart by sketches, one
+   bit for the parity of the number of shingles in each bin of hashes: sets differ in as
+   many shingles as parities at least, so no linked pair is parted, and chains of unlinked
+   documents break up without their texts; what stays large is cut into chunks. More than
+   ``sketch_docs`` of them are first put into blocks again, with the shingles frequent
+   among them left out.
 3. Equal sets were collapsed to their smallest id before; they get its component.
 
 No pair is lost: the blocks contain all linked pairs whatever the data, and the
@@ -533,18 +536,19 @@ def _with_chunks(whole: DataFrame, block_docs: int, block_shingles: int) -> Data
     return whole.join(sizes.select("block", _chunks(F.col("sets"), F.col("all_shingles"), block_docs, block_shingles).alias("chunks")), "block")
 
 
-def _finer(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int, bits: int, block_docs: int, block_shingles: int, broadcast_rows: int, most_rounds: int = 4) -> DataFrame:
-    """``whole`` with large blocks split. In a large corpus a shingle of few documents
+def _finer(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int, bits: int, block_docs: int, block_shingles: int, broadcast_rows: int, enough: int = 0, most_rounds: int = 4) -> DataFrame:
+    """``whole`` with large blocks split, until at most ``enough`` documents are in
+    such. In a large corpus a shingle of few documents
     is not in the sample of all, and such shingles chain documents that have no
     link. So documents of blocks that would be cut are put into blocks again, with
     shingles that are frequent among them alone left out; linked pairs share a
-    block for either choice. Blocks that stay large are cut."""
+    block for either choice."""
     before = None
     for _ in range(most_rounds):
         sized = _with_chunks(whole, block_docs, block_shingles)
         large = stored(sized.filter("chunks > 1").select("class_id", "shingles", "block"), "jaccard-large")
         n, shingles = large.agg(F.count("*"), F.sum("shingles")).first()
-        if not n or (before and 4 * n > 3 * before):
+        if n <= enough or (before and 4 * n > 3 * before):
             break
         before = n
         texts = docs.join(_sent(large.select("class_id"), broadcast_rows), F.col("doc_id") == F.col("class_id"), "left_semi")
@@ -557,7 +561,135 @@ def _finer(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int,
     return whole
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000, round_shingles: int = 20_000_000) -> DataFrame:
+#: Sketches that a task compares with others, at the most, and their bytes.
+SKETCHES, SKETCH_BYTES = 8192, 16_000_000
+
+
+def sketch(s: np.ndarray, size: int) -> np.ndarray:
+    """The parity of the number of shingles in each of ``size`` bins, a power of two."""
+    odd = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
+def _size_of(seg: Segments, c: int) -> int:
+    """Bins for the sets of a size class: as many as shingles, or up to twice that."""
+    return max(64, 1 << (int(seg.low[c + 1]) - 1).bit_length())
+
+
+def _sketches(k: int, percent: int):
+    """class_id, block, size class, set size and sketch of each text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = segments_of(percent)
+        for batch in batches:
+            for part, texts in rounds_of(batch, "text"):
+                rows = []
+                for i, s in enumerate(shingle_sets(Words(texts, BLANK_TABLE), k)):
+                    if len(s):
+                        c = int(np.searchsorted(seg.low_array, len(s), "right")) - 1
+                        rows.append((i, c, len(s), sketch(s, _size_of(seg, c)).tobytes()))
+                at = pa.array([r[0] for r in rows], pa.int64())
+                names = ["class_id", "block", "c", "n", "bits"]
+                yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=names)
+
+    return run
+
+
+def near_sketches(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, upper: np.ndarray, cross: bool, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all ids whose sketches differ in no more places than linked sets
+    of their sizes do. ``cross``: only those with ``upper`` against the others. Ids that are
+    joined already are not compared again."""
+    order = np.argsort(n, kind="stable")
+    ids, n, bits, upper = ids[order], n[order], bits[order], upper[order]
+    # Equal ids are one node from the start.
+    label = np.unique(ids, return_inverse=True)[1]
+    a, b = [], []
+    asks = np.flatnonzero(~upper) if cross else np.arange(len(ids))
+    stop = np.searchsorted(n, [seg.largest_partner(int(x)) for x in n[asks]], "right")
+    step = max(1, 32_768 // bits.shape[1])
+    for q, end in zip(asks.tolist(), stop.tolist()):
+        own = label[q]
+        other = label[q + 1 : end] != own
+        if cross:
+            other &= upper[q + 1 : end]
+        cand = q + 1 + np.flatnonzero(other)
+        for at in range(0, len(cand), step):
+            some = cand[at : at + step]
+            apart = np.bitwise_count(bits[some] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            near = some[apart <= seg.most_apart(int(n[q]), n[some])]
+            if len(near):
+                a.append(np.full(len(near), ids[q]))
+                b.append(ids[near])
+                joined = np.zeros(len(ids), bool)
+                joined[label[near]] = True
+                label[joined[label]] = own
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return contract_edges(np.concatenate(a), np.concatenate(b))
+
+
+def _near(percent: int):
+    """Rows come in order of (task); edges between near sketches of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = segments_of(percent)
+
+        def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            c, cross = t["c"].to_numpy(), t["cross"][0].as_py()
+            width = _size_of(seg, int(c.min())) // 64
+            bits = np.zeros((len(t), width), np.uint64)
+            for i, raw in enumerate(t["bits"].to_pylist()):  # wider ones are folded
+                bits[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, width), axis=0)
+            a, b = near_sketches(t["class_id"].to_numpy(), t["n"].to_numpy(), bits, c > c.min(), cross, seg)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            task = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and hi > lo and task[lo] != now:
+                    yield from solve(held)
+                    held = []
+                if hi > lo:
+                    now = task[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from solve(held)
+
+    return run
+
+
+def _told_apart(docs: DataFrame, whole: DataFrame, k: int, percent: int, parts: int, block_docs: int, block_shingles: int, broadcast_rows: int) -> DataFrame:
+    """``whole`` with the blocks that would be cut split by the sketches of their sets.
+    Sets of one size class, and those of neighbouring ones, meet in pieces."""
+    sized = _with_chunks(whole, block_docs, block_shingles)
+    large = stored(sized.filter("chunks > 1").select("class_id", "shingles", "block"), "jaccard-large")
+    if large.isEmpty():
+        return whole
+    texts = docs.join(_sent(large.select("class_id", "block"), broadcast_rows), F.col("doc_id") == F.col("class_id")).select("class_id", "block", "text")
+    made = stored(texts.repartition(parts).mapInArrow(_sketches(k, percent), "class_id long, block long, c int, n long, bits binary"), "jaccard-sketches")
+    per = made.groupBy("block", "c").agg(F.greatest(F.ceil(F.count("*") / SKETCHES), F.ceil(F.sum(F.length("bits")) / SKETCH_BYTES)).cast("int").alias("pieces"))
+    per = stored(per, "jaccard-pieces")
+    to = lambda by, name: per.select("block", (F.col("c") + by).alias("c"), F.col("pieces").alias(name))
+    rows = made.join(_sent(to(0, "pieces"), broadcast_rows), ["block", "c"]).join(_sent(to(-1, "above"), broadcast_rows), ["block", "c"], "left").join(_sent(to(1, "below"), broadcast_rows), ["block", "c"], "left")
+    rows = rows.withColumn("piece", _piece(6, "pieces"))
+    upto = lambda name: F.when(F.col(name).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col(name) - 1))
+    task = lambda c, i, j, cross: F.struct(F.xxhash64("block", c, i, j, F.lit(cross)).alias("task"), F.lit(cross).alias("cross"))
+    own = F.transform(upto("pieces"), lambda j: task(F.col("c"), F.least("piece", j), F.greatest("piece", j), False))
+    up = F.transform(upto("above"), lambda j: task(F.col("c"), F.col("piece"), j, True))
+    down = F.transform(upto("below"), lambda j: task(F.col("c") - 1, j, F.col("piece"), True))
+    rows = rows.withColumn("at", F.explode(F.concat(own, up, down))).select("at.task", "at.cross", "class_id", "c", "n", "bits")
+    edges = rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_near(percent), "a long, b long")
+    blocks = components(edges, "jaccard-blocks")
+    blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
+    split = large.join(blocks, F.col("class_id") == F.col("node")).select("class_id", "shingles", F.xxhash64("block", "root").alias("block"))
+    return stored(sized.filter("chunks = 1").select("class_id", "shingles", "block").unionByName(split), "jaccard-placed")
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = 4096, block_shingles: int = 500_000, broadcast_rows: int = 1_000_000, round_shingles: int = 20_000_000, sketch_docs: int = 250_000) -> DataFrame:
     """Per document row: doc_id, n_shingles, class_id (the smallest id with the
     same set) and component_id (the smallest id that links lead to). A round of the
     search sends texts of ``round_shingles``, or of half the distinct sets if they are more."""
@@ -576,7 +708,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block_doc
     round_shingles = max(round_shingles, (same.agg(F.sum("n_shingles")).first()[0] or 0) // 2)
     placed = same.groupBy("class_id").agg(F.sum("n_shingles").alias("shingles")).join(blocks, F.col("class_id") == F.col("node"))
     whole = stored(placed.select("class_id", "shingles", F.col("root").alias("block")), "jaccard-placed")
-    whole = _finer(docs, whole, k, percent, parts, bits, block_docs, block_shingles, broadcast_rows)
+    whole = _finer(docs, whole, k, percent, parts, bits, block_docs, block_shingles, broadcast_rows, sketch_docs)
+    whole = _told_apart(docs, whole, k, percent, parts, block_docs, block_shingles, broadcast_rows)
     placed = _with_chunks(whole, block_docs, block_shingles)
     # A hub goes to all chunks of its block, so hubs are an eighth of the rows more.
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "class_id"), 8 * F.col("chunks")) == 0)
