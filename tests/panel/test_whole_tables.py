@@ -218,3 +218,31 @@ def test_only_near_pairs_are_warped(monkeypatch):
         if within == 1.0:
             assert len(near) > 80 and cells[0] < 0.6 * len(whole) and cells[1] < 400 * len(whole)
         cells[:] = 0, 0
+
+
+def test_shapes_meet_as_products(spark, monkeypatch):
+    """Series of one length need no transform for each pair, and neighbours that are
+    left out before sorting lose no tie."""
+    from tidepanel.functions.elastic import block_distances, sbd
+    from tidepanel.operators.similarity import nearest_series
+
+    rng = np.random.default_rng(12)
+    x = [*rng.normal(size=(30, 16)), np.zeros(16), np.full(16, np.nan)]
+    d = np.full((len(x), len(x)), np.nan)
+    slow = lambda a, b: sbd(np.array([a, a]), np.array([16, 16]), np.array([b, b]), np.array([16, 16]))[0]
+    expected = np.array([[slow(a, b) for b in x] for a in x])
+    ragged = [rng.normal(size=n) for n in (5, 9, 16)]
+    for i, at, found in block_distances("sbd", x[:3], ragged):
+        for j, v in zip(at.tolist(), found):
+            assert v == pytest.approx(1 - np.correlate(x[i], ragged[j], "full").max() / np.sqrt((x[i] @ x[i]) * (ragged[j] @ ragged[j])), abs=1e-12)
+    with monkeypatch.context() as m:
+        m.setattr(np.fft, "rfft", lambda *a: pytest.fail("a transform for each pair"))
+        for i, at, found in block_distances("sbd", x, x, keep=lambda i: np.arange(len(x)) > i - 4):
+            d[i, at] = found
+    seen = np.arange(len(x)) > np.arange(len(x))[:, None] - 4
+    assert np.allclose(d[seen], expected[seen], atol=1e-12, equal_nan=True)
+    # Whole groups of equal series: ties go by id, whichever came first.
+    base = rng.normal(size=(7, 16))
+    rows = [(i, base[i % 7].tolist()) for i in range(60)]
+    got = {(r.id_1, r["rank"]): r.id_2 for r in nearest_series(spark.createDataFrame(rows, "unique_id long, series array<double>"), 3, "sbd").collect()}
+    assert got == {(i, k + 1): j for i in range(60) for k, j in enumerate([j for j in range(i % 7, 60, 7) if j != i][:3])}
